@@ -13,34 +13,12 @@ executor is lost and tasks are recomputed.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import scoring as S
-from ..session import reliable_checkpoint
-
-_LOW33 = (1 << 33) - 1
-
-
-def with_position(df: DataFrame, order_cols, name: str = "pos", start: int = 0,
-                  checkpoint: bool = True) -> DataFrame:
-    """Dense 0-based (or ``start``-based) global positions in ``order_cols`` order.
-
-    ``order_cols`` must be a total order (unique), as positions are a contract.
-    """
-    s = df.orderBy(*order_cols).withColumn("_mid", F.monotonically_increasing_id())
-    if checkpoint:
-        s = reliable_checkpoint(s)
-    part = F.shiftright(F.col("_mid"), 33)
-    counts = s.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_p", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    out = s.join(F.broadcast(offsets), part == F.col("_p"))
-    return out.select(*df.columns,
-                      (F.col("_off") + F.col("_mid").bitwiseAND(F.lit(_LOW33)) + F.lit(start))
-                      .cast("bigint").alias(name))
-
+from .ordering import with_position  # noqa: F401  (re-exported)
 
 def batch_numbers(df: DataFrame, pos: str = "pos", batch_size: int = K.BATCH_SIZE) -> DataFrame:
     """batch = position div batch_size (reporting only)."""

@@ -92,7 +92,7 @@ def inference_records(calls: DataFrame) -> DataFrame:
     err = F.col("is_error")
     zero = F.lit(0.0)
     return s.select(
-        "conv_id", "turn", "query", "provider",
+        "conv_id", "turn", "query", "provider", "model",
         F.when(err, F.concat(F.lit(K.QUERY_ERROR_PREFIX), F.lit("inference failed"))).otherwise(F.col("response")).alias("response"),
         F.when(err, zero).otherwise(F.col("confidence_score")).alias("confidence_score"),
         F.when(err, zero).otherwise(F.col("latency_ms")).alias("latency_ms"),

@@ -1,3 +1,269 @@
-"""Registered queries."""
+"""Registered metric, health, alert and cost-report queries
+(A01, A07, A08, A10-A13, J05, W06, W07, T02-T05, X04, X05)."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .. import constants as K
+from ..operators import documents as D
+from ..operators import metrics as M
+from ..operators import qa as Q
+from ..operators import report as R
+from ..session import Tables
+from . import sqlexpr as X
+from . import views as V
+from .catalog import register
+from .q_documents import FUSION_SQL
+
+R6 = 6
+MONTHLY_BUDGET = 50000.0
+RETENTION_AS_OF = "2024-01-31 00:00:00"
+RETENTION_DEMO_DAYS = 1
+TS_FMT = "'%Y-%m-%d %H:%M:%S.%f'"
+
+METRIC_SQL = """
+SELECT provider, metric, CAST(count(value) AS BIGINT) AS count, round(avg(value), 6) AS average,
+       min(value) AS min, max(value) AS max, arg_max(value, {'t': ts, 's': seq}) AS latest
+FROM v_metrics GROUP BY provider, metric
+"""
+
+
+@register("metric_summary", V.with_views(METRIC_SQL, "v_metrics"), "A01 W07 T01(batch)")
+def q_metric_summary(spark, sf_dir):
+    s = M.metric_summary(V.metrics(Tables(spark, sf_dir)))
+    return s.select("provider", "metric", "count", F.round("average", R6).alias("average"), "min", "max", "latest")
+
+
+STATUS_SQL = f"""
+SELECT provider, service_name, arg_max(status, {{'t': ts, 'e': event_id}}) AS status,
+       strftime(max(ts), {TS_FMT}) AS last_seen
+FROM v_calls GROUP BY provider, service_name
+"""
+
+
+@register("service_health", V.with_views(STATUS_SQL, "v_calls"), "J05")
+def q_service_health(spark, sf_dir):
+    s = M.latest_status(V.calls(Tables(spark, sf_dir)))
+    return s.select("provider", "service_name", "status", M.ts_text(F.col("last_seen")).alias("last_seen"))
+
+
+HEALTH_SQL = """
+WITH s AS (SELECT provider, service_name, arg_max(status, {'t': ts, 'e': event_id}) AS status
+           FROM v_calls GROUP BY provider, service_name)
+SELECT provider, CASE WHEN bool_or(status <> 'healthy') THEN 'degraded' ELSE 'healthy' END AS overall_status,
+       CAST(count(*) AS BIGINT) AS services, CAST(count(*) FILTER (WHERE status <> 'healthy') AS BIGINT) AS services_not_healthy
+FROM s GROUP BY provider
+"""
+
+
+@register("health_rollup", V.with_views(HEALTH_SQL, "v_calls"), "A11 Q12")
+def q_health_rollup(spark, sf_dir):
+    return M.health_rollup(M.latest_status(V.calls(Tables(spark, sf_dir))))
+
+
+COMPARE_SQL = """
+SELECT metric, round(avg(value) FILTER (WHERE provider = 'azure_openai'), 6) AS azure_openai,
+       round(avg(value) FILTER (WHERE provider = 'vertex_ai'), 6) AS vertex_ai
+FROM v_metrics GROUP BY metric
+"""
+
+
+@register("provider_comparison", V.with_views(COMPARE_SQL, "v_metrics"), "A12")
+def q_provider_comparison(spark, sf_dir):
+    p = M.provider_comparison(V.metrics(Tables(spark, sf_dir)), V.PROVIDERS)
+    return p.select("metric", *[F.round(c, R6).alias(c) for c in V.PROVIDERS])
+
+
+LATENCY_SQL = """
+SELECT provider, CAST(count(*) AS BIGINT) AS calls,
+       round(count(*) FILTER (WHERE latency_ms < 1000.0::DOUBLE)::DOUBLE / count(*)::DOUBLE, 6) AS share_under_1s,
+       round(quantile_cont(latency_ms, 0.5), 6) AS p50_ms, round(quantile_cont(latency_ms, 0.95), 6) AS p95_ms
+FROM v_interactions GROUP BY provider
+"""
+
+
+@register("latency_kpis", V.with_views(LATENCY_SQL, "v_interactions"), "A13")
+def q_latency_kpis(spark, sf_dir):
+    k = M.latency_kpis(V.interactions(Tables(spark, sf_dir)), by=["provider"])
+    return k.select("provider", "calls", *[F.round(c, R6).alias(c) for c in ("share_under_1s", "p50_ms", "p95_ms")])
+
+
+BUDGET_SQL = f"""
+WITH b AS (SELECT ts, event_id, cost, date_trunc('month', ts) AS month FROM v_calls),
+r AS (SELECT *, sum(cost) OVER (PARTITION BY month ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS mtd
+      FROM b),
+f AS (SELECT *, mtd / greatest((epoch_us(ts) - epoch_us(month))::DOUBLE / 1e6::DOUBLE
+                 / (epoch(month + INTERVAL 1 MONTH) - epoch(month))::DOUBLE, 1e-9::DOUBLE) AS fc FROM r),
+h AS (SELECT month, 'actual' AS kind, 0.8::DOUBLE AS threshold, arg_min({{'ts': ts, 'id': event_id, 'm': mtd, 'v': mtd}}, {{'a': ts, 'b': event_id}}) AS x
+      FROM f WHERE mtd > 0.8::DOUBLE * {MONTHLY_BUDGET!r}::DOUBLE GROUP BY month
+      UNION ALL
+      SELECT month, 'forecast', 0.95::DOUBLE, arg_min({{'ts': ts, 'id': event_id, 'm': mtd, 'v': fc}}, {{'a': ts, 'b': event_id}})
+      FROM f WHERE fc > 0.95::DOUBLE * {MONTHLY_BUDGET!r}::DOUBLE GROUP BY month)
+SELECT strftime(month, {TS_FMT}) AS month, kind, threshold, strftime(x.ts, {TS_FMT}) AS crossed_at, x.id AS event_id,
+       round(x.m, 4) AS month_to_date, round(x.v, 4) AS compared_value
+FROM h
+"""
+
+
+@register("budget_alerts", V.with_views(BUDGET_SQL, "v_calls"), "W06 T03")
+def q_budget_alerts(spark, sf_dir):
+    b = M.budget_crossings(V.calls(Tables(spark, sf_dir)), MONTHLY_BUDGET)
+    return b.select(M.ts_text(F.col("month")).alias("month"), "kind", "threshold",
+                    M.ts_text(F.col("crossed_at")).alias("crossed_at"), "event_id",
+                    F.round("month_to_date", 4).alias("month_to_date"),
+                    F.round("compared_value", 4).alias("compared_value"))
+
+
+ERRRATE_SQL = f"""
+SELECT strftime(time_bucket(INTERVAL '300 seconds', ts), {TS_FMT}) AS window_start, service_name,
+       CAST(sum(error_count) AS BIGINT) AS errors,
+       round(sum(error_count)::DOUBLE / 300.0::DOUBLE, 6) AS rate_per_second,
+       (sum(error_count)::DOUBLE / 300.0::DOUBLE > 5.0::DOUBLE) AS firing
+FROM v_calls WHERE severity IN ('ERROR', 'CRITICAL', 'ALERT', 'EMERGENCY')
+GROUP BY 1, 2
+"""
+
+
+@register("error_rate_alerts", V.with_views(ERRRATE_SQL, "v_calls"), "T02 T07")
+def q_error_rate_alerts(spark, sf_dir):
+    w = M.error_rate_windows(V.calls(Tables(spark, sf_dir)))
+    return w.select(M.ts_text(F.col("window_start")).alias("window_start"), "service_name", "errors",
+                    F.round("rate_per_second", R6).alias("rate_per_second"), "firing")
+
+
+DASH_SQL = f"""
+SELECT strftime(time_bucket(INTERVAL '300 seconds', ts), {TS_FMT}) AS window_start,
+       CAST(count(*) AS BIGINT) AS requests, CAST(sum(error_count) AS BIGINT) AS errors,
+       round(sum(error_count)::DOUBLE / count(*)::DOUBLE, 6) AS error_rate,
+       round(avg(cost), 6) AS avg_value, max(cost) AS max_value
+FROM v_calls GROUP BY 1
+"""
+
+
+@register("dashboard_series", V.with_views(DASH_SQL, "v_calls"), "T04")
+def q_dashboard_series(spark, sf_dir):
+    d = M.dashboard_series(V.calls(Tables(spark, sf_dir)))
+    return d.select(M.ts_text(F.col("window_start")).alias("window_start"), "requests", "errors",
+                    F.round("error_rate", R6).alias("error_rate"), F.round("avg_value", R6).alias("avg_value"),
+                    "max_value")
+
+
+RETAIN_SQL = f"""
+SELECT event_id, event_type, strftime(ts, {TS_FMT}) AS ts
+FROM events WHERE ts >= TIMESTAMP '{RETENTION_AS_OF}' - INTERVAL {RETENTION_DEMO_DAYS} DAY
+"""
+
+
+@register("retention_window", RETAIN_SQL, "T05")
+def q_retention_window(spark, sf_dir):
+    e = M.retain(Tables(spark, sf_dir).events, RETENTION_AS_OF, RETENTION_DEMO_DAYS)
+    return e.select("event_id", "event_type", M.ts_text(F.col("ts")).alias("ts"))
+
+
+# ---------------------------------------------------------------------------
+# cost report
+# ---------------------------------------------------------------------------
+def _costs(t: Tables):
+    inf = Q.inference_records(V.interactions(t)).select("provider", F.col("cost_estimate").alias("cost"))
+    docs = D.rollup_documents(D.fuse_readings(V.candidates(t)), with_text=False).select(
+        F.lit("multimodal_ai").alias("provider"), F.col("cost_estimate").alias("cost"))
+    return inf.unionByName(docs)
+
+
+_COSTS_SQL = f"""
+f AS ({FUSION_SQL.strip()}),
+dd AS (SELECT doc_id, count(*) AS n FROM f GROUP BY doc_id),
+costs AS (
+  SELECT provider, CASE WHEN is_error THEN 0.0::DOUBLE ELSE {X.dispatched_cost('model', 'query', 'response')} END AS cost
+  FROM v_interactions
+  UNION ALL SELECT 'multimodal_ai', n::DOUBLE / 1000 * 0.83::DOUBLE + n::DOUBLE * 0.004::DOUBLE FROM dd),
+allc AS (SELECT provider, cost FROM costs UNION ALL SELECT 'infrastructure', 2.5::DOUBLE),
+bd AS (SELECT CASE WHEN grouping(provider) = 1 THEN 'TOTAL' ELSE provider END AS provider,
+              sum(cost) AS total_cost_inr, CAST(count(*) AS BIGINT) AS items
+       FROM allc GROUP BY ROLLUP (provider))"""
+
+BREAKDOWN_SQL = f"""
+WITH {_COSTS_SQL.strip()}
+SELECT provider, round(total_cost_inr, 8) AS total_cost_inr, items FROM bd
+"""
+
+
+@register("cost_breakdown", V.with_views(BREAKDOWN_SQL, "v_interactions", "v_candidates"), "A07 Q21 U01")
+def q_cost_breakdown(spark, sf_dir):
+    b = R.cost_breakdown(_costs(Tables(spark, sf_dir)))
+    return b.select("provider", F.round("total_cost_inr", 8).alias("total_cost_inr"), "items")
+
+
+KPI_SQL = f"""
+WITH {_COSTS_SQL.strip()},
+k AS (SELECT (SELECT total_cost_inr FROM bd WHERE provider = 'TOTAL') AS total_cost_inr,
+             (SELECT CAST(count(*) AS BIGINT) FROM costs) AS total_queries)
+SELECT round(total_cost_inr, 8) AS total_cost_inr, total_queries,
+       round(CASE WHEN total_queries > 0 THEN total_cost_inr / total_queries ELSE 0.0 END, 10) AS cost_per_query,
+       round(total_cost_inr / 500.0::DOUBLE * 100.0::DOUBLE, 8) AS budget_utilization,
+       CASE WHEN (CASE WHEN total_queries > 0 THEN total_cost_inr / total_queries ELSE 0.0 END) < 1.0::DOUBLE THEN 'Excellent'
+            WHEN (CASE WHEN total_queries > 0 THEN total_cost_inr / total_queries ELSE 0.0 END) < 2.0::DOUBLE THEN 'Good'
+            ELSE 'Needs optimization' END AS cost_efficiency
+FROM k
+"""
+
+
+def _kpis(t: Tables):
+    costs = _costs(t)
+    bd = R.cost_breakdown(costs)
+    n = costs.agg(F.count(F.lit(1)).cast("bigint").alias("total_queries"))
+    return R.cost_kpis(bd, n)
+
+
+@register("cost_kpis", V.with_views(KPI_SQL, "v_interactions", "v_candidates"), "A08")
+def q_cost_kpis(spark, sf_dir):
+    k = _kpis(Tables(spark, sf_dir))
+    return k.select(F.round("total_cost_inr", 8).alias("total_cost_inr"), "total_queries",
+                    F.round("cost_per_query", 10).alias("cost_per_query"),
+                    F.round("budget_utilization", 8).alias("budget_utilization"), "cost_efficiency")
+
+
+def _rec_sql() -> str:
+    rules = ["(total_cost_inr > 100.0::DOUBLE)", "(coalesce(avg_conf, 0.0) < 0.8::DOUBLE)", "(coalesce(avg_time > 30.0::DOUBLE, false))"]
+    sel = []
+    for i, ((cat, pr, rec, note), cond) in enumerate(zip(K.RULE_RECOMMENDATIONS, rules)):
+        sel.append(f"SELECT CAST({i} AS BIGINT) AS ord, '{cat}' AS category, '{pr}' AS priority, '{rec}' AS recommendation, '{note}' AS note FROM k WHERE {cond}")
+    n = len(K.RULE_RECOMMENDATIONS)
+    for j, (cat, pr, rec, note) in enumerate(K.FIXED_RECOMMENDATIONS):
+        sel.append(f"SELECT CAST({n + j} AS BIGINT), '{cat}', '{pr}', '{rec}', '{note}'")
+    return "\nUNION ALL ".join(sel)
+
+
+REC_SQL = f"""
+WITH {_COSTS_SQL.strip()},
+k AS (SELECT (SELECT total_cost_inr FROM bd WHERE provider = 'TOTAL') AS total_cost_inr,
+             (SELECT avg(CASE WHEN is_error THEN 0.0::DOUBLE ELSE {X.grounded_conf('response', 'context')} END)
+              FROM v_interactions WHERE model = 'chat') AS avg_conf,
+             CAST(NULL AS DOUBLE) AS avg_time)
+{_rec_sql()}
+"""
+
+
+@register("recommendations", V.with_views(REC_SQL, "v_interactions", "v_candidates"), "X04 A10 Q16")
+def q_recommendations(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    bd = R.cost_breakdown(_costs(t)).where(F.col("provider") == R.TOTAL_LABEL).select("total_cost_inr")
+    chat = Q.inference_records(V.interactions(t)).where(F.col("model") == "chat") \
+        .agg(F.avg("confidence_score").alias("avg_chat_confidence"))
+    kp = R.combine_rows(bd, chat).withColumn("avg_processing_time", F.lit(None).cast("double"))
+    return R.recommendations(kp)
+
+
+@register("platform_report", None, "X05 S06 (report rows; sections checked by their own oracles)")
+def q_platform_report(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    from ..operators import evaluate as E
+    sections = {
+        "health": M.health_rollup(M.latest_status(V.calls(t)), by=()).drop("overall_status"),
+        "chat": Q.request_summary(Q.analyze(V.interactions(t), Q.safety_scores(V.severity(t)), use_rag=False)),
+        "evaluation": E.evaluation_summary(Q.inference_records(V.interactions(t)).withColumn("pos", F.lit(0))),
+        "documents": D.processing_summary(D.rollup_documents(D.fuse_readings(V.candidates(t)), with_text=False)),
+        "cost": _kpis(t),
+    }
+    return R.report_rows(sections)
