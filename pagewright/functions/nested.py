@@ -30,7 +30,7 @@ def parse_form(json_text: Column) -> Column:
 def layout_info(form: Column) -> Column:
     """First page's width/height (0 when absent) and the paragraphs with
     their polygons."""
-    first = F.element_at(F.coalesce(form["pages"], F.array().cast("array<struct<width:double,height:double>>")), 1)
+    first = F.try_element_at(F.coalesce(form["pages"], F.array().cast("array<struct<width:double,height:double>>")), F.lit(1))
     paras = F.transform(F.coalesce(form["paragraphs"], F.array().cast(f"array<{PARAGRAPH}>")),
                         lambda p: F.struct(p["content"].alias("content"),
                                            F.coalesce(p["bounding_regions"], F.array().cast(f"array<{REGION}>"))
