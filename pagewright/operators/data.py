@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import text as T
+from ..session import spread
 
 
 # D01 -------------------------------------------------------------------------
@@ -66,7 +67,7 @@ def pii_report(df: DataFrame, key: str, text: str, types=("email", "phone_number
     """Per text the number of emails and phone numbers found and the
     text with every match replaced by a type token."""
     t = F.coalesce(F.col(text), F.lit(""))
-    return df.select(key,
+    return spread(df.select(key, text), key).select(key,
                      F.size(T.entity_matches(t, "email")).cast("bigint").alias("emails"),
                      F.size(T.entity_matches(t, "phone_number")).cast("bigint").alias("phones"),
                      T.mask_entities(t, types).alias("masked_text"))

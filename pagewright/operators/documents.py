@@ -137,7 +137,9 @@ def summarize_documents(docs: DataFrame, limit: int | None = K.ENTITY_LIMIT,
 
 def explode_entities(df: DataFrame, keys=("doc_id",), col: str = "extracted_entities") -> DataFrame:
     keys = list(keys)
-    return df.select(*keys, F.posexplode(col).alias("entity_pos", "e")).select(
+    # posexplode_outer + a null filter keeps Catalyst from inferring a
+    # ``size(<extraction>) > 0`` filter that would run the regexes twice
+    return df.select(*keys, F.posexplode_outer(col).alias("entity_pos", "e")).where(F.col("e").isNotNull()).select(
         *keys, (F.col("entity_pos") + 1).cast("bigint").alias("entity_pos"),
         F.col("e.type").alias("entity_type"), F.col("e.value").alias("value"),
         F.col("e.confidence").alias("confidence"))

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import constants as K
+from ..session import spread
 
 MAX_BROADCAST_QUERY_BYTES = 64 * 1024 * 1024
 MAX_BROADCAST_TOKEN_ROWS = 5_000_000
@@ -47,8 +48,12 @@ def distinct_tokens(df: DataFrame, key: str, text: str, out_key: str | None = No
     """One row per (key, distinct token) plus the text's distinct-token count."""
     out_key = out_key or key
     ws = F.array_distinct(tokens(F.col(text)))
-    return df.select(F.col(key).alias(out_key), ws.alias("_ws")).select(
-        out_key, F.size("_ws").cast("bigint").alias("n_tokens"), F.explode("_ws").alias("token"))
+    # explode_outer + a null filter: a plain explode of the aliased array
+    # makes Catalyst infer ``size(<array expr>) > 0`` below the projection,
+    # which would tokenise every text twice
+    return (spread(df.select(key, text), key).select(F.col(key).alias(out_key), ws.alias("_ws"))
+            .select(out_key, F.size("_ws").cast("bigint").alias("n_tokens"), F.explode_outer("_ws").alias("token"))
+            .where(F.col("token").isNotNull()))
 
 
 def token_match_counts(big: DataFrame, small: DataFrame, big_key: str, small_key: str,
@@ -99,7 +104,7 @@ def hashed_embeddings(df: DataFrame, key: str, text: str, dim: int = 64) -> Data
     per key after the second step; the last step gathers those ``dim``
     values (never the text) into one vector.
     """
-    t = df.select(F.col(key).alias("_k"), F.explode(tokens(F.col(text))).alias("_t"))
+    t = spread(df.select(key, text), key).select(F.col(key).alias("_k"), F.explode(tokens(F.col(text))).alias("_t"))
     c = t.groupBy("_k", "_t").agg(F.count(F.lit(1)).alias("_n"))
     h = F.md5(F.col("_t"))
     bucket = (F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint") % F.lit(dim)).cast("int")
@@ -230,7 +235,7 @@ def knn(queries: DataFrame, corpus: DataFrame, qkey: str, ckey: str, vec: str, k
     schema = T.StructType([T.StructField(qkey, qtype), T.StructField(ckey, ctype),
                            T.StructField("similarity", T.DoubleType())])
     sc = queries.sparkSession.sparkContext
-    c = corpus.select(ckey, vec)
+    c = spread(corpus.select(ckey, vec), ckey)
     parts = []
     for blk in _query_blocks(qn, qkey, limit):
         import numpy as np

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import text as T
 from ..operators import documents as D
-from ..session import Tables
+from ..session import Tables, spread
 from . import views as V
 from .catalog import register
 
@@ -90,7 +90,8 @@ FROM x
 @register("document_entities", ENTITIES_SQL, "F13 F14 F15 F16 F17 L01 Q4-Q7 Q15")
 def q_document_entities(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    docs = t.documents.select("doc_id", T.extract_entities(F.col("text")).alias("extracted_entities"))
+    docs = spread(t.documents.select("doc_id", "text"), "doc_id").select(
+        "doc_id", T.extract_entities(F.col("text")).alias("extracted_entities"))
     return D.explode_entities(docs)
 
 
