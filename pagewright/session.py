@@ -42,9 +42,17 @@ def get_spark(master: str | None = None, app: str = "pagewright",
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the session-level settings on an existing (e.g. driver-made) session."""
+    """Apply the session-level settings on an existing (e.g. driver-made) session.
+
+    Runtime SQL settings only: UTC, last-write-wins map keys (N03), and
+    adaptive execution with skew-join splitting, which the keyed joins rely
+    on when one key (a conversation, a document) holds a large share of rows.
+    """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     return spark
 
 
