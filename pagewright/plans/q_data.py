@@ -52,7 +52,7 @@ FROM r
 
 @register("batch_inference", V.with_views(INFER_SQL, "v_interactions"), "X01 X02 P08 W04 T06(batch)")
 def q_batch_inference(spark, sf_dir):
-    calls = V.interactions(Tables(spark, sf_dir))
+    calls = V.interactions(Tables(spark, sf_dir), with_context=False)
     r = PL.batch_inference(calls, PL.extractive_model, model="custom")
     return r.select("conv_id", "turn", "response", "is_error", "model_used",
                     F.round("confidence_score", R6).alias("confidence_score"),
@@ -102,7 +102,7 @@ FROM r WHERE rn = 1
 
 @register("training_data", V.with_views(TRAINING_SQL, "v_interactions"), "D01 S07(records)")
 def q_training_data(spark, sf_dir):
-    calls = V.interactions(Tables(spark, sf_dir))
+    calls = V.interactions(Tables(spark, sf_dir), with_context=False)
     return DJ.prepare_training_data(calls, keys=("conv_id", "turn"))
 
 

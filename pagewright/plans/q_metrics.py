@@ -85,7 +85,7 @@ FROM v_interactions GROUP BY provider
 
 @register("latency_kpis", V.with_views(LATENCY_SQL, "v_interactions"), "A13")
 def q_latency_kpis(spark, sf_dir):
-    k = M.latency_kpis(V.interactions(Tables(spark, sf_dir)), by=["provider"])
+    k = M.latency_kpis(V.interactions(Tables(spark, sf_dir), with_context=False), by=["provider"])
     return k.select("provider", "calls", *[F.round(c, R6).alias(c) for c in ("share_under_1s", "p50_ms", "p95_ms")])
 
 
@@ -165,7 +165,9 @@ def q_retention_window(spark, sf_dir):
 # cost report
 # ---------------------------------------------------------------------------
 def _costs(t: Tables):
-    inf = Q.inference_records(V.interactions(t)).select("provider", F.col("cost_estimate").alias("cost"))
+    # prices read only query and response: no document context join needed
+    inf = Q.inference_records(V.interactions(t, with_context=False)).select(
+        "provider", F.col("cost_estimate").alias("cost"))
     docs = D.rollup_documents(D.fuse_readings(V.candidates(t)), with_text=False).select(
         F.lit("multimodal_ai").alias("provider"), F.col("cost_estimate").alias("cost"))
     return inf.unionByName(docs)

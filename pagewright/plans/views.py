@@ -39,14 +39,22 @@ def _model(conv_id: Column) -> Column:
     return F.when(m == 0, "chat").when(m == 1, "custom").otherwise("gemini")
 
 
-def interactions(t: Tables) -> DataFrame:
+def interactions(t: Tables, with_context: bool = True) -> DataFrame:
+    """``with_context=False`` leaves out the document join (and its shuffle of
+    the full document text) for jobs that never read the context; Catalyst
+    cannot drop a left join by itself unless the right side is provably
+    unique."""
     c = t.conversations.select("conv_id", "turn", "role", "text")
     u = c.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("query"))
     a = c.where(F.col("role") == "assistant").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("response"))
-    d = t.documents.select(F.col("doc_id").alias("conv_id"), F.col("text").alias("context"))
-    return (u.join(a, ["conv_id", "turn"])
-            .join(d, "conv_id", "left")
+    j = u.join(a, ["conv_id", "turn"])
+    if with_context:
+        d = t.documents.select(F.col("doc_id").alias("conv_id"), F.col("text").alias("context"))
+        j = j.join(d, "conv_id", "left")
+    else:
+        j = j.withColumn("context", F.lit(None).cast("string"))
+    return (j
             .select("conv_id", "turn", "query", "response", "context",
                     _provider(F.col("conv_id")).alias("provider"),
                     _model(F.col("conv_id")).alias("model"),
