@@ -29,10 +29,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import constants as K
-from ..session import spread
+from ..session import reliable_checkpoint, spread
 
 MAX_BROADCAST_QUERY_BYTES = 64 * 1024 * 1024
-MAX_BROADCAST_TOKEN_ROWS = 5_000_000
+MAX_BROADCAST_TOKEN_ROWS = 1_000_000  # (key, length, token) rows: a few tens of MB
 RRF_K = 60
 
 
@@ -133,7 +133,9 @@ def _query_blocks(queries: DataFrame, qkey: str, limit: int):
     if n <= limit:
         return [queries]
     blocks = (n + limit - 1) // limit
-    b = queries.withColumn("_blk", F.abs(F.xxhash64(F.col(qkey))) % blocks)
+    # several passes read the query vectors: materialise them once in the
+    # shared checkpoint folder instead of recomputing them per block
+    b = reliable_checkpoint(queries.withColumn("_blk", F.abs(F.xxhash64(F.col(qkey))) % blocks))
     return [b.where(F.col("_blk") == i).drop("_blk") for i in range(blocks)]
 
 
