@@ -105,8 +105,9 @@ def hashed_embeddings(df: DataFrame, key: str, text: str, dim: int = 64) -> Data
     values (never the text) into one vector.
     """
     t = spread(df.select(key, text), key).select(F.col(key).alias("_k"), F.explode(tokens(F.col(text))).alias("_t"))
-    c = t.groupBy("_k", "_t").agg(F.count(F.lit(1)).alias("_n"))
-    h = F.md5(F.col("_t"))
+    c = (t.groupBy("_k", "_t").agg(F.count(F.lit(1)).alias("_n"))
+         .select("_k", "_n", F.md5(F.col("_t")).alias("_h")))  # one digest per (text, token)
+    h = F.col("_h")
     bucket = (F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint") % F.lit(dim)).cast("int")
     sign = F.when(F.substring(h, 9, 1) < F.lit("8"), F.lit(1)).otherwise(F.lit(-1))
     bk = c.groupBy("_k", bucket.alias("_b")).agg(F.sum(sign * F.col("_n")).cast("double").alias("_v"))
