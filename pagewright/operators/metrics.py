@@ -108,18 +108,19 @@ def budget_crossings(costs: DataFrame, monthly_budget: float, ts: str = "ts", co
     mtd = mtd.withColumn("forecast_spend", F.col("month_to_date") / share)
     cmp = (lambda a, b: a > b) if strict else (lambda a, b: a >= b)
     rules = [("actual", t, "month_to_date") for t in actual] + [("forecast", t, "forecast_spend") for t in forecast]
-    parts = []
-    for kind, thr, col in rules:
-        hit = mtd.where(cmp(F.col(col), F.lit(float(thr) * float(monthly_budget))))
-        parts.append(hit.groupBy("month").agg(
-            F.min_by(F.struct("ts", "id", "month_to_date", "forecast_spend"), F.struct("ts", "id")).alias("h"))
-            .select("month", F.lit(kind).alias("kind"), F.lit(float(thr)).alias("threshold"),
-                    F.col("h.ts").alias("crossed_at"), F.col("h.id").alias("event_id"),
-                    F.col("h.month_to_date").alias("month_to_date"), F.col("h." + col).alias("compared_value")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    # one pass for all rules: per rule a min_by whose ordering is NULL on rows
+    # that do not pass the threshold (min_by skips NULL orderings)
+    row = F.struct("ts", "id", "month_to_date", "forecast_spend")
+    aggs = [F.min_by(row, F.when(cmp(F.col(col), F.lit(float(thr) * float(monthly_budget))), F.struct("ts", "id")))
+            .alias(f"_h{i}") for i, (kind, thr, col) in enumerate(rules)]
+    g = mtd.groupBy("month").agg(*aggs)
+    hits = F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(float(thr)).alias("threshold"),
+                              F.col(f"_h{i}.ts").alias("crossed_at"), F.col(f"_h{i}.id").alias("event_id"),
+                              F.col(f"_h{i}.month_to_date").alias("month_to_date"),
+                              F.col(f"_h{i}.{col}").alias("compared_value"))
+                     for i, (kind, thr, col) in enumerate(rules)])
+    return (g.select("month", F.explode(hits).alias("h")).where(F.col("h.crossed_at").isNotNull())
+            .select("month", "h.*"))
 
 
 def error_rate_windows(logs: DataFrame, ts: str = "ts", by="service_name", window_seconds: int = K.ERROR_RATE_WINDOW_SECONDS,
