@@ -132,6 +132,29 @@ def q_error_rate_alerts(spark, sf_dir):
                     F.round("rate_per_second", R6).alias("rate_per_second"), "firing")
 
 
+# the data never reaches 5 errors/s; the sustained rule is exercised at a low
+# limit: any error in a 300 s window, in at least 2 consecutive windows
+SUSTAINED_RATE = 0.0
+SUSTAINED_WINDOWS = 2
+
+SUSTAINED_SQL = f"""
+WITH w AS (SELECT time_bucket(INTERVAL '300 seconds', ts) AS ws, service_name,
+                  sum(error_count)::DOUBLE / 300.0::DOUBLE AS rate
+           FROM v_calls WHERE severity IN ('ERROR', 'CRITICAL', 'ALERT', 'EMERGENCY') GROUP BY 1, 2),
+f AS (SELECT ws, service_name, CAST(epoch(ws) AS BIGINT) // 300 AS i FROM w WHERE rate > {SUSTAINED_RATE!r}::DOUBLE),
+g AS (SELECT *, i - row_number() OVER (PARTITION BY service_name ORDER BY i) AS grp FROM f)
+SELECT service_name, strftime(min(ws), {TS_FMT}) AS first_window, CAST(count(*) AS BIGINT) AS windows
+FROM g GROUP BY service_name, grp HAVING count(*) >= {SUSTAINED_WINDOWS}
+"""
+
+
+@register("sustained_error_alerts", V.with_views(SUSTAINED_SQL, "v_calls"), "T02 (k consecutive windows)")
+def q_sustained_error_alerts(spark, sf_dir):
+    w = M.error_rate_windows(V.calls(Tables(spark, sf_dir)), threshold_per_second=SUSTAINED_RATE)
+    c = M.consecutive_firing(w, k=SUSTAINED_WINDOWS)
+    return c.select("service_name", M.ts_text(F.col("first_window")).alias("first_window"), "windows")
+
+
 DASH_SQL = f"""
 SELECT strftime(time_bucket(INTERVAL '300 seconds', ts), {TS_FMT}) AS window_start,
        CAST(count(*) AS BIGINT) AS requests, CAST(sum(error_count) AS BIGINT) AS errors,
