@@ -7,12 +7,14 @@ import duckdb
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from pagewright.plans.catalog import QUERIES as CATALOG
 from pagewright.session import TABLES
 
 SF_SMALL = "/root/testdata/sf0.001"
 
-QUERIES = queries()
-ORACLE = oracle_sql()
+# the training-data queries have their own tests in tests/llm
+QUERIES = {k: v for k, v in queries().items() if k in CATALOG}
+ORACLE = {k: v for k, v in oracle_sql().items() if k in CATALOG}
 
 
 def _norm(v):
