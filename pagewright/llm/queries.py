@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import neardup, packing
+from . import langid, neardup, packing
 from .jobs import text_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +60,12 @@ FROM n JOIN r ON r.id = n.doc_id GROUP BY n.doc_id, n.n
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of ``documents``: 3-word shingles, Jaccard >= .85."""
     return neardup.near_duplicates(text_table(spark, sf_dir, "documents"), shingle=3, num=85, den=100)
+
+
+@query("op10_crf_language_id")
+def op10_crf_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text of ``documents``, labelled word by word."""
+    docs = text_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs)
+    return (langid.identify(docs.select("doc_id", "text"), model)
+            .select("doc_id", langid.is_held_out().alias("held_out"), "lang_pred", "score"))
