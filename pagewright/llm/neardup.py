@@ -15,14 +15,14 @@ Plan
    below), so representatives with fewer shared values drop out, and of the
    others only the rarest ``c - NEEDED + 1`` values are indexed: common lines
    and shingles do not build long lists.
-3. Each list gives the pairs (smallest member, other member): linear in the
-   list.  Pairs are filtered by size, by the Jaccard estimate from the bottom
+3. Each list gives the pairs (most central member, other member): linear in
+   the list.  Pairs are filtered by size, by the Jaccard estimate from the bottom
    of the sketch union, and verified on the full sets.
 4. Components of the verified links.  Lists whose members all lie in one
-   component can add nothing.  In every other list, pairs between *different*
-   components are made, again filtered and verified, so that no link is lost;
-   long lists are first split by a second shared value.  A second run of
-   components gives the classes.
+   component can add nothing.  The members of every other list pass an exact
+   prefix filter on their full sets, which makes pairs between *different*
+   components only; these are verified too, so that no link is lost, and a
+   second run of components gives the classes.
 
 Miss bounds (the only inexact step is the candidate search): a pair at the
 threshold .85 shares fewer than 4 of 16 indexed values with probability below
@@ -53,7 +53,6 @@ from .jobs import components, cut
 RETAINED = 64   # values of a sketch, for the estimate
 INDEXED = 16    # lowest values of it that have inverted lists
 NEEDED = 4      # of the indexed values that two linked sets share at least
-LONG_LIST = 64  # members from which an open list is split by a second value
 ESTIMATE_MISS = 1e-9
 
 _SKETCH = "doc_id long, n long, d1 long, d2 long, low array<long>, sketch binary"
@@ -159,56 +158,71 @@ def _lists(reps: DataFrame, num: int, den: int) -> DataFrame:
     need = F.greatest(F.lit(1), F.least(F.lit(NEEDED), F.ceil(F.col("n") * num / den) - 2)).cast("int")
     return (postings.join(shared, "v").groupBy("rep", "n")
             .agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("ordered"))  # at most INDEXED entries
-            .select("rep", "n", F.transform("ordered", lambda x: x["v"]).alias("values"), need.alias("need"))
+            .select("rep", "n", F.transform("ordered", lambda x: x["v"]).alias("values"), need.alias("need"),
+                    F.aggregate("ordered", F.lit(0).cast("long"), lambda t, x: t + x["df"]).alias("weight"))
             .filter(F.size("values") >= F.col("need")))
 
 
 def _entries(lists: DataFrame) -> DataFrame:
     """(v, rep, n): inverted lists of the rarest values of each representative."""
     first = F.slice("values", F.lit(1), F.size("values") - F.col("need") + 1)
-    return lists.select("rep", "n", F.explode(first).alias("v"))
+    return lists.select("rep", "n", "weight", F.explode(first).alias("v"))
 
 
 def _star_pairs(entries: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of each list's smallest member with every other member."""
-    leaders = entries.groupBy("v").agg(F.min(F.struct("rep", "n")).alias("l"), F.count("*").alias("m")).filter("m > 1")
+    """Pairs of each list's most central member (the one whose values are in
+    the most sets: of a family of edited copies, the least edited) with every
+    other member."""
+    leaders = entries.groupBy("v").agg(F.max(F.struct("weight", "rep", "n")).alias("l"), F.count("*").alias("m")).filter("m > 1")
     return (entries.join(leaders, "v").filter("rep <> l.rep")
             .select(F.col("l.rep").alias("a"), F.col("rep").alias("b"), F.col("l.n").alias("na"), F.col("n").alias("nb"))
             .filter(_sizes_fit(num, den)).select("a", "b").distinct())
 
 
-def _open_pairs(lists: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of members of different components that share a list.  A list is
-    open if it has more than one component.  Open lists of LONG_LIST members
-    or more are split by a second value: linked sets share NEEDED values, so
-    the rarest two they share lie among the first c - need + 2 of either."""
-    marked = (lists.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left")
+def _open_pairs(lists: DataFrame, labels: DataFrame, docs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
+    """Pairs of members of different components that may still be linked.
+
+    Only members of *open* lists (more than one component) can be.  For them
+    an exact prefix filter on the full sets follows: a shingle counts for a
+    set if a set of another component has it; a set needs ``num / den`` of its
+    shingles to count; of its counting shingles, rarest first, a linked pair
+    shares one of the first ``c - need + 1``, and where it shares its first,
+    the rest of both orders must still suffice."""
+    marked = (_entries(lists).join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left")
               .withColumn("component", F.coalesce("component", "rep")))
-    width = F.size("values") - F.col("need")
-    single = marked.select("rep", "n", "component", F.explode(F.slice("values", F.lit(1), width + 1)).alias("v"))
-    state = (single.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m"))
-             .filter("lo < hi").select("v", "m"))
-    opened = cut(single.join(state, "v"))
-    short = opened.filter(F.col("m") < LONG_LIST).select(F.struct(F.col("v").alias("x"), F.lit(None).cast("long").alias("y")).alias("key"), "rep", "n", "component")
-    long_ = opened.filter(F.col("m") >= LONG_LIST).select("rep", "v").groupBy("rep").agg(F.collect_set("v").alias("open"))
-    seconds = F.slice("values", F.lit(1), width + 2)
-    two = (marked.filter("need > 1").join(long_, "rep")
-           .select("rep", "n", "component", F.explode(F.expr("""
-               flatten(transform(slice(values, 1, size(values) - need + 1), (x, i) ->
-                   transform(filter(slice(values, i + 2, size(values) - need + 1 - i), y -> array_contains(open, x)),
-                             y -> named_struct('x', x, 'y', y))))""")).alias("key")))
-    lone = (marked.filter("need <= 1").join(long_, "rep")
-            .select("rep", "n", "component", "open", F.explode(F.slice("values", F.lit(1), width + 1)).alias("v"))
-            .filter(F.array_contains("open", F.col("v")))
-            .select(F.struct(F.col("v").alias("x"), F.lit(None).cast("long").alias("y")).alias("key"), "rep", "n", "component"))
-    keyed = short.unionByName(two).unionByName(lone)
-    split = keyed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    keyed = keyed.join(split, "key")
-    x, y = keyed.alias("x"), keyed.alias("y")
-    return (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")))
-            .select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"),
-                    F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
-            .filter(_sizes_fit(num, den)).select("a", "b").distinct())
+    mixed = marked.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("v")
+    members = marked.join(mixed, "v").select(F.col("rep").alias("doc_id"), "component").distinct()
+    texts = cut(docs.select("doc_id", "text").join(members, "doc_id"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, parts = batch.column("doc_id"), batch.column("component")
+            for words in W.words_of(batch.column("text")):
+                rows, values, sizes = [], [], []
+                for i, x in W.shingle_sets(words, shingle):
+                    rows.append(np.full(len(x), i))
+                    sizes.append(np.full(len(x), len(x)))
+                    values.append(x.view(np.int64))
+                at = pa.array(np.concatenate(rows))
+                yield pa.RecordBatch.from_arrays([ids.take(at), parts.take(at), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(values))],
+                                                 ["rep", "component", "n", "v"])
+
+    full = texts.mapInArrow(run, "rep long, component long, n long, v long")
+    counting = full.groupBy("v").agg(F.count("*").alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("v", "df")
+    need = F.ceil(F.col("n") * num / den)
+    ordered = (full.join(counting, "v").groupBy("rep", "component", "n")
+               .agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("values"))  # at most the doc's own shingles
+               .filter(F.size("values") >= need))
+    prefix = cut(ordered.select("rep", "component", "n", F.size("values").cast("long").alias("c"),
+                                F.posexplode(F.expr(f"slice(values, 1, size(values) - cast(ceil(n * {num} / {den}) as int) + 1)")).alias("p", "s"))
+                 .select("rep", "component", "n", (F.col("c") - F.col("p")).alias("left"), F.col("s.v").alias("v")))
+    mixed = prefix.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("v")
+    prefix = prefix.join(mixed, "v")
+    x, y = prefix.alias("x"), prefix.alias("y")
+    most = F.least("x.left", "y.left")
+    return (x.join(y, (F.col("x.v") == F.col("y.v")) & (F.col("x.component") < F.col("y.component")))
+            .filter(most * den >= (F.col("x.n") + F.col("y.n") - most) * num)
+            .select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct())
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -227,7 +241,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
 
     links = confirmed(_star_pairs(_entries(lists), num, den))
     labels = components(links)
-    more = confirmed(_open_pairs(lists, labels, num, den))
+    more = confirmed(_open_pairs(lists, labels, docs, shingle, num, den))
     if not more.isEmpty():
         labels = components(links.unionByName(more))
     labels = labels.select(F.col("id").alias("rep"), "component")
