@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..session import configure, read_table, reliable_checkpoint
 
-__all__ = ["cut", "groups_of", "components", "text_table", "configure", "partitions"]
+__all__ = ["cut", "groups_of", "components", "text_table", "prepare", "partitions"]
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -23,8 +23,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def prepare(spark: SparkSession) -> None:
+    """Session settings of the library, and small Arrow batches: rows hold whole texts."""
     configure(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
+def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepare(spark)
     return read_table(spark, sf_dir, name)
 
 

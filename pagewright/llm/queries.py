@@ -10,8 +10,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import langid, neardup, packing
+from . import langid, linerules, neardup, packing, quality
 from .jobs import text_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +32,16 @@ _WORDS = r"""list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]
 _LOWER_WORDS = r"""list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"""
 
 
+@query("op1_nnpu_quality")
+def op1_nnpu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every whole text of ``documents``."""
+    docs = text_table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = text_table(spark, sf_dir, "labels").select("doc_id", "quality")
+    scores = quality.score(docs, quality.fit(docs, labels))
+    return scores.select("doc_id", quality.is_held_out().alias("held_out"), "score",
+                         (F.col("score") >= quality.KEEP_SCORE).cast("int").alias("predicted"))
+
+
 def tokenizer_path() -> str:
     """Vocabulary file of the public byte-level BPE; read where the tokens are made."""
     import public_tokenizers
@@ -69,3 +80,38 @@ def op10_crf_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.fit(docs)
     return (langid.identify(docs.select("doc_id", "text"), model)
             .select("doc_id", langid.is_held_out().alias("held_out"), "lang_pred", "score"))
+
+
+_SEPARATORS = ", ".join(f"'{x}'" for x in linerules.SEPARATORS)
+_BOILERPLATE = "|".join(linerules.BOILERPLATE)
+
+
+@query("op6_line_first_rules", f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d),
+w AS (SELECT doc_id, line, i, {_WORDS.replace("coalesce(text, '')", "line")} AS ws FROM l),
+f AS (SELECT doc_id, line, i, len(ws) AS n, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) > 1 AS is_copy,
+      len(list_filter(ws, lambda x: x IN ({_SEPARATORS}))) AS seps,
+      len(list_filter(ws, lambda x: regexp_matches(x, '[#*$%&|<>]$'))) AS noise,
+      len(list_filter(ws, lambda x: regexp_matches(x, '[A-Z][A-Z]') AND NOT regexp_matches(x, '[a-z]'))) AS shout,
+      len(list_distinct(ws)) AS uniq,
+      regexp_matches(line, '[.!?]') AS ended, regexp_matches(line, '(?i){_BOILERPLATE}') AS boiler
+      FROM w WHERE len(ws) > 0),
+v AS (SELECT doc_id, n, is_copy, (seps >= 2 AND 4 * seps >= n) OR 2 * noise > n OR (n >= 5 AND 2 * shout > n) OR (n >= 8 AND 4 * uniq < n)
+      OR (n >= 30 AND NOT ended) OR (n <= 30 AND boiler) OR is_copy AS fails FROM f),
+s AS (SELECT doc_id, sum(n) AS n_words, count(*) FILTER (is_copy) AS n_dup_lines, coalesce(sum(n) FILTER (fails), 0) AS lost FROM v GROUP BY doc_id),
+t AS (SELECT doc_id, {_WORDS} AS ws FROM d),
+g AS (SELECT doc_id, unnest(list_transform(range(1, len(ws) - 1), lambda i: {{'i': i, 'x': ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]}})) AS g FROM t WHERE len(ws) > 2),
+r AS (SELECT doc_id, g.i AS i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g.x) > 1),
+c AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM r, (SELECT unnest([0, 1, 2]) AS j) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(s.n_words, 0)::BIGINT AS n_words, coalesce(list_sum(list_transform(t.ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+  length(regexp_replace(d.text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(s.n_dup_lines, 0)::BIGINT AS n_dup_lines,
+  coalesce(c.n, 0)::BIGINT AS n_repeat_words,
+  coalesce(s.n_words, 0) < 50 OR 100 * coalesce(c.n, 0) > 50 * coalesce(s.n_words, 0) AS base_failed,
+  coalesce(s.lost, 0)::BIGINT AS lost_words,
+  NOT (coalesce(s.n_words, 0) < 50 OR 100 * coalesce(c.n, 0) > 50 * coalesce(s.n_words, 0)) AND 100 * coalesce(s.lost, 0) <= 30 * coalesce(s.n_words, 0) AS kept
+FROM d JOIN t USING (doc_id) LEFT JOIN s USING (doc_id) LEFT JOIN c USING (doc_id)
+""")
+def op6_line_first_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line rules and verdict of every whole text of ``documents``."""
+    return linerules.evaluate(text_table(spark, sf_dir, "documents"))
