@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, linerules, neardup, packing, quality, sharding
+from . import chat, langid, linerules, neardup, packing, quality, sharding, substring
 from .jobs import text_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -143,3 +143,9 @@ def op2_prefix_target_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents`` in 40 shards whose row counts differ by one at most."""
     return sharding.shards(text_table(spark, sf_dir, "documents"), count=40)
+
+
+@query("op5_collinear_substring_dedup")
+def op5_collinear_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of ``documents`` that repeat, whole or edited, an earlier document's."""
+    return substring.passages(text_table(spark, sf_dir, "documents"))
