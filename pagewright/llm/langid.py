@@ -57,16 +57,6 @@ class Model:
     start: np.ndarray
 
 
-def folded(data: np.ndarray) -> np.ndarray:
-    """Lower case of A-Z and of the two-byte capitals U+00C0-U+00DE."""
-    out = data.copy()
-    out[(data >= 65) & (data <= 90)] += 32
-    if len(data) > 1:
-        wide = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)) + 1
-        out[wide] += 32
-    return out
-
-
 def features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, word) of every feature of the given words."""
     n = len(starts)
@@ -201,7 +191,7 @@ def _sequences(texts: list[str], labels: np.ndarray, rng: np.random.Generator):
         ends.append(words[k].ends[at:at + n] + base[k])
         tags.append(np.full(n, tag))
         total += n
-    data = folded(np.concatenate([w.data for w in words])) if words else np.zeros(0, np.uint8)
+    data = W.folded(np.concatenate([w.data for w in words])) if words else np.zeros(0, np.uint8)
     if not tags:
         return data, np.zeros((0, SEQUENCE), np.int64), np.zeros((0, SEQUENCE), np.int64), np.zeros((0, SEQUENCE), np.int64)
     whole = total // SEQUENCE * SEQUENCE
@@ -260,7 +250,7 @@ class Labeller:
         at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
         new = np.flatnonzero(self.keys[at] != keys) if len(self.keys) else np.arange(len(keys))
         if len(new):
-            rows = emissions(self.model, folded(w.data), w.starts[first[new]], w.ends[first[new]])
+            rows = emissions(self.model, W.folded(w.data), w.starts[first[new]], w.ends[first[new]])
             all_keys = np.concatenate([self.keys, keys[new]])
             order = np.argsort(all_keys, kind="stable")
             self.keys, self.rows = all_keys[order], np.concatenate([self.rows, rows])[order]

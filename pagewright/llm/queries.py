@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, linerules, neardup, packing, quality, sharding, substring
+from . import chat, decontam, langid, linerules, neardup, packing, quality, sharding, substring
 from .jobs import text_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,3 +149,9 @@ def op8_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_collinear_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of ``documents`` that repeat, whole or edited, an earlier document's."""
     return substring.passages(text_table(spark, sf_dir, "documents"))
+
+
+@query("op7_template_decontamination")
+def op7_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that contain a ``benchmark`` item, as it is or re-parameterised."""
+    return decontam.findings(text_table(spark, sf_dir, "documents"), text_table(spark, sf_dir, "benchmark"))

@@ -106,16 +106,31 @@ def _slice_words(data: np.ndarray, at: np.ndarray, first: int, lower: bool) -> W
     bounds = np.searchsorted(starts, at)
     if not len(starts):
         return Words(first, len(at) - 1, data, at, starts, ends, bounds, np.zeros(0, np.uint64))
-    powers = _powers(int((ends - starts).max()))
+    hashes = range_hashes(data, starts, ends, lower)
+    return Words(first, len(at) - 1, data, at, starts, ends, bounds, hashes)
+
+
+def folded(data: np.ndarray) -> np.ndarray:
+    """Lower case of A-Z and of the two-byte capitals U+00C0-U+00DE."""
+    out = data.copy()
+    out[(data >= 65) & (data <= 90)] += 32
+    if len(data) > 1:
+        wide = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)) + 1
+        out[wide] += 32
+    return out
+
+
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
+    """Hash of the bytes of each (non-empty) range."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
     lengths = ends - starts
-    total = int(lengths.sum())
-    within = np.arange(total) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    letters = (_LOWER if lower else _SAME)[data[ink]].astype(np.uint64) + np.uint64(1)
+    begin = np.cumsum(lengths) - lengths
+    within = np.arange(int(lengths.sum())) - np.repeat(begin, lengths)
+    letters = (_LOWER if lower else _SAME)[data[np.repeat(starts, lengths) + within]].astype(np.uint64) + np.uint64(1)
     with np.errstate(over="ignore"):
-        letters *= powers[within]
-        sums = np.add.reduceat(letters, np.cumsum(lengths) - lengths)
-        hashes = mix(sums + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    return Words(first, len(at) - 1, data, at, starts, ends, bounds, hashes)
+        letters *= _powers(int(lengths.max()))[within]
+        return mix(np.add.reduceat(letters, begin) + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def _weights(k: int) -> np.ndarray:
