@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from ..session import configure, read_table, reliable_checkpoint
 
-__all__ = ["cut", "groups_of", "components", "text_table", "prepare", "partitions"]
+BUCKETS = 1 << 18
+
+__all__ = ["narrowed", "cut", "groups_of", "components", "text_table", "prepare", "partitions"]
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -34,6 +36,18 @@ def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return read_table(spark, sf_dir, name)
 
 
+def narrowed(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows whose ``key`` is in ``ids`` (a column of the same name).
+
+    A broadcast of the ids' hash buckets, at most ``BUCKETS`` numbers whatever
+    the ids, takes out most other rows before their texts are shuffled; the
+    semi join that follows is exact."""
+    bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+    some = ids.select(bucket.alias("bucket")).distinct()
+    near = rows.withColumn("bucket", bucket).join(F.broadcast(some), "bucket", "left_semi").drop("bucket")
+    return near.join(ids, key, "left_semi")
+
+
 def groups_of(batches: Iterator[pa.RecordBatch], keys: list[str], schema: pa.Schema | None = None) -> Iterator[pa.Table]:
     """Tables of whole groups from the batches of a partition that is sorted
     by ``keys``: the rows of the last key of a batch wait for the next batch,

@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .jobs import components, cut
+from .jobs import components, cut, narrowed
 
 RETAINED = 64   # values of a sketch, for the estimate
 INDEXED = 16    # lowest values of it that have inverted lists
@@ -128,7 +128,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, num: int, den: in
     occur in a pair are moved; both sets of a pair are built where its texts
     meet."""
     used = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.select("doc_id", "text").join(used, "doc_id", "left_semi")
+    texts = narrowed(docs.select("doc_id", "text"), used, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,11 +179,31 @@ def _star_pairs(entries: DataFrame, num: int, den: int) -> DataFrame:
             .filter(_sizes_fit(num, den)).select("a", "b").distinct())
 
 
-def _open_pairs(lists: DataFrame, labels: DataFrame, docs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
+def _may_link(members: DataFrame, sketched: DataFrame, num: int, den: int) -> DataFrame:
+    """The members (rep, component) of whose retained values enough lie in
+    sketches of other components: as many as a linked partner would share."""
+    least = _least_matches(RETAINED, num / den)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = [np.frombuffer(x.as_py(), np.uint32) for x in batch.column("sketch")]
+            at = pa.array(np.repeat(np.arange(len(values)), [len(v) for v in values]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("rep", "component", "n")),
+                                              pa.array(np.concatenate(values).astype(np.int64) if values else [], pa.int64())], ["rep", "component", "n", "v"])
+
+    held = members.join(sketched, "rep").select("rep", "component", "n", "sketch").mapInArrow(run, "rep long, component long, n long, v long")
+    across = held.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("v")
+    # a set of RETAINED values or fewer is its own sketch; a little larger partner may retain two fewer
+    needed = F.when(F.col("n") < RETAINED, F.least(F.lit(least), F.ceil(F.col("n") * num / den) - 2)).otherwise(least)
+    return held.join(across, "v").groupBy("rep", "component", "n").agg(F.count("*").alias("c")).filter(F.col("c") >= needed).select("rep", "component")
+
+
+def _open_pairs(lists: DataFrame, labels: DataFrame, sketched: DataFrame, docs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
     """Pairs of members of different components that may still be linked.
 
-    Only members of *open* lists (more than one component) can be.  For them
-    an exact prefix filter on the full sets follows: a shingle counts for a
+    Only members of *open* lists (more than one component) can be, and of these
+    only those whose sketch allows it.  For them an exact prefix filter on the
+    full sets follows: a shingle counts for a
     set if a set of another component has it; a set needs ``num / den`` of its
     shingles to count; of its counting shingles, rarest first, a linked pair
     shares one of the first ``c - need + 1``, and where it shares its first,
@@ -191,8 +211,8 @@ def _open_pairs(lists: DataFrame, labels: DataFrame, docs: DataFrame, shingle: i
     marked = (_entries(lists).join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left")
               .withColumn("component", F.coalesce("component", "rep")))
     mixed = marked.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("v")
-    members = marked.join(mixed, "v").select(F.col("rep").alias("doc_id"), "component").distinct()
-    texts = cut(docs.select("doc_id", "text").join(members, "doc_id"))
+    members = cut(_may_link(marked.join(mixed, "v").select("rep", "component").distinct(), sketched, num, den)).withColumnRenamed("rep", "doc_id")
+    texts = cut(narrowed(docs.select("doc_id", "text"), members.select("doc_id"), "doc_id").join(members, "doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -241,7 +261,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
 
     links = confirmed(_star_pairs(_entries(lists), num, den))
     labels = components(links)
-    more = confirmed(_open_pairs(lists, labels, docs, shingle, num, den))
+    more = confirmed(_open_pairs(lists, labels, sketched, docs, shingle, num, den))
     if not more.isEmpty():
         labels = components(links.unionByName(more))
     labels = labels.select(F.col("id").alias("rep"), "component")
