@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, linerules, neardup, packing, quality, sharding, substring
+from . import chat, decontam, langid, linerules, neardup, packing, pages, quality, sharding, substring
 from .jobs import text_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -155,3 +155,9 @@ def op5_collinear_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame
 def op7_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that contain a ``benchmark`` item, as it is or re-parameterised."""
     return decontam.findings(text_table(spark, sf_dir, "documents"), text_table(spark, sf_dir, "benchmark"))
+
+
+@query("op9_host_suffix_array")
+def op9_host_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every row of ``pages``."""
+    return pages.extract(text_table(spark, sf_dir, "pages"))
