@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .jobs import cut
+from .jobs import cut, without
 
 TOKENS = 8
 LITERALS = 5
@@ -199,4 +199,4 @@ def findings(docs: DataFrame, items: DataFrame, most_sent: int = MOST_SENT) -> D
 
 def without_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` that contain no benchmark item."""
-    return docs.join(findings(docs, items).select("doc_id").distinct(), "doc_id", "left_anti")
+    return without(docs, cut(findings(docs, items).select("doc_id").distinct()), "doc_id")

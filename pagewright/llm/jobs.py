@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from ..session import configure, read_table, reliable_checkpoint
 
 BUCKETS = 1 << 18
+_MARK = "__bucket"  # a name that no column of a table has
 
-__all__ = ["narrowed", "cut", "groups_of", "components", "text_table", "prepare", "partitions"]
+__all__ = ["narrowed", "parted", "without", "cut", "groups_of", "components", "text_table", "prepare", "partitions"]
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -42,10 +43,22 @@ def narrowed(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     A broadcast of the ids' hash buckets, at most ``BUCKETS`` numbers whatever
     the ids, takes out most other rows before their texts are shuffled; the
     semi join that follows is exact."""
+    return parted(rows, ids, key)[0].join(ids, key, "left_semi")
+
+
+def parted(rows: DataFrame, ids: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(rows that may have their ``key`` in ``ids``, rows that surely don't):
+    by the ids' hash buckets, without a shuffle of the rows."""
     bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
-    some = ids.select(bucket.alias("bucket")).distinct()
-    near = rows.withColumn("bucket", bucket).join(F.broadcast(some), "bucket", "left_semi").drop("bucket")
-    return near.join(ids, key, "left_semi")
+    some = ids.select(bucket.alias(_MARK)).distinct()
+    marked = rows.withColumn(_MARK, bucket)
+    return tuple(marked.join(F.broadcast(some), _MARK, how).drop(_MARK) for how in ("left_semi", "left_anti"))
+
+
+def without(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows whose ``key`` is not in ``ids``; only possible hits are shuffled."""
+    near, far = parted(rows, ids, key)
+    return far.unionByName(near.join(ids, key, "left_anti"))
 
 
 def groups_of(batches: Iterator[pa.RecordBatch], keys: list[str], schema: pa.Schema | None = None) -> Iterator[pa.Table]:

@@ -306,18 +306,19 @@ def fit(docs: DataFrame) -> Model:
     return train([(r.text, r.lang) for r in texts])
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with lang_pred and score added, its other columns as they are."""
+def identify(docs: DataFrame, model: Model, lang_name: str = "lang_pred", score_name: str = "score") -> DataFrame:
+    """``docs`` with the prediction and its score added under the given names;
+    columns of these names are replaced, all others stay as they are."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # size fixed by BUCKETS
+    kept = [f for f in docs.schema if f.name not in (lang_name, score_name)]
+    names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(shared.value)
         for batch in batches:
             langs, scores = labeller.predict(batch.column("text"))
-            rest = [c for c in batch.schema.names if c not in ("lang_pred", "score")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
-                                             [*rest, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
+                                             [*names, lang_name, score_name])
 
-    kept = [f for f in docs.schema if f.name not in ("lang_pred", "score")]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "lang_pred string", "score double"])
-    return docs.select(*(f"`{f.name}`" for f in kept)).mapInArrow(run, schema)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"`{lang_name}` string", f"`{score_name}` double"])
+    return docs.select(*(f"`{c}`" for c in names)).mapInArrow(run, schema)

@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .jobs import components, cut, narrowed
+from .jobs import components, cut, narrowed, without
 
 RETAINED = 64   # values of a sketch, for the estimate
 INDEXED = 16    # lowest values of it that have inverted lists
@@ -272,7 +272,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names their class: one document of
-    each group stays (all rows of a repeated doc_id that names its class do)."""
-    kept = near_duplicates(docs, shingle, num, den).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """``docs`` without the documents that belong to another document's class:
+    one document of each group stays.  A doc_id with several rows stays if one
+    of them names its class."""
+    gone = cut(near_duplicates(docs, shingle, num, den).groupBy("doc_id").agg(F.max("kept").alias("kept")).filter("not kept").select("doc_id"))
+    return without(docs, gone, "doc_id")
