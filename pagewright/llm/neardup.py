@@ -21,8 +21,10 @@ Plan
 4. Components of the verified links.  Lists whose members all lie in one
    component can add nothing.  The members of every other list pass an exact
    prefix filter on their full sets, which makes pairs between *different*
-   components only; these are verified too, so that no link is lost, and a
-   second run of components gives the classes.
+   components only: first with the least edited member of each list, then,
+   between the components that are left, all that the filter lets through.
+   These are verified too, so that no link is lost, and further runs of
+   components give the classes.
 
 Miss bounds (the only inexact step is the candidate search): a pair at the
 threshold .85 shares fewer than 4 of 16 indexed values with probability below
@@ -198,8 +200,9 @@ def _may_link(members: DataFrame, sketched: DataFrame, num: int, den: int) -> Da
     return held.join(across, "v").groupBy("rep", "component", "n").agg(F.count("*").alias("c")).filter(F.col("c") >= needed).select("rep", "component")
 
 
-def _open_pairs(lists: DataFrame, labels: DataFrame, sketched: DataFrame, docs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
-    """Pairs of members of different components that may still be linked.
+def _prefixes(lists: DataFrame, labels: DataFrame, sketched: DataFrame, docs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
+    """(rep, component, n, c, left, v): the shingles at which members of
+    different components may still be found linked.
 
     Only members of *open* lists (more than one component) can be, and of these
     only those whose sketch allows it.  For them an exact prefix filter on the
@@ -233,15 +236,32 @@ def _open_pairs(lists: DataFrame, labels: DataFrame, sketched: DataFrame, docs:
     ordered = (full.join(counting, "v").groupBy("rep", "component", "n")
                .agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("values"))  # at most the doc's own shingles
                .filter(F.size("values") >= need))
-    prefix = cut(ordered.select("rep", "component", "n", F.size("values").cast("long").alias("c"),
-                                F.posexplode(F.expr(f"slice(values, 1, size(values) - cast(ceil(n * {num} / {den}) as int) + 1)")).alias("p", "s"))
-                 .select("rep", "component", "n", (F.col("c") - F.col("p")).alias("left"), F.col("s.v").alias("v")))
-    mixed = prefix.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("v")
-    prefix = prefix.join(mixed, "v")
-    x, y = prefix.alias("x"), prefix.alias("y")
-    most = F.least("x.left", "y.left")
-    return (x.join(y, (F.col("x.v") == F.col("y.v")) & (F.col("x.component") < F.col("y.component")))
-            .filter(most * den >= (F.col("x.n") + F.col("y.n") - most) * num)
+    return cut(ordered.select("rep", "component", "n", F.size("values").cast("long").alias("c"),
+                              F.posexplode(F.expr(f"slice(values, 1, size(values) - cast(ceil(n * {num} / {den}) as int) + 1)")).alias("p", "s"))
+               .select("rep", "component", "n", "c", (F.col("c") - F.col("p")).alias("left"), F.col("s.v").alias("v")))
+
+
+def _suffice(x: str, y: str, num: int, den: int):
+    most = F.least(f"{x}.left", f"{y}.left")
+    return most * den >= (F.col(f"{x}.n") + F.col(f"{y}.n") - most) * num
+
+
+def _central_pairs(prefix: DataFrame, num: int, den: int) -> DataFrame:
+    """Of each list, pairs of the member that shares most of its set (the least
+    edited of a family) with members of other components."""
+    leaders = prefix.groupBy("v").agg(F.max(F.struct((F.col("c") / F.col("n")).alias("share"), "rep", "n", "left", "component")).alias("y"))
+    x = prefix.join(leaders, "v").select(F.struct("rep", "n", "left", "component").alias("x"), "y").filter("x.component <> y.component")
+    return x.filter(_suffice("x", "y", num, den)).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+
+
+def _open_pairs(prefix: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
+    """All pairs of members of different components that share a list."""
+    marked = (prefix.drop("component").join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left")
+              .withColumn("component", F.coalesce("component", "rep")))
+    mixed = marked.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("v")
+    marked = marked.join(mixed, "v")
+    x, y = marked.alias("x"), marked.alias("y")
+    return (x.join(y, (F.col("x.v") == F.col("y.v")) & (F.col("x.component") < F.col("y.component"))).filter(_suffice("x", "y", num, den))
             .select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct())
 
 
@@ -261,9 +281,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
 
     links = confirmed(_star_pairs(_entries(lists), num, den))
     labels = components(links)
-    more = confirmed(_open_pairs(lists, labels, sketched, docs, shingle, num, den))
-    if not more.isEmpty():
-        labels = components(links.unionByName(more))
+    prefix = _prefixes(lists, labels, sketched, docs, shingle, num, den)
+    for pairs in (lambda: _central_pairs(prefix, num, den), lambda: _open_pairs(prefix, labels, num, den)):
+        more = confirmed(pairs())
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            labels = components(links)
     labels = labels.select(F.col("id").alias("rep"), "component")
     named = classes.join(labels, "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
     return (sig.select("doc_id", F.col("n").alias("n_shingles"), "d1", "d2").join(named, ["d1", "d2"], "left")
