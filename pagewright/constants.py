@@ -42,14 +42,14 @@ BUDGET_GCP_THRESHOLDS = (0.80, 0.90, 1.00)
 # ---------------------------------------------------------------------------
 MAX_DOCUMENT_MB = 50
 SUPPORTED_FORMATS = ("pdf", "png", "jpg", "jpeg", "tiff", "bmp")
-FILES_PER_DIRECTORY = 3
+FILES_PER_DIRECTORY = 3  # used only where a caller asks for it
 NO_TEXT_FALLBACK = "No text could be extracted from this page."
 CONFIDENCE_CLOSE_WITHIN = 0.1
 DEFAULT_LINE_CONFIDENCE = 0.8
 PAGE_IMAGE_NAME = "page_%03d.png"
 PAGE_BREAK = "\f"
 PREVIEW_CHARS = 200
-ENTITY_LIMIT = 50
+ENTITY_LIMIT = 50  # used only where a caller asks for it
 SUMMARY_SENTENCES = 3
 
 # reading sources and their preference when confidences are close
@@ -80,6 +80,9 @@ GENERATION_APOLOGY = "I apologize, but I encountered an error while processing y
 QUERY_ERROR_PREFIX = "Error processing query: "
 PAGE_ERROR_TEMPLATE = "Error processing page %d: %s"
 
+# blanks between words: Unicode white space and the four separators U+001C-U+001F
+BLANKS = r"(?U)[\s\x1c-\x1f]+"
+
 # grounded confidence (chat): thresholds and factor values
 GROUNDED_CONTEXT_STEPS = ((100, 0.8), (50, 0.6))
 GROUNDED_CONTEXT_ELSE = 0.3

@@ -110,7 +110,7 @@ def grounded_confidence(response, context, strict_phrases: bool = False) -> Colu
 # F20 (used by F08) -------------------------------------------------------------
 def word_count(s) -> Column:
     """Whitespace-separated words, empty pieces dropped."""
-    parts = F.split(F.coalesce(_c(s), F.lit("")), r"\s+")
+    parts = F.split(F.coalesce(_c(s), F.lit("")), K.BLANKS)
     return F.size(F.filter(parts, lambda x: x != "")).cast("bigint")
 
 
@@ -149,7 +149,7 @@ def dispatched_confidence(model, query, response, context) -> Column:
 # F10 / U02 -------------------------------------------------------------------
 def word_set(s) -> Column:
     """Distinct lower-cased whitespace tokens."""
-    parts = F.split(F.lower(F.coalesce(_c(s), F.lit(""))), r"\s+")
+    parts = F.split(F.lower(F.coalesce(_c(s), F.lit(""))), K.BLANKS)
     return F.array_distinct(F.filter(parts, lambda x: x != ""))
 
 

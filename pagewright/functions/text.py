@@ -42,9 +42,10 @@ def _entity_builder(t: str, conf: float):
 
 
 # L01 -------------------------------------------------------------------------
-def extract_entities(text, limit: int | None = K.ENTITY_LIMIT, patterns=K.ENTITY_PATTERNS) -> Column:
+def extract_entities(text, limit: int | None = None, patterns=K.ENTITY_PATTERNS) -> Column:
     """array<struct<type, value, confidence>>: every date, then amounts,
-    percentages, emails and phones, each in text order, cut to ``limit``.
+    percentages, emails and phones, each in text order.  All of them: a cut is
+    made only where a caller gives a ``limit`` (``K.ENTITY_LIMIT`` is the usual one).
 
     All five patterns run in one projection; arrays keep their order, so no
     sort is needed.
@@ -71,7 +72,7 @@ def join_page_texts(pages_struct_array) -> Column:
 
 # F20 -------------------------------------------------------------------------
 def word_count(s) -> Column:
-    parts = F.split(F.coalesce(_c(s), F.lit("")), r"\s+")
+    parts = F.split(F.coalesce(_c(s), F.lit("")), K.BLANKS)
     return F.size(F.filter(parts, lambda x: x != "")).cast("bigint")
 
 

@@ -120,7 +120,7 @@ def rollup_documents(page_results: DataFrame, doc_key: str = "doc_id", with_text
     return g.withColumn("cost_estimate", S.page_processing_cost_inr(F.col("total_pages")))
 
 
-def summarize_documents(docs: DataFrame, limit: int | None = K.ENTITY_LIMIT,
+def summarize_documents(docs: DataFrame, limit: int | None = None,
                         advanced: bool = True) -> DataFrame:
     """F19 + L01 over a rollup: summary text, entity list (capped), word count."""
     n_tables = F.col("total_tables") if "total_tables" in docs.columns else None
@@ -171,7 +171,7 @@ def processing_summary(docs: DataFrame, time_col: str | None = None) -> DataFram
 
 
 def process_documents(candidates: DataFrame, pages: DataFrame | None = None,
-                      advanced: bool = True, limit: int | None = K.ENTITY_LIMIT) -> DataFrame:
+                      advanced: bool = True, limit: int | None = None) -> DataFrame:
     """The whole document job: fuse -> roll up -> summarise -> entities."""
     fused = fuse_readings(candidates, pages=pages)
     return summarize_documents(rollup_documents(fused), limit=limit, advanced=advanced)

@@ -51,10 +51,11 @@ def analyze(calls: DataFrame, safety: DataFrame | None = None, key: str = "conv_
     the rest (they never reach pricing, and the metric rollups exclude them).
 
     ``safety``: key + safety_score (from :func:`safety_scores`); missing -> 1.0
-    (fail-open).  ``retrieved``: key + contexts array (from retrieval); used
-    only when RAG is on and no content is given.
+    (fail-open).  ``retrieved``: key columns + contexts array (from retrieval);
+    used only when RAG is on and no content is given.  A call without an answer
+    carries the apology text, scored and priced like any other.
     """
-    df = calls
+    df = calls.withColumn("response", F.coalesce("response", F.lit(K.GENERATION_APOLOGY)))  # no answer came: the apology is scored and priced
     if include_safety_check and safety is not None:
         df = df.join(safety.select(F.col(safety.columns[0]).alias(key), "safety_score"), key, "left")
         df = df.withColumn("safety_score", F.coalesce("safety_score", F.lit(1.0)))
@@ -63,7 +64,8 @@ def analyze(calls: DataFrame, safety: DataFrame | None = None, key: str = "conv_
     blocked = F.col("safety_score") < F.lit(float(K.SAFETY_BLOCK_BELOW))
     given = F.coalesce(F.col("context"), F.lit(""))
     if retrieved is not None and use_rag:
-        df = df.join(retrieved.select(key, F.col("contexts").alias("_ctx")), key, "left")
+        keys = [c for c in retrieved.columns if c != "contexts"]
+        df = df.join(retrieved.select(*keys, F.col("contexts").alias("_ctx")), keys, "left")
         need = given == ""
         ctx_arr = F.when(need, F.coalesce("_ctx", F.array().cast("array<string>"))).otherwise(
             F.array().cast("array<string>"))

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import constants as K
-from ..session import reliable_checkpoint, spread
+from ..session import reliable_checkpoint
 
 MAX_BROADCAST_QUERY_BYTES = 64 * 1024 * 1024
 MAX_BROADCAST_TOKEN_ROWS = 1_000_000  # (key, length, token) rows: a few tens of MB
@@ -41,7 +41,7 @@ RRF_K = 60
 # ---------------------------------------------------------------------------
 def tokens(text: Column) -> Column:
     """Lower-cased whitespace tokens (all occurrences, empties dropped)."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda x: x != "")
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), K.BLANKS), lambda x: x != "")
 
 
 def distinct_tokens(df: DataFrame, key: str, text: str, out_key: str | None = None) -> DataFrame:
@@ -51,7 +51,7 @@ def distinct_tokens(df: DataFrame, key: str, text: str, out_key: str | None = No
     # explode_outer + a null filter: a plain explode of the aliased array
     # makes Catalyst infer ``size(<array expr>) > 0`` below the projection,
     # which would tokenise every text twice
-    return (spread(df.select(key, text), key).select(F.col(key).alias(out_key), ws.alias("_ws"))
+    return (df.select(key, text).select(F.col(key).alias(out_key), ws.alias("_ws"))
             .select(out_key, F.size("_ws").cast("bigint").alias("n_tokens"), F.explode_outer("_ws").alias("token"))
             .where(F.col("token").isNotNull()))
 
@@ -104,7 +104,7 @@ def hashed_embeddings(df: DataFrame, key: str, text: str, dim: int = 64) -> Data
     per key after the second step; the last step gathers those ``dim``
     values (never the text) into one vector.
     """
-    t = spread(df.select(key, text), key).select(F.col(key).alias("_k"), F.explode(tokens(F.col(text))).alias("_t"))
+    t = df.select(key, text).select(F.col(key).alias("_k"), F.explode(tokens(F.col(text))).alias("_t"))
     c = (t.groupBy("_k", "_t").agg(F.count(F.lit(1)).alias("_n"))
          .select("_k", "_n", F.md5(F.col("_t")).alias("_h")))  # one digest per (text, token)
     h = F.col("_h")
@@ -118,10 +118,15 @@ def hashed_embeddings(df: DataFrame, key: str, text: str, dim: int = 64) -> Data
     return m.where(F.col("_norm") > 0).select(F.col("_k").alias(key), vec.alias("embedding"))
 
 
-def centroids(vectors: DataFrame, by: str, vec: str, dim: int) -> DataFrame:
-    """Mean vector per group: ``dim`` averages in one partial aggregation."""
-    g = vectors.groupBy(by).agg(*[F.avg(F.col(vec)[i].cast("double")).alias(f"_c{i}") for i in range(dim)])
-    return g.select(by, F.array(*[F.col(f"_c{i}") for i in range(dim)]).alias(vec))
+def centroids(vectors: DataFrame, by: str, vec: str) -> DataFrame:
+    """Mean vector per group over all components, whatever their number: one
+    partial aggregation of (group, component).  Vectors of different lengths in
+    one group are an error."""
+    parts = vectors.select(by, F.size(vec).alias("_n"), F.posexplode(vec).alias("_i", "_x"))
+    g = parts.groupBy(by, "_i").agg(F.avg(F.col("_x").cast("double")).alias("_a"), F.min("_n").alias("_lo"), F.max("_n").alias("_hi"))
+    mixed = F.raise_error(F.lit("vectors of different lengths")).cast("double")
+    g = g.withColumn("_a", F.when(F.col("_lo") == F.col("_hi"), F.col("_a")).otherwise(mixed))
+    return g.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_a"))), lambda x: x["_a"]).alias(vec))
 
 
 def _top_k(scored: DataFrame, qkey: str, ckey: str, score: str, k: int, rank: str = "rank") -> DataFrame:
@@ -238,7 +243,7 @@ def knn(queries: DataFrame, corpus: DataFrame, qkey: str, ckey: str, vec: str, k
     schema = T.StructType([T.StructField(qkey, qtype), T.StructField(ckey, ctype),
                            T.StructField("similarity", T.DoubleType())])
     sc = queries.sparkSession.sparkContext
-    c = spread(corpus.select(ckey, vec), ckey)
+    c = corpus.select(ckey, vec)
     parts = []
     for blk in _query_blocks(qn, qkey, limit):
         import numpy as np
@@ -291,11 +296,13 @@ def hybrid_retrieve(queries: DataFrame, corpus: DataFrame, qkey: str, ckey: str,
     return _top_k(legs.withColumn("rrf_score", rrf), qkey, ckey, "rrf_score", k)
 
 
-def contexts_for(hits: DataFrame, corpus: DataFrame, qkey: str, ckey: str, ctext: str) -> DataFrame:
-    """Retrieved contexts per query, in rank order (feeds P02)."""
+def contexts_for(hits: DataFrame, corpus: DataFrame, qkey, ckey: str, ctext: str) -> DataFrame:
+    """Retrieved contexts per query, in rank order (feeds P02): at most the
+    hits' k texts of one query meet in a row."""
+    keys = [qkey] if isinstance(qkey, str) else list(qkey)
     j = hits.join(corpus.select(ckey, F.col(ctext).alias("_content")), ckey)
-    g = j.groupBy(qkey).agg(F.array_sort(F.collect_list(F.struct("rank", "_content"))).alias("_r"))
-    return g.select(qkey, F.transform("_r", lambda x: x["_content"]).alias("contexts"))
+    g = j.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rank", "_content"))).alias("_r"))
+    return g.select(*keys, F.transform("_r", lambda x: x["_content"]).alias("contexts"))
 
 
 def best_truth_match(responses: DataFrame, truths: DataFrame, rkey: str, tkey: str, rtext: str, ttext: str) -> DataFrame:

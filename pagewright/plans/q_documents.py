@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import text as T
 from ..operators import documents as D
-from ..session import Tables, spread
+from ..session import Tables
+from . import sqlexpr as X
 from . import views as V
 from .catalog import register
 
@@ -61,7 +62,7 @@ d AS (
 SELECT doc_id, total_pages, round(overall_confidence, 6) AS overall_confidence,
        round(total_pages::DOUBLE / 1000 * 0.83 + total_pages::DOUBLE * 0.004, 10) AS cost_estimate,
        CAST(length(full_text) AS BIGINT) AS full_text_chars,
-       CAST(len(list_filter(string_split_regex(full_text, '\\s+'), lambda x: x <> '')) AS BIGINT) AS total_words,
+       CAST(len(list_filter(string_split_regex(full_text, '""" + X.BLANKS + """'), lambda x: x <> '')) AS BIGINT) AS total_words,
        array_to_string(string_split(full_text, '.')[1:3], '. ') || '.' AS summary_head
 FROM d
 """
@@ -79,7 +80,7 @@ def q_document_rollup(spark, sf_dir):
 
 
 ENTITIES_SQL = """
-WITH e AS (SELECT doc_id, (""" + _sql_entities("coalesce(text, '')") + """)[1:50] AS l FROM documents),
+WITH e AS (SELECT doc_id, (""" + _sql_entities("coalesce(text, '')") + """) AS l FROM documents),
 x AS (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM e)
 SELECT doc_id, CAST(i AS BIGINT) AS entity_pos, l[i].type AS entity_type, l[i].value AS value,
        l[i].confidence AS confidence
@@ -90,7 +91,7 @@ FROM x
 @register("document_entities", ENTITIES_SQL, "F13 F14 F15 F16 F17 L01 Q4-Q7 Q15")
 def q_document_entities(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    docs = spread(t.documents.select("doc_id", "text"), "doc_id").select(
+    docs = t.documents.select(
         "doc_id", T.extract_entities(F.col("text")).alias("extracted_entities"))
     return D.explode_entities(docs)
 
@@ -102,7 +103,7 @@ d AS (
          coalesce(string_agg(text_content, chr(10) ORDER BY page_number) FILTER (WHERE text_content <> ''), '') AS full_text
   FROM f GROUP BY doc_id)
 SELECT doc_id, total_pages,
-       CAST(len((""" + _sql_entities("full_text") + """)[1:50]) AS BIGINT) AS entities_found,
+       CAST(len((""" + _sql_entities("full_text") + """)) AS BIGINT) AS entities_found,
        CAST(0 AS BIGINT) AS tables_found, CAST(0 AS BIGINT) AS key_value_pairs
 FROM d
 """

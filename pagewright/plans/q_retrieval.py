@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import retrieval as RT
 from ..session import Tables
+from . import sqlexpr as X
 from .catalog import register
 
 DIM = 64
@@ -15,7 +16,7 @@ SCORE_DIGITS = 9
 
 def _centroid_sql() -> str:
     return """
-x AS (SELECT label, i, avg(embedding[i]::DOUBLE) AS a FROM embeddings, range(1, 65) t(i) GROUP BY label, i),
+x AS (SELECT label, i, avg(embedding[i]::DOUBLE) AS a FROM (SELECT label, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY label, i),
 c AS (SELECT label, list(a ORDER BY i) AS v FROM x GROUP BY label),
 s AS (SELECT c.label, e.vec_id, round(list_cosine_similarity(c.v, e.embedding::DOUBLE[]), 9) AS similarity
       FROM c, embeddings e WHERE list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[]) > 0)"""
@@ -30,13 +31,13 @@ SELECT label, CAST(rank AS INTEGER) AS rank, vec_id, round(similarity, 6) AS sim
 
 def _centroids(t: Tables):
     e = t.embeddings
-    return RT.centroids(e, "label", "embedding", DIM)
+    return RT.centroids(e, "label", "embedding")
 
 
 @register("vector_knn", KNN_SQL, "W02 L05")
 def q_vector_knn(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    k = RT.knn(_centroids(t), t.embeddings, "label", "vec_id", "embedding", k=5, dim=DIM, score_digits=SCORE_DIGITS)
+    k = RT.knn(_centroids(t), t.embeddings, "label", "vec_id", "embedding", k=5, score_digits=SCORE_DIGITS)
     return k.select("label", F.col("rank").cast("int").alias("rank"), "vec_id",
                     F.round("similarity", 6).alias("similarity"))
 
@@ -52,14 +53,14 @@ SELECT label, CAST(rank AS INTEGER) AS rank, vec_id, round(similarity, 6) AS sim
 @register("similarity_search", SEARCH_SQL, "W03")
 def q_similarity_search(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    k = RT.knn(_centroids(t), t.embeddings, "label", "vec_id", "embedding", k=10, dim=DIM,
+    k = RT.knn(_centroids(t), t.embeddings, "label", "vec_id", "embedding", k=10,
                threshold=SEARCH_THRESHOLD_ON_DATA, score_digits=SCORE_DIGITS)
     return k.select("label", F.col("rank").cast("int").alias("rank"), "vec_id",
                     F.round("similarity", 6).alias("similarity"))
 
 
 def _tok_sql(table: str, key: str, text: str, alias: str) -> str:
-    return (f"{alias} AS (SELECT {key} AS k, unnest(list_filter(string_split_regex(lower(coalesce({text}, '')), '\\s+'), "
+    return (f"{alias} AS (SELECT {key} AS k, unnest(list_filter(string_split_regex(lower(coalesce({text}, '')), '{X.BLANKS}'), "
             f"lambda x: x <> '')) AS t FROM {table})")
 
 
@@ -88,7 +89,7 @@ def q_hashed_embeddings(spark, sf_dir):
 
 def _dtok_sql(table: str, key: str, text: str, alias: str) -> str:
     return (f"{alias} AS (SELECT {key} AS k, len(l) AS n, unnest(l) AS t FROM (SELECT {key}, "
-            f"list_distinct(list_filter(string_split_regex(lower(coalesce({text}, '')), '\\s+'), lambda x: x <> '')) AS l "
+            f"list_distinct(list_filter(string_split_regex(lower(coalesce({text}, '')), '{X.BLANKS}'), lambda x: x <> '')) AS l "
             f"FROM {table}))")
 
 

@@ -9,10 +9,12 @@ from .. import constants as K
 from ..functions import scoring as S
 from ..operators import evaluate as E
 from ..operators import qa as Q
+from ..operators import retrieval as RT
 from ..session import Tables
 from . import sqlexpr as X
 from . import views as V
 from .catalog import register
+from .q_retrieval import _dtok_sql
 
 R6, R10 = 6, 10
 
@@ -58,7 +60,8 @@ def q_safety_gate(spark, sf_dir):
 
 ANALYSES_SQL = f"""
 WITH s AS (SELECT text_id, {X.safety('hate', 'self_harm', 'sexual', 'violence')} AS safety_score FROM v_severity),
-a AS (SELECT i.*, coalesce(s.safety_score, {X.d(1.0)}) AS safety_score FROM v_interactions i
+a AS (SELECT i.* REPLACE (coalesce(i.response, 'I apologize, but I encountered an error while processing your request.') AS response),
+             coalesce(s.safety_score, {X.d(1.0)}) AS safety_score FROM v_interactions i
       LEFT JOIN s ON s.text_id = i.conv_id),
 b AS (SELECT *, safety_score < {X.d(0.5)} AS blocked, coalesce(context, '') AS used_context FROM a)
 SELECT conv_id, turn, provider,
@@ -86,6 +89,40 @@ def q_qa_analyses(spark, sf_dir):
                     F.round("cost_estimate", R10).alias("cost_estimate"), "safety_violation", "context_length")
 
 
+RAG_SQL = f"""
+WITH u AS (SELECT conv_id * 1000 + turn AS item_id, conv_id, turn, query AS text FROM v_interactions WHERE coalesce(context, '') = ''),
+{_dtok_sql('u', 'item_id', 'text', 'qt')},
+{_dtok_sql('benchmark', 'item_id', 'text', 'dt')},
+m AS (SELECT qt.k AS item_id, dt.k AS doc_id, count(*) AS score FROM qt JOIN dt ON dt.t = qt.t GROUP BY 1, 2),
+h AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM m),
+c AS (SELECT h.item_id, string_agg(b.text, chr(10) ORDER BY h.rank) AS joined, count(*) AS n
+      FROM h JOIN benchmark b ON b.item_id = h.doc_id WHERE h.rank <= 5 GROUP BY h.item_id),
+s AS (SELECT text_id, {X.safety('hate', 'self_harm', 'sexual', 'violence')} AS safety_score FROM v_severity),
+a AS (SELECT i.* REPLACE (coalesce(i.response, 'I apologize, but I encountered an error while processing your request.') AS response),
+             coalesce(s.safety_score, {X.d(1.0)}) < {X.d(0.5)} AS blocked,
+             CASE WHEN coalesce(i.context, '') <> '' THEN i.context ELSE coalesce(c.joined, '') END AS used_context, coalesce(c.n, 0) AS n
+      FROM v_interactions i LEFT JOIN s ON s.text_id = i.conv_id LEFT JOIN c ON c.item_id = i.conv_id * 1000 + i.turn)
+SELECT conv_id, turn, CASE WHEN blocked THEN 0 ELSE n END AS n_contexts,
+       CASE WHEN blocked THEN CAST(0 AS BIGINT) ELSE {X.length('used_context')} END AS context_length,
+       CASE WHEN blocked THEN {X.d(0)} ELSE round({X.dispatched_conf('model', 'query', 'response', 'used_context')}, {R6}) END AS confidence_score
+FROM a
+"""
+
+
+@register("rag_analyses", V.with_views(RAG_SQL, "v_interactions", "v_severity"), "P02 J03 F07")
+def q_rag_analyses(spark, sf_dir):
+    """Calls without content get the five best keyword hits as context; calls
+    with content keep theirs."""
+    t = Tables(spark, sf_dir)
+    calls = V.interactions(t)
+    ask = calls.where(F.coalesce("context", F.lit("")) == "").select(F.struct("conv_id", "turn").alias("call"), F.col("query").alias("text"))
+    hits = RT.keyword_top_k(ask, t.benchmark, "call", "item_id", "text", "text", k=5)
+    contexts = RT.contexts_for(hits, t.benchmark, "call", "item_id", "text").select("call.conv_id", "call.turn", "contexts")
+    a = Q.analyze(calls, Q.safety_scores(V.severity(t)), key="conv_id", retrieved=contexts)
+    return a.select("conv_id", "turn", F.size("retrieved_contexts").cast("bigint").alias("n_contexts"), "context_length",
+                    F.round("confidence_score", R6).alias("confidence_score"))
+
+
 REQUEST_SQL = f"""
 WITH s AS (SELECT text_id, {X.safety('hate', 'self_harm', 'sexual', 'violence')} AS safety_score FROM v_severity),
 a AS (SELECT i.*, coalesce(s.safety_score, {X.d(1.0)}) AS safety_score FROM v_interactions i
@@ -134,7 +171,7 @@ def q_inference_records(spark, sf_dir):
 PROMPT_SQL = f"""
 SELECT conv_id, turn,
        printf('{K.USER_PROMPT_TEMPLATE}', coalesce(context, ''), query) AS prompt,
-       CASE WHEN conv_id % 2 = 0 THEN 'user: ' || response || chr(10) || 'model: {K.TRANSCRIPT_ACK.replace("'", "''")}' || chr(10) || 'user: ' || query
+       CASE WHEN conv_id % 2 = 0 AND coalesce(response, '') <> '' THEN 'user: ' || response || chr(10) || 'model: {K.TRANSCRIPT_ACK.replace("'", "''")}' || chr(10) || 'user: ' || query
             ELSE query END AS transcript
 FROM v_interactions
 """

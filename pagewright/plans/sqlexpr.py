@@ -7,6 +7,10 @@ from __future__ import annotations
 from .. import constants as K
 
 
+# blanks of str.split(), written out on their own (RE2 has no Unicode \\s)
+BLANKS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+
 def d(v: float) -> str:
     return f"{float(v)!r}::DOUBLE"
 
@@ -39,7 +43,7 @@ def uncertain(r: str, phrases) -> str:
 
 
 def word_count(s: str) -> str:
-    return f"CAST(len(list_filter(string_split_regex(coalesce({s}, ''), '\\s+'), lambda x: x <> '')) AS BIGINT)"
+    return f"CAST(len(list_filter(string_split_regex(coalesce({s}, ''), '{BLANKS}'), lambda x: x <> '')) AS BIGINT)"
 
 
 def grounded_conf(r: str, c: str) -> str:
@@ -68,7 +72,7 @@ def dispatched_conf(m: str, q: str, r: str, c: str) -> str:
 
 
 def word_set(s: str) -> str:
-    return f"list_distinct(list_filter(string_split_regex(lower(coalesce({s}, '')), '\\s+'), lambda x: x <> ''))"
+    return f"list_distinct(list_filter(string_split_regex(lower(coalesce({s}, '')), '{BLANKS}'), lambda x: x <> ''))"
 
 
 def overlap(r: str, t: str) -> str:

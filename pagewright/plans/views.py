@@ -6,7 +6,8 @@ All of them are integer-derived from the tables, so they grow with them.
 
 Design notes for scale:
 * ``interactions`` pairs a user turn with the next assistant turn by an
-  equi-join on ``(conv_id, turn + 1)`` instead of ``lead() over (partition by
+  left equi-join on ``(conv_id, turn + 1)`` (an unanswered turn is kept as a
+  failed call) instead of ``lead() over (partition by
   conv_id)``: turns have no gaps, and a join on the composite key spreads a
   conversation that holds a third of all rows over many tasks, where a window
   would put it in one.
@@ -48,7 +49,7 @@ def interactions(t: Tables, with_context: bool = True) -> DataFrame:
     u = c.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("query"))
     a = c.where(F.col("role") == "assistant").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("response"))
-    j = u.join(a, ["conv_id", "turn"])
+    j = u.join(a, ["conv_id", "turn"], "left")  # a turn without an answer stays, as a failed call
     if with_context:
         d = t.documents.select(F.col("doc_id").alias("conv_id"), F.col("text").alias("context"))
         j = j.join(d, "conv_id", "left")
@@ -59,7 +60,7 @@ def interactions(t: Tables, with_context: bool = True) -> DataFrame:
                     _provider(F.col("conv_id")).alias("provider"),
                     _model(F.col("conv_id")).alias("model"),
                     ((F.col("conv_id") * 37 + F.col("turn") * 101) % 3000).cast("double").alias("latency_ms"),
-                    (((F.col("conv_id") + F.col("turn")) % 11) == 0).alias("is_error")))
+                    ((((F.col("conv_id") + F.col("turn")) % 11) == 0) | F.col("response").isNull()).alias("is_error")))
 
 
 def pages(t: Tables) -> DataFrame:
@@ -126,11 +127,10 @@ SELECT u.conv_id, u.turn, u.text AS query, a.text AS response, d.text AS context
        CASE WHEN u.conv_id % 3 = 0 THEN 'azure_openai' ELSE 'vertex_ai' END AS provider,
        CASE WHEN u.conv_id % 3 = 0 THEN 'chat' WHEN u.conv_id % 3 = 1 THEN 'custom' ELSE 'gemini' END AS model,
        CAST((u.conv_id * 37 + u.turn * 101) % 3000 AS DOUBLE) AS latency_ms,
-       ((u.conv_id + u.turn) % 11 = 0) AS is_error
-FROM conversations u
-JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
-LEFT JOIN documents d ON d.doc_id = u.conv_id
-WHERE u.role = 'user' AND a.role = 'assistant'""",
+       ((u.conv_id + u.turn) % 11 = 0 OR a.text IS NULL) AS is_error
+FROM (SELECT * FROM conversations WHERE role = 'user') u
+LEFT JOIN (SELECT * FROM conversations WHERE role = 'assistant') a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
+LEFT JOIN documents d ON d.doc_id = u.conv_id""",
     "v_pages": """
 SELECT conv_id AS doc_id, CAST(turn + 1 AS INTEGER) AS page_number, text AS text_content
 FROM conversations""",

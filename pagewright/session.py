@@ -126,26 +126,3 @@ class Tables:
         if name not in self._cache:
             self._cache[name] = read_table(self.spark, self.sf_dir, name)
         return self._cache[name]
-
-
-def spread(df: DataFrame, key: str | None = None) -> DataFrame:
-    """Spread an under-partitioned input over all cores before per-row,
-    CPU-heavy work (tokenising, regex extraction, vector scoring).
-
-    A large input already arrives as many files / scan splits and is
-    returned as is (no extra shuffle).  A small one is repartitioned to the
-    default parallelism, by ``key`` when it is unique per row, else
-    round-robin.  The split count alone is not trusted: a file with a single
-    row group is cut into several byte-range splits of which only one reads
-    rows, so fewer input files than cores also counts as small.
-    """
-    if df.isStreaming:
-        return df
-    target = df.sparkSession.sparkContext.defaultParallelism
-    try:
-        n_files = len(df.inputFiles())
-    except Exception:  # noqa: BLE001 - not file-backed
-        n_files = 0
-    if n_files >= target and df.rdd.getNumPartitions() >= target:
-        return df
-    return df.repartition(target, key) if key else df.repartition(target)

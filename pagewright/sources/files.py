@@ -62,16 +62,18 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
                     F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), "length", "modificationTime")
 
 
-def discover_documents(files: DataFrame, per_directory: int = K.FILES_PER_DIRECTORY,
+def discover_documents(files: DataFrame, per_directory: int | None = None,
                        suffix: str = ".pdf") -> DataFrame:
-    """Per directory the first ``per_directory`` files of any type (by
-    name), then only those ending in ``suffix`` (case-sensitive; the cap is
-    applied before the suffix test).
+    """The files ending in ``suffix`` (case-sensitive).  With
+    ``per_directory`` (``K.FILES_PER_DIRECTORY`` is the usual one) only of the first
+    so many files of any type, by name, of each directory; without it all.
 
     ``row_number() <= n`` per directory is planned with a partial
     ``WindowGroupLimit`` before the shuffle, so a directory holding most of
     the files sends only n rows per task.
     """
+    if per_directory is None:
+        return files.where(F.col("name").endswith(suffix))
     w = Window.partitionBy("directory").orderBy("name", "path")
     first = files.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= per_directory)
     return first.where(F.col("name").endswith(suffix)).drop("_rn")

@@ -106,8 +106,30 @@ def test_entities(spark):
 
 def test_entity_cap_starves_late_types(spark):
     text = " ".join(["01/01/2024"] * 60) + " a@b.com"
-    e = ents(spark, text)
-    assert len(e) == K.ENTITY_LIMIT and all(t == "date" for t, _ in e)
+    assert [t for t, _ in ents(spark, text)] == ["date"] * 60 + ["email"]
+    e = one(spark, T.extract_entities(F.col("t"), limit=K.ENTITY_LIMIT), t=text)
+    assert len(e) == 50 and all(x["type"] == "date" for x in e)
+
+
+# worked by hand from str.split(): no-break, ideographic, line-separator and unit-separator blanks
+BLANK_TEXTS = {"a\u00a0b": 2, "a\u3000b c": 3, "\u2028a": 1, "a\x1fb": 2, "a\x1c \u2003b": 2, "a\u200bb": 1, "\u00a0": 0, "": 0}
+
+
+def test_words_split_at_unicode_blanks(spark):
+    for text, n in BLANK_TEXTS.items():
+        assert one(spark, S.word_count(F.col("t")), t=text) == n == one(spark, T.word_count(F.col("t")), t=text)
+    assert one(spark, S.word_overlap(F.col("t"), F.lit("B\u3000a")), t="a\u00a0b") == 1.0
+
+
+def test_unanswered_turns_stay_as_failed_calls(spark):
+    from pagewright.plans import views as V
+
+    class T0:
+        conversations = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "r"), (1, 2, "user", "lost"), (2, 0, "user", "x"), (2, 1, "user", "y"), (2, 2, "assistant", "z")],
+                                              "conv_id long, turn long, role string, text string")
+        documents = spark.createDataFrame([(1, "ctx")], "doc_id long, text string")
+    got = {(r.conv_id, r.turn): (r.response, r.is_error) for r in V.interactions(T0()).collect()}
+    assert got == {(1, 0): ("r", False), (1, 2): (None, True), (2, 0): (None, True), (2, 1): ("z", False)}
 
 
 def test_f19_summary_pieces(spark):

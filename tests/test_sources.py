@@ -41,6 +41,8 @@ def test_s03_discovery_cap_before_suffix(spark, tmp_uri):
                 f.write(b"%PDF")
     files = SRC.list_files(spark, tmp_uri)
     got = sorted(r["name"] for r in SRC.discover_documents(files).collect())
+    assert got == ["1.pdf", "3.pdf", "4.pdf", "y.pdf"]
+    got = sorted(r["name"] for r in SRC.discover_documents(files, per_directory=3).collect())
     assert got == ["1.pdf", "3.pdf", "y.pdf"]
 
 
