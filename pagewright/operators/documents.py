@@ -96,6 +96,20 @@ def number_pages(docs: DataFrame, text_col: str = "text", page_break: str = K.PA
                 T.page_image_name(F.col("pos") + 1).alias("image_name"))
 
 
+def form_page_results(forms: DataFrame, json_col: str = "form_json", confidence: float = K.DEFAULT_LINE_CONFIDENCE) -> DataFrame:
+    """Pages whose form could not be read become error rows (message,
+    confidence 0, nothing found) instead of failing the document.  Input: the
+    result of ``nested.extract_form``."""
+    failed = ~_is_json(F.col(json_col))
+    text = F.format_string(K.PAGE_ERROR_TEMPLATE, F.col("page_number"), F.lit("form could not be read"))
+    return forms.withColumns({"error_text": F.when(failed, text), "confidence_score": F.when(failed, F.lit(0.0)).otherwise(F.lit(float(confidence)))})
+
+
+def _is_json(text: Column) -> Column:
+    """Whether a text is a JSON object."""
+    return F.json_object_keys(text).isNotNull()
+
+
 def _page_struct() -> Column:
     return F.struct(F.col("page_number").alias("page_number"), F.col("text_content").alias("text"))
 

@@ -46,8 +46,8 @@ READING_SCHEMA = T.StructType([
 
 # X01 -------------------------------------------------------------------------
 def extractive_model(queries: list[str]) -> list[str]:
-    """Deterministic local default model: the first three dot-pieces of the
-    input (the same rule as the document summary head)."""
+    """A stand-in model for tests and demonstrations, no trained one: the first
+    three dot-pieces of the input, as in the document summary head."""
     out = []
     for q in queries:
         pieces = (q or "").split(".")[:K.SUMMARY_SENTENCES]
@@ -60,8 +60,8 @@ def batch_inference(df: DataFrame, model_fn: Callable[[list[str]], list[str]] =
                     batch_size: int = K.BATCH_SIZE) -> DataFrame:
     """X01 + X02 + P08 + W04: one result row per input row, order kept.
 
-    Output: keys, query, response, latency_ms (measured per call slice),
-    batch (position div ``batch_size`` within the task's input), is_error,
+    Output: keys, query, response, latency_ms (measured per call),
+    batch (position in the task's input div ``batch_size``), is_error,
     model_used, confidence_score, cost_estimate.
     """
     keys = list(keys)
@@ -79,24 +79,15 @@ def batch_inference(df: DataFrame, model_fn: Callable[[list[str]], list[str]] =
         for pdf in batches:
             qs = pdf[query].where(pdf[query].notna(), None).tolist()
             resp, lat, err = [None] * len(qs), [0.0] * len(qs), [False] * len(qs)
-            for s0 in range(0, len(qs), batch_size):
-                sl = list(range(s0, min(len(qs), s0 + batch_size)))
+            for i, q in enumerate(qs):  # each query is sent once: a failing one costs the others nothing
                 t0 = time.perf_counter()
                 try:
-                    out = list(model_fn([qs[i] for i in sl]))
-                    if len(out) != len(sl):
-                        raise ValueError(f"model returned {len(out)} results for {len(sl)} queries")
-                    dt = (time.perf_counter() - t0) * 1000.0 / len(sl)
-                    for i, r in zip(sl, out):
-                        resp[i], lat[i] = r, dt
-                except Exception:  # noqa: BLE001 - isolate the failing query
-                    for i in sl:
-                        t1 = time.perf_counter()
-                        try:
-                            resp[i] = list(model_fn([qs[i]]))[0]
-                            lat[i] = (time.perf_counter() - t1) * 1000.0
-                        except Exception as e:  # noqa: BLE001
-                            resp[i], lat[i], err[i] = K.QUERY_ERROR_PREFIX + str(e), 0.0, True
+                    got = list(model_fn([q]))
+                    if len(got) != 1:
+                        raise ValueError(f"model returned {len(got)} results for 1 query")
+                    resp[i], lat[i] = got[0], (time.perf_counter() - t0) * 1000.0
+                except Exception as e:  # noqa: BLE001 - an error row, not a failed job
+                    resp[i], err[i] = K.QUERY_ERROR_PREFIX + str(e), True
             out = pdf[keys + [query]].copy()
             out["response"] = resp
             out["latency_ms"] = lat
