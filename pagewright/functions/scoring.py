@@ -70,6 +70,12 @@ def training_cost_inr(seconds, usd_per_hour: float = K.TRAINING_USD_PER_HOUR,
     return _c(seconds).cast("double") / _d(3600) * _d(usd_per_hour) * _d(usd_to_inr)
 
 
+# F21 -------------------------------------------------------------------------
+def elapsed_seconds(started, ended) -> Column:
+    """Seconds between two clock columns, with their fraction."""
+    return (F.unix_micros(_c(ended)) - F.unix_micros(_c(started))).cast("double") / _d(1_000_000)
+
+
 # F06 -------------------------------------------------------------------------
 def page_processing_cost_inr(n_pages, per_1000: float = K.PAGE_READ_INR_PER_1000,
                              per_page: float = K.PAGE_FORM_INR_PER_PAGE) -> Column:

@@ -114,14 +114,14 @@ def _page_struct() -> Column:
     return F.struct(F.col("page_number").alias("page_number"), F.col("text_content").alias("text"))
 
 
-def rollup_documents(page_results: DataFrame, doc_key: str = "doc_id", with_text: bool = True) -> DataFrame:
+def rollup_documents(page_results: DataFrame, doc_key: str = "doc_id", with_text: bool = True, sums=()) -> DataFrame:
     """A04 (+F06, F18): per document page count, mean page confidence, cost.
 
     Counts and sums aggregate map-side before the shuffle.  ``with_text``
     additionally assembles the document text (non-empty pages, page order),
     which is needed by the summary and the entity extraction.
     """
-    extra = []
+    extra = [F.sum(c).alias(c) for c in sums]
     if "tables" in page_results.columns:
         extra.append(F.sum(F.size("tables")).cast("bigint").alias("total_tables"))
     if "key_value_pairs" in page_results.columns:

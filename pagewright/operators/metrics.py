@@ -153,6 +153,17 @@ def consecutive_firing(windows: DataFrame, by="service_name", k: int = 2,
         .where(F.col("windows") >= k).drop("_g")
 
 
+def percentile_series(calls: DataFrame, value: str, by=(), ts: str = "ts", window: str = "5 minutes", shares=(0.5, 0.95, 0.99)) -> DataFrame:
+    """Per window and label the number of requests and exact percentiles
+    of a value.  Equal values are counted first, map-side, so a group holds
+    its distinct values with their counts, not its rows."""
+    w = F.window(F.col(ts), window)
+    counted = calls.groupBy(w.alias("w"), *by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    names = [f"p{round(s * 100)}" for s in shares]
+    return (counted.groupBy("w", *by).agg(F.sum("_n").cast("bigint").alias("requests"), F.percentile("_v", F.array(*[F.lit(s) for s in shares]), F.col("_n")).alias("_p"))
+            .select(F.col("w.start").alias("window_start"), *by, "requests", *[F.col("_p")[i].alias(n) for i, n in enumerate(names)]))
+
+
 def dashboard_series(calls: DataFrame, ts: str = "ts", window_seconds: int = K.ERROR_RATE_WINDOW_SECONDS,
                      latency: str = "cost", by=None) -> DataFrame:
     """Per tumbling window: request count, errors, error rate, mean and max of a value."""

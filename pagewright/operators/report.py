@@ -80,30 +80,37 @@ def recommendations(kpis: DataFrame) -> DataFrame:
         F.col("r.ord").cast("bigint").alias("ord"), "r.category", "r.priority", "r.recommendation", "r.note")
 
 
-def report_rows(sections: dict[str, DataFrame]) -> DataFrame:
-    """Named one-row sections -> one long (section, metric, value) table.
-
-    Each section's numeric columns become rows via ``stack``; a failed section
-    is recorded by the caller as an ``error`` row and the rest still run.
-    """
-    out = None
-    for name, df in sections.items():
-        cols = [c for c, t in df.dtypes if t in ("double", "bigint", "int", "float", "long")]
-        txt = [c for c, t in df.dtypes if t == "string"]
-        parts = []
-        if cols:
-            expr = "stack({n}, {args}) as (metric, value_num)".format(
-                n=len(cols), args=", ".join(f"'{c}', cast(`{c}` as double)" for c in cols))
-            parts.append(df.selectExpr(expr).select(F.lit(name).alias("section"), "metric", "value_num",
-                                                    F.lit(None).cast("string").alias("value_text")))
-        if txt:
-            expr = "stack({n}, {args}) as (metric, value_text)".format(
-                n=len(txt), args=", ".join(f"'{c}', `{c}`" for c in txt))
-            parts.append(df.selectExpr(expr).select(F.lit(name).alias("section"), "metric",
-                                                    F.lit(None).cast("double").alias("value_num"), "value_text"))
-        for p in parts:
-            out = p if out is None else out.unionByName(p)
-    return out
+def section_rows(df: DataFrame, section: str, prefix: str | None = None) -> DataFrame:
+    """(section, metric, value_num, value_text) of a small frame: one row per
+    column, in one pass.  ``prefix``: a column whose value leads the metric name,
+    for frames of several rows."""
+    lead = F.concat(F.col(prefix).cast("string"), F.lit(".")) if prefix else F.lit("")
+    items = [F.struct(F.concat(lead, F.lit(c)).alias("metric"),
+                      (F.lit(None) if t == "string" else F.col(c)).cast("double").alias("value_num"),
+                      (F.col(c) if t == "string" else F.lit(None)).cast("string").alias("value_text"))
+             for c, t in df.dtypes if c != prefix]
+    return df.select(F.explode(F.array(*items)).alias("r")).select(F.lit(section).alias("section"), "r.*")
+
+
+def run_phases(phases: dict, spark) -> DataFrame:
+    """Run the phases in order, each on its own.  A phase is a function
+    that returns its section rows (a few, by nature: aggregates); a phase that
+    fails becomes an ``error`` row and the next one still runs."""
+    rows = []
+    for name, phase in phases.items():
+        try:
+            rows += [(name, r.metric, r.value_num, r.value_text) for r in phase().collect()]
+        except Exception as e:  # noqa: BLE001 - recorded, as the guards of the phases do
+            rows.append((name, "error", None, str(e).splitlines()[0][:200]))
+    return spark.createDataFrame(rows, "section string, metric string, value_num double, value_text string")
+
+
+def report_document(rows: DataFrame) -> DataFrame:
+    """The report as one nested document, ``{section: {metric: value}}``, in
+    one JSON text; a report has a few rows per section."""
+    value = F.coalesce("value_text", F.col("value_num").cast("string"))
+    section = rows.groupBy("section").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", value)))).alias("m"))
+    return section.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("section", "m")))).alias("report"))
 
 
 def write_report(report: DataFrame, path: str, mode: str = "overwrite") -> str:

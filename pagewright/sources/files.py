@@ -96,9 +96,9 @@ def admit_documents(files: DataFrame, path: str = "path", size: str = "length",
 
 
 # S06 -------------------------------------------------------------------------
-# The report sink lives with the report operators: ``report_rows`` builds one
-# JSON row per section, ``write_report`` writes them.
-from ..operators.report import report_rows, write_report  # noqa: E402,F401
+# The report sink lives with the report operators: ``report_document``
+# builds one nested JSON document, ``write_report`` writes it.
+from ..operators.report import report_document, write_report  # noqa: E402,F401
 
 
 # S07 -------------------------------------------------------------------------

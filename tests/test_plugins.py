@@ -80,3 +80,21 @@ def test_p09_feature_flags(spark):
     assert r["tables"] == [] and r["key_value_pairs"] == {} and r["layout"]["page_width"] == 8.5
     r = N.extract_form(df, advanced=False).first()
     assert r["layout"]["page_width"] == 0.0 and r["tables"] == []
+
+
+def test_x01_calls_the_model_once_per_query(spark, tmp_path):
+    from pagewright.operators import plugins as PL
+
+    log = str(tmp_path / "calls")
+
+    def model(queries):
+        with open(log, "a") as f:
+            f.write("".join(f"{q}\n" for q in queries))
+        if queries[0] == "q3":
+            raise ValueError("refused")
+        return [q.upper() for q in queries]
+    df = spark.createDataFrame([(i, 0, f"q{i}") for i in range(20)], "conv_id long, turn long, query string").repartition(1)
+    rows = {r.query: r for r in PL.batch_inference(df, model).collect()}
+    assert sorted(open(log).read().split()) == sorted(f"q{i}" for i in range(20))
+    assert rows["q3"].is_error and rows["q3"].response == "Error processing query: refused" and rows["q4"].response == "Q4"
+    assert sorted(r.batch for r in rows.values()) == [0] * 10 + [1] * 10

@@ -57,11 +57,19 @@ def test_s06_s07_writers(spark, tmp_uri):
     rec = spark.createDataFrame([("p", "c"), (None, "c2")], "prompt string, completion string")
     uri = SRC.publish_training_set(rec, os.path.join(tmp_uri, "training-data"))
     assert spark.read.json(uri).count() == 1
-    sec = {"s": spark.createDataFrame([(1.5, "x")], "v double, t string")}
-    rep = SRC.report_rows(sec)
-    out = SRC.write_report(rep, os.path.join(tmp_uri, "report"))
-    back = spark.read.json(out).collect()
-    assert {r["metric"] for r in back} == {"v", "t"}
+    import json
+
+    from pagewright.operators import report as R
+
+    sec = lambda: R.section_rows(spark.createDataFrame([(1.5, "x")], "v double, t string"), "s")
+
+    def broken():
+        raise ValueError("no such service")
+    rows = R.run_phases({"bad": broken, "s": sec, "late": lambda: spark.range(1).selectExpr("raise_error('at run time') as x")}, spark)
+    assert [(r.section, r.metric) for r in rows.collect()] == [("bad", "error"), ("s", "v"), ("s", "t"), ("late", "error")]
+    out = SRC.write_report(SRC.report_document(rows), os.path.join(tmp_uri, "report"))
+    doc = json.loads(spark.read.json(out).first()["report"])
+    assert doc["s"] == {"v": "1.5", "t": "x"} and doc["bad"]["error"] == "no such service" and set(doc) == {"bad", "s", "late"}
 
 
 def test_s09_folder_job(spark, tmp_uri):
