@@ -14,7 +14,7 @@ from ..session import configure, read_table, reliable_checkpoint
 BUCKETS = 1 << 18
 _MARK = "__bucket"  # a name that no column of a table has
 
-__all__ = ["narrowed", "parted", "without", "cut", "groups_of", "components", "text_table", "prepare", "partitions"]
+__all__ = ["parted", "without", "cut", "groups_of", "components", "text_table", "prepare", "partitions"]
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -37,15 +37,6 @@ def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return read_table(spark, sf_dir, name)
 
 
-def narrowed(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """The rows whose ``key`` is in ``ids`` (a column of the same name).
-
-    A broadcast of the ids' hash buckets, at most ``BUCKETS`` numbers whatever
-    the ids, takes out most other rows before their texts are shuffled; the
-    semi join that follows is exact."""
-    return parted(rows, ids, key)[0].join(ids, key, "left_semi")
-
-
 def parted(rows: DataFrame, ids: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """(rows that may have their ``key`` in ``ids``, rows that surely don't):
     by the ids' hash buckets, without a shuffle of the rows."""
@@ -96,22 +87,19 @@ def groups_of(batches: Iterator[pa.RecordBatch], keys: list[str], schema: pa.Sch
 def components(links: DataFrame, cut_rows: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
     """(id, component) of every id in the links (a, b): the smallest id it is
     connected with.  Large-star and small-star steps in turn (Kiveris et al.,
-    2014): every step is a grouped minimum and an equi-join, the links never
-    leave the executors, and each round is cut into the checkpoint folder.
-    Ends when a round changes nothing."""
-    edges = cut_rows(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
-    before = None
+    2014): every step is a grouped minimum and an equi-join that makes one link
+    of each, the links never leave the executors, and each round is cut into
+    the checkpoint folder.  Ends when all links go straight to a root."""
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v")
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                 .unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+                 .unionByName(low.select("u", F.col("m").alias("v"))))
         edges = cut_rows(small)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    labels = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
-    return labels.unionByName(labels.select(F.col("component").alias("id"), "component").distinct())
+        ends = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.lit(None).cast("long").alias("v")))
+        state = ends.groupBy("u").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"), F.count("v").alias("k"))
+        if state.filter("lo < hi or (k > 0 and k < n)").isEmpty():  # one root each, and no root has a root
+            return state.select(F.col("u").alias("id"), F.coalesce("lo", "u").alias("component"))

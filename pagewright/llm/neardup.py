@@ -50,7 +50,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .jobs import components, cut, narrowed, without
+from .jobs import components, cut, parted, without
 
 RETAINED = 64   # values of a sketch, for the estimate
 INDEXED = 16    # lowest values of it that have inverted lists
@@ -130,7 +130,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, num: int, den: in
     occur in a pair are moved; both sets of a pair are built where its texts
     meet."""
     used = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = narrowed(docs.select("doc_id", "text"), used, "doc_id")
+    texts = parted(docs.select("doc_id", "text"), used, "doc_id")[0]  # with a few others, which the joins leave out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -215,7 +215,7 @@ def _prefixes(lists: DataFrame, labels: DataFrame, sketched: DataFrame, docs: Da
               .withColumn("component", F.coalesce("component", "rep")))
     mixed = marked.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("v")
     members = cut(_may_link(marked.join(mixed, "v").select("rep", "component").distinct(), sketched, num, den)).withColumnRenamed("rep", "doc_id")
-    texts = cut(narrowed(docs.select("doc_id", "text"), members.select("doc_id"), "doc_id").join(members, "doc_id"))
+    texts = cut(parted(docs.select("doc_id", "text"), members.select("doc_id"), "doc_id")[0].join(members, "doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -276,8 +276,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     sketched = cut(reps.select("rep", "n", "sketch").join(lists.select("rep").distinct(), "rep", "left_semi"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        likely = cut(_estimated(pairs, sketched, num, den).distinct())
-        return cut(_verified(likely, docs, shingle, num, den).distinct())
+        likely = cut(_estimated(pairs, sketched, num, den))
+        return cut(_verified(likely, docs, shingle, num, den))
 
     links = confirmed(_star_pairs(_entries(lists), num, den))
     labels = components(links)
