@@ -197,7 +197,7 @@ def _may_link(members: DataFrame, sketched: DataFrame, num: int, den: int) -> Da
     across = held.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("v")
     # a set of RETAINED values or fewer is its own sketch; a little larger partner may retain two fewer
     needed = F.when(F.col("n") < RETAINED, F.least(F.lit(least), F.ceil(F.col("n") * num / den) - 2)).otherwise(least)
-    return held.join(across, "v").groupBy("rep", "component", "n").agg(F.count("*").alias("c")).filter(F.col("c") >= needed).select("rep", "component")
+    return held.join(across, "v").groupBy("rep", "component", "n").agg(F.count("*").alias("c")).filter(F.col("c") >= needed).select("rep", "component", "n")
 
 
 def _prefixes(lists: DataFrame, labels: DataFrame, sketched: DataFrame, docs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
@@ -215,27 +215,25 @@ def _prefixes(lists: DataFrame, labels: DataFrame, sketched: DataFrame, docs: Da
               .withColumn("component", F.coalesce("component", "rep")))
     mixed = marked.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("v")
     members = cut(_may_link(marked.join(mixed, "v").select("rep", "component").distinct(), sketched, num, den)).withColumnRenamed("rep", "doc_id")
-    texts = cut(parted(docs.select("doc_id", "text"), members.select("doc_id"), "doc_id")[0].join(members, "doc_id"))
+    texts = cut(parted(docs.select("doc_id", "text"), members.select("doc_id"), "doc_id")[0].join(members.select("doc_id", "component"), "doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, parts = batch.column("doc_id"), batch.column("component")
             for words in W.words_of(batch.column("text")):
-                rows, values, sizes = [], [], []
+                rows, values = [], []
                 for i, x in W.shingle_sets(words, shingle):
                     rows.append(np.full(len(x), i))
-                    sizes.append(np.full(len(x), len(x)))
                     values.append(x.view(np.int64))
                 at = pa.array(np.concatenate(rows))
-                yield pa.RecordBatch.from_arrays([ids.take(at), parts.take(at), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(values))],
-                                                 ["rep", "component", "n", "v"])
+                yield pa.RecordBatch.from_arrays([ids.take(at), parts.take(at), pa.array(np.concatenate(values))], ["rep", "component", "v"])
 
-    full = texts.mapInArrow(run, "rep long, component long, n long, v long")
+    full = texts.mapInArrow(run, "rep long, component long, v long")
     counting = full.groupBy("v").agg(F.count("*").alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("v", "df")
     need = F.ceil(F.col("n") * num / den)
-    ordered = (full.join(counting, "v").groupBy("rep", "component", "n")
+    ordered = (full.select("rep", "v").join(counting, "v").groupBy("rep")
                .agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("values"))  # at most the doc's own shingles
-               .filter(F.size("values") >= need))
+               .join(members.withColumnRenamed("doc_id", "rep"), "rep").filter(F.size("values") >= need))
     return cut(ordered.select("rep", "component", "n", F.size("values").cast("long").alias("c"),
                               F.posexplode(F.expr(f"slice(values, 1, size(values) - cast(ceil(n * {num} / {den}) as int) + 1)")).alias("p", "s"))
                .select("rep", "component", "n", "c", (F.col("c") - F.col("p")).alias("left"), F.col("s.v").alias("v")))
