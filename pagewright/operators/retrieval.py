@@ -1,38 +1,28 @@
 """Retrieval operators: hashed embeddings (D02), vector k-NN (W02), threshold
-search (W03), keyword matching by token equi-join, hybrid retrieval with
-reciprocal-rank fusion (J03), best ground-truth match (J04).
+search (W03), keyword matching (J03), hybrid retrieval with reciprocal-rank
+fusion (J03), best ground-truth match (J04).
 
 Scale notes
-* Vectors: each corpus partition scores its rows against a broadcast block
-  of unit query vectors with one numpy matrix product per chunk and keeps
-  only its own top k per query (``mapInPandas``); pairs are never
-  materialised.  Norms are computed once per vector.
-* Queries are a bounded set: they are broadcast only after their size is
-  checked against ``max_broadcast_bytes``; larger sets are processed in
-  blocks of that size (each block one scan of the corpus) -- exact, no cap.
+* Searches are a query set against all rows, in blocks: the corpus is dealt
+  into ``corpus_blocks`` by a hash of its key, every query block meets every
+  corpus block once (a cogroup), and a task keeps only its own top k of each
+  query.  Queries stay a DataFrame: nothing passes through the driver, nothing
+  is broadcast, no job runs while a plan is built, and no query x row pair is
+  made as a row.  Memory of a task is one block of either side.
+* Keyword scores come from an inverted index of the block, so a word that is in
+  every text costs a numpy count, not joined rows.
 * Top-k per query is ``row_number() <= k`` over ``partitionBy(query)``: Spark
-  plans a partial ``WindowGroupLimit`` before the shuffle, so each task sends
-  at most k candidates per query -- never a whole query group.
-* Keyword matching explodes *distinct* tokens per text and equi-joins on the
-  token; the small side (queries / ground truth) is broadcast when its row
-  count is under the limit, otherwise the big side is salted against a
-  replicated small side so a hot token spreads over many tasks.  The join
-  output is aggregated per pair with map-side partial aggregation.
+  plans a partial ``WindowGroupLimit`` before the shuffle.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import constants as K
-from ..session import reliable_checkpoint
 
-MAX_BROADCAST_QUERY_BYTES = 64 * 1024 * 1024
-MAX_BROADCAST_TOKEN_ROWS = 1_000_000  # (key, length, token) rows: a few tens of MB
 RRF_K = 60
 
 
@@ -44,57 +34,40 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), K.BLANKS), lambda x: x != "")
 
 
-def distinct_tokens(df: DataFrame, key: str, text: str, out_key: str | None = None) -> DataFrame:
-    """One row per (key, distinct token) plus the text's distinct-token count."""
-    out_key = out_key or key
-    ws = F.array_distinct(tokens(F.col(text)))
-    # explode_outer + a null filter: a plain explode of the aliased array
-    # makes Catalyst infer ``size(<array expr>) > 0`` below the projection,
-    # which would tokenise every text twice
-    return (df.select(key, text).select(F.col(key).alias(out_key), ws.alias("_ws"))
-            .select(out_key, F.size("_ws").cast("bigint").alias("n_tokens"), F.explode_outer("_ws").alias("token"))
-            .where(F.col("token").isNotNull()))
+def block_cogroup(left: DataFrame, right: DataFrame, lkey: str, rkey: str, fn, schema, left_blocks: int = 1, right_blocks: int | None = None) -> DataFrame:
+    """Every block of ``left`` with every block of ``right``: ``fn(left_pdf,
+    right_pdf)`` per pair of blocks.  Left rows are sent to each right block and
+    the other way round; ``right_blocks`` defaults to the shuffle partitions."""
+    n = right_blocks or int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    l = left.withColumn("_lb", F.pmod(F.xxhash64(lkey), F.lit(left_blocks)).cast("int")).withColumn("_rb", each(n))  # noqa: E741
+    r = right.withColumn("_rb", F.pmod(F.xxhash64(rkey), F.lit(n)).cast("int")).withColumn("_lb", each(left_blocks))
+    return l.groupBy("_lb", "_rb").cogroup(r.groupBy("_lb", "_rb")).applyInPandas(fn, schema)
+
 
+def _shared_counts(queries, rows):
+    """(queries x rows) numbers of shared distinct tokens, query by query, from
+    an inverted index of the rows' token lists."""
+    import numpy as np
 
-def token_match_counts(big: DataFrame, small: DataFrame, big_key: str, small_key: str,
-                       max_broadcast_rows: int = MAX_BROADCAST_TOKEN_ROWS, salts: int = 32) -> DataFrame:
-    """Shared distinct tokens per (big_key, small_key) pair via a token equi-join.
+    lengths = np.array([len(t) for t in rows], np.int64)
+    ids: dict[str, int] = {}
+    flat = np.fromiter((ids.setdefault(t, len(ids)) for ts in rows for t in ts), np.int64, int(lengths.sum()))
+    owner = np.repeat(np.arange(len(rows)), lengths)
+    order = np.argsort(flat, kind="stable")
+    owner, start = owner[order], np.searchsorted(flat[order], np.arange(len(ids) + 1))
+    for tokens_ in queries:
+        found = [owner[start[i]:start[i + 1]] for i in (ids.get(t) for t in tokens_) if i is not None]
+        yield np.bincount(np.concatenate(found), minlength=len(rows)) if found else np.zeros(len(rows), np.int64)
 
-    ``big``/``small``: (key, n_tokens, token) from :func:`distinct_tokens`.
-    """
-    n_small = small.count()  # size check before any broadcast
-    s = small.select(F.col(small_key), F.col("n_tokens").alias("n_small"), "token")
-    b = big.select(F.col(big_key), F.col("n_tokens").alias("n_big"), "token")
-    if n_small <= max_broadcast_rows:
-        j = b.join(F.broadcast(s), "token")
-    else:
-        b = b.withColumn("_salt", (F.xxhash64(F.col(big_key)) % salts + salts) % salts)
-        s = s.select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
-        j = b.join(s, ["token", "_salt"])
-    return j.groupBy(big_key, small_key).agg(
-        F.count(F.lit(1)).cast("bigint").alias("shared"),
-        F.first("n_big").alias("n_big"), F.first("n_small").alias("n_small"))
+
+def _tokened(df: DataFrame, key: str, text: str, out: str) -> DataFrame:
+    return df.select(key, F.array_distinct(tokens(F.col(text))).alias(out))
 
 
 # ---------------------------------------------------------------------------
 # vectors
 # ---------------------------------------------------------------------------
-def vector_dim(df: DataFrame, col: str) -> int:
-    """Dimension of an array column (one scalar aggregate)."""
-    return int(df.select(F.max(F.size(col))).first()[0] or 0)
-
-
-def sum_squares(a: Column) -> Column:
-    return F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
-
-
-def normalized(df: DataFrame, vec: str, out: str = "unit") -> DataFrame:
-    """Unit vectors as ``array<double>`` (zero vectors dropped: no direction)."""
-    n = F.sqrt(sum_squares(F.col(vec)))
-    return (df.withColumn("_norm", n).where(F.col("_norm") > 0)
-            .withColumn(out, F.transform(vec, lambda x: x.cast("double") / F.col("_norm"))).drop("_norm"))
-
-
 def hashed_embeddings(df: DataFrame, key: str, text: str, dim: int = 64) -> DataFrame:
     """Signed hashed bag of words, L2-normalised, as ``array<double>``.
 
@@ -134,150 +107,90 @@ def _top_k(scored: DataFrame, qkey: str, ckey: str, score: str, k: int, rank: st
     return scored.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
 
 
-def _query_blocks(queries: DataFrame, qkey: str, limit: int):
-    n = queries.count()  # size check before broadcasting
-    if n <= limit:
-        return [queries]
-    blocks = (n + limit - 1) // limit
-    # several passes read the query vectors: materialise them once in the
-    # shared checkpoint folder instead of recomputing them per block
-    b = reliable_checkpoint(queries.withColumn("_blk", F.abs(F.xxhash64(F.col(qkey))) % blocks))
-    return [b.where(F.col("_blk") == i).drop("_blk") for i in range(blocks)]
-
-
-def _partition_top_k(qkeys, qmat, k: int, ckey: str, vec: str, qkey: str, threshold, score_digits,
-                     exclude_self: bool, cells: int):
-    """Build the per-task scorer: corpus rows in, at most ~k rows per query out.
+def knn(queries: DataFrame, corpus: DataFrame, qkey: str, ckey: str, vec: str, k: int = K.RETRIEVAL_TOP_K,
+        threshold: float | None = None, exclude_self: bool = False, score_digits: int | None = None,
+        query_blocks: int = 1, corpus_blocks: int | None = None) -> DataFrame:
+    """Exact k nearest corpus vectors per query by cosine similarity.
 
-    Scores are one matrix product per chunk of corpus rows against the
-    broadcast query block; only rows reaching the current k-th best score of
-    a query survive, and the survivors are compacted to k per query (ties
-    broken by corpus key) whenever they pile up and at the end of the task.
+    Each pair of blocks is one matrix product; a task emits its own top k per
+    query, and ``row_number() <= k`` per query merges them.  ``threshold`` filters
+    *before* ranking (W03); ties rank by corpus key; ``score_digits`` rounds
+    scores before ranking, so mathematically equal scores (proportional vectors)
+    tie exactly.  Zero vectors have no direction and are never a result; vectors
+    of different lengths are an error.
     """
-    import numpy as np
-    import pandas as pd
-
-    nq = len(qkeys)
-    qpos = {kv: i for i, kv in enumerate(qkeys)}
-
-    def compact(qi, ci, sc):
-        order = np.lexsort((ci, -sc, qi))
-        qi, ci, sc = qi[order], ci[order], sc[order]
-        starts = np.r_[0, np.flatnonzero(np.diff(qi)) + 1]
-        sizes = np.diff(np.r_[starts, len(qi)])
-        rank = np.arange(len(qi)) - np.repeat(starts, sizes)
-        keep = rank < k
-        return qi[keep], ci[keep], sc[keep]
-
-    def run(batches):
-        Q = qmat.value
-        qi_acc, ci_acc, sc_acc = [], [], []
-        pending = 0
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            ids = pdf[ckey].to_numpy()
-            mat = np.stack(pdf[vec].to_numpy()).astype(np.float64)
-            norms = np.sqrt((mat * mat).sum(axis=1))
-            ok = norms > 0
-            ids, mat, norms = ids[ok], mat[ok], norms[ok]
-            mat = mat / norms[:, None]
-            step = max(1, cells // max(nq, 1))
-            for s0 in range(0, len(ids), step):
-                cid = ids[s0:s0 + step]
-                S = mat[s0:s0 + step] @ Q.T
-                if score_digits is not None:
-                    S = np.round(S, score_digits)
-                if threshold is not None:
-                    S[S < threshold] = -np.inf
-                if exclude_self:
-                    for r, kv in enumerate(cid):
-                        j = qpos.get(kv)
-                        if j is not None:
-                            S[r, j] = -np.inf
-                b = S.shape[0]
-                if b > k:
-                    kth = np.partition(S, b - k, axis=0)[b - k]
-                    mask = (S >= kth[None, :]) & np.isfinite(S)
-                else:
-                    mask = np.isfinite(S)
-                r_idx, q_idx = np.nonzero(mask)
-                qi_acc.append(q_idx)
-                ci_acc.append(cid[r_idx])
-                sc_acc.append(S[r_idx, q_idx])
-                pending += len(r_idx)
-                if pending > 8 * k * nq + 100_000:
-                    a, b2, c = compact(np.concatenate(qi_acc), np.concatenate(ci_acc), np.concatenate(sc_acc))
-                    qi_acc, ci_acc, sc_acc, pending = [a], [b2], [c], len(a)
-        if qi_acc:
-            qi, ci, sc = compact(np.concatenate(qi_acc), np.concatenate(ci_acc), np.concatenate(sc_acc))
-            yield pd.DataFrame({qkey: np.asarray(qkeys)[qi],
-                                ckey: ci, "similarity": sc})
-
-    return run
+    schema = T.StructType([queries.schema[qkey], corpus.schema[ckey], T.StructField("similarity", T.DoubleType())])
+    limit = None if threshold is None else float(threshold)
 
+    def units(pdf, key, col):
+        import numpy as np
 
-def knn(queries: DataFrame, corpus: DataFrame, qkey: str, ckey: str, vec: str, k: int = K.RETRIEVAL_TOP_K,
-        dim: int | None = None, threshold: float | None = None, exclude_self: bool = False,
-        score_digits: int | None = None, max_broadcast_bytes: int = MAX_BROADCAST_QUERY_BYTES,
-        cells_per_chunk: int = 4_000_000) -> DataFrame:
-    """Exact k nearest corpus vectors per query by cosine similarity.
+        m = np.stack(pdf[col].to_numpy()).astype(np.float64)
+        size = np.sqrt((m * m).sum(axis=1))
+        ok = size > 0
+        return pdf[key].to_numpy()[ok], m[ok] / size[ok][:, None]
 
-    The query set is broadcast only after its size is checked: it is split
-    into blocks of at most ``max_broadcast_bytes`` of vectors, and each block
-    is one pass over the corpus.  Every corpus partition scores its rows
-    against the block with a matrix product (``mapInPandas``) and emits only
-    its own top k per query, so no query x corpus pair is ever materialised
-    or shuffled; a final ``row_number() <= k`` per query (partial
-    ``WindowGroupLimit`` before the shuffle) merges the task results.
-    ``threshold`` filters *before* ranking (W03); ties rank by corpus key;
-    ``score_digits`` rounds scores before ranking, so mathematically equal
-    scores (proportional vectors) tie exactly.
-    """
-    dim = dim or vector_dim(corpus, vec)
-    per_query = max(1, dim) * 8
-    limit = max(1, max_broadcast_bytes // per_query)
-    qn = normalized(queries.select(qkey, vec), vec, "_qu").select(qkey, "_qu")
-    qtype = queries.schema[qkey].dataType
-    ctype = corpus.schema[ckey].dataType
-    schema = T.StructType([T.StructField(qkey, qtype), T.StructField(ckey, ctype),
-                           T.StructField("similarity", T.DoubleType())])
-    sc = queries.sparkSession.sparkContext
-    c = corpus.select(ckey, vec)
-    parts = []
-    for blk in _query_blocks(qn, qkey, limit):
+    def run(left, right):
         import numpy as np
-        pdf = blk.toPandas()  # bounded: at most ``limit`` vectors (checked above)
-        if len(pdf) == 0:
-            continue
-        qkeys = pdf[qkey].tolist()
-        qmat = sc.broadcast(np.stack(pdf["_qu"].to_numpy()).astype(np.float64))
-        fn = _partition_top_k(qkeys, qmat, k, ckey, vec, qkey,
-                              None if threshold is None else float(threshold), score_digits,
-                              exclude_self, cells_per_chunk)
-        parts.append(_top_k(c.mapInPandas(fn, schema), qkey, ckey, "similarity", k))
-    if not parts:
-        return queries.sparkSession.createDataFrame([], schema.add("rank", T.IntegerType()))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+        import pandas as pd
+
+        out = {qkey: [], ckey: [], "similarity": []}
+        if len(left) and len(right):
+            qs, qm = units(left, qkey, "_q")
+            cs, cm = units(right, ckey, "_c")
+            order = np.argsort(cs, kind="stable")
+            cs, cm = cs[order], cm[order]
+            for q, v in zip(qs, qm):
+                score = cm @ v
+                if score_digits is not None:
+                    score = np.round(score, score_digits)
+                keep = np.ones(len(cs), bool) if limit is None else score >= limit
+                if exclude_self:
+                    keep &= cs != q
+                at = np.flatnonzero(keep)
+                at = at[np.argsort(-score[at], kind="stable")[:k]]  # rows are in key order: ties go to the smaller key
+                out[qkey] += [q] * len(at)
+                out[ckey] += cs[at].tolist()
+                out["similarity"] += score[at].tolist()
+        return pd.DataFrame({c: pd.Series(v, dtype=object) for c, v in out.items()})
+
+    scored = block_cogroup(queries.select(qkey, F.col(vec).alias("_q")), corpus.select(ckey, F.col(vec).alias("_c")), qkey, ckey, run, schema, query_blocks, corpus_blocks)
+    return _top_k(scored, qkey, ckey, "similarity", k)
 
 
 def similarity_search(queries, corpus, qkey, ckey, vec, top_k: int = K.SEARCH_TOP_K,
-                      threshold: float = K.SEARCH_THRESHOLD, dim: int | None = None) -> DataFrame:
+                      threshold: float = K.SEARCH_THRESHOLD) -> DataFrame:
     """top_k by cosine among corpus vectors scoring at least ``threshold``."""
-    return knn(queries, corpus, qkey, ckey, vec, k=top_k, dim=dim, threshold=threshold)
+    return knn(queries, corpus, qkey, ckey, vec, k=top_k, threshold=threshold)
 
 
 # ---------------------------------------------------------------------------
 # keyword leg, hybrid fusion, best match
 # ---------------------------------------------------------------------------
 def keyword_top_k(queries: DataFrame, corpus: DataFrame, qkey: str, ckey: str, qtext: str, ctext: str,
-                  k: int = K.RETRIEVAL_TOP_K) -> DataFrame:
+                  k: int = K.RETRIEVAL_TOP_K, query_blocks: int = 1, corpus_blocks: int | None = None) -> DataFrame:
     """Keyword leg: corpus texts ranked by the number of distinct query
     tokens they contain (ties by corpus key)."""
-    qt = distinct_tokens(queries, qkey, qtext)
-    ct = distinct_tokens(corpus, ckey, ctext)
-    m = token_match_counts(ct, qt, ckey, qkey)
-    return _top_k(m.select(qkey, ckey, F.col("shared").cast("double").alias("score")), qkey, ckey, "score", k)
+    schema = T.StructType([queries.schema[qkey], corpus.schema[ckey], T.StructField("score", T.DoubleType())])
+
+    def run(left, right):
+        import numpy as np
+        import pandas as pd
+
+        out = {qkey: [], ckey: [], "score": []}
+        if len(left) and len(right):
+            right = right.sort_values(ckey, kind="stable")
+            keys = right[ckey].to_numpy()
+            for q, counts in zip(left[qkey], _shared_counts(left["_q"], right["_c"])):
+                at = np.flatnonzero(counts)
+                at = at[np.argsort(-counts[at], kind="stable")[:k]]
+                out[qkey] += [q] * len(at)
+                out[ckey] += keys[at].tolist()
+                out["score"] += counts[at].astype(float).tolist()
+        return pd.DataFrame({c: pd.Series(v, dtype=object) for c, v in out.items()})
+
+    scored = block_cogroup(_tokened(queries, qkey, qtext, "_q"), _tokened(corpus, ckey, ctext, "_c"), qkey, ckey, run, schema, query_blocks, corpus_blocks)
+    return _top_k(scored, qkey, ckey, "score", k)
 
 
 def hybrid_retrieve(queries: DataFrame, corpus: DataFrame, qkey: str, ckey: str, qtext: str, ctext: str,
@@ -289,7 +202,7 @@ def hybrid_retrieve(queries: DataFrame, corpus: DataFrame, qkey: str, ckey: str,
         qkey, ckey, F.col("rank").alias("kw_rank"))
     qv = hashed_embeddings(queries, qkey, qtext, dim)
     cv = hashed_embeddings(corpus, ckey, ctext, dim)
-    vec = knn(qv, cv, qkey, ckey, "embedding", k=k, dim=dim, score_digits=score_digits).select(qkey, ckey, F.col("rank").alias("vec_rank"))
+    vec = knn(qv, cv, qkey, ckey, "embedding", k=k, score_digits=score_digits).select(qkey, ckey, F.col("rank").alias("vec_rank"))
     legs = kw.join(vec, [qkey, ckey], "full")
     rrf = (F.coalesce(F.lit(1.0) / (F.lit(float(rrf_k)) + F.col("kw_rank")), F.lit(0.0))
            + F.coalesce(F.lit(1.0) / (F.lit(float(rrf_k)) + F.col("vec_rank")), F.lit(0.0)))
@@ -305,14 +218,28 @@ def contexts_for(hits: DataFrame, corpus: DataFrame, qkey, ckey: str, ctext: str
     return g.select(*keys, F.transform("_r", lambda x: x["_content"]).alias("contexts"))
 
 
-def best_truth_match(responses: DataFrame, truths: DataFrame, rkey: str, tkey: str, rtext: str, ttext: str) -> DataFrame:
+def best_truth_match(responses: DataFrame, truths: DataFrame, rkey: str, tkey: str, rtext: str, ttext: str,
+                     truth_blocks: int = 1, response_blocks: int | None = None) -> DataFrame:
     """For each response, the ground truth with the highest word overlap
     |R ∩ T| / |T| (ties: smallest truth key).  Responses sharing no token
     with any truth have no row."""
-    rt = distinct_tokens(responses, rkey, rtext)
-    tt = distinct_tokens(truths, tkey, ttext)
-    m = token_match_counts(rt, tt, rkey, tkey)
-    ov = F.least(F.col("shared").cast("double") / F.col("n_small").cast("double"), F.lit(1.0))
-    s = m.select(rkey, tkey, ov.alias("overlap"))
-    best = s.groupBy(rkey).agg(F.max_by(F.struct("overlap", tkey), F.struct(F.col("overlap"), -F.col(tkey))).alias("b"))
+    schema = T.StructType([responses.schema[rkey], truths.schema[tkey], T.StructField("overlap", T.DoubleType())])
+
+    def run(left, right):
+        import numpy as np
+        import pandas as pd
+
+        if not len(left) or not len(right):
+            return pd.DataFrame({rkey: [], tkey: [], "overlap": []})
+        left = left.sort_values(tkey, kind="stable")
+        best, which = np.zeros(len(right)), np.full(len(right), -1)
+        for i, (n, counts) in enumerate(zip(left["_t"].map(len), _shared_counts(left["_t"], right["_r"]))):
+            overlap = np.minimum(counts / max(n, 1), 1.0)
+            better = overlap > best
+            best[better], which[better] = overlap[better], i
+        some = which >= 0
+        return pd.DataFrame({rkey: right[rkey].to_numpy()[some], tkey: left[tkey].to_numpy()[which[some]], "overlap": best[some]})
+
+    found = block_cogroup(_tokened(truths, tkey, ttext, "_t"), _tokened(responses, rkey, rtext, "_r"), tkey, rkey, run, schema, truth_blocks, response_blocks)
+    best = found.groupBy(rkey).agg(F.max_by(F.struct("overlap", tkey), F.struct(F.col("overlap"), -F.col(tkey))).alias("b"))
     return best.select(rkey, F.col("b." + tkey).alias(tkey), F.col("b.overlap").alias("overlap"))

@@ -115,9 +115,10 @@ def q_rag_analyses(spark, sf_dir):
     with content keep theirs."""
     t = Tables(spark, sf_dir)
     calls = V.interactions(t)
-    ask = calls.where(F.coalesce("context", F.lit("")) == "").select(F.struct("conv_id", "turn").alias("call"), F.col("query").alias("text"))
+    ask = calls.where(F.coalesce("context", F.lit("")) == "").select(F.concat_ws(":", "conv_id", "turn").alias("call"), F.col("query").alias("text"))
     hits = RT.keyword_top_k(ask, t.benchmark, "call", "item_id", "text", "text", k=5)
-    contexts = RT.contexts_for(hits, t.benchmark, "call", "item_id", "text").select("call.conv_id", "call.turn", "contexts")
+    contexts = RT.contexts_for(hits, t.benchmark, "call", "item_id", "text").select(
+        F.split_part("call", F.lit(":"), F.lit(1)).cast("bigint").alias("conv_id"), F.split_part("call", F.lit(":"), F.lit(2)).cast("bigint").alias("turn"), "contexts")
     a = Q.analyze(calls, Q.safety_scores(V.severity(t)), key="conv_id", retrieved=contexts)
     return a.select("conv_id", "turn", F.size("retrieved_contexts").cast("bigint").alias("n_contexts"), "context_length",
                     F.round("confidence_score", R6).alias("confidence_score"))

@@ -33,11 +33,11 @@ def vectors(spark):
     return Q, C, qdf, cdf
 
 
-@pytest.mark.parametrize("budget", [1 << 26, 8 * 8 * 3])  # one block, or blocks of 3 queries
-def test_knn_matches_brute_force(spark, vectors, budget):
+@pytest.mark.parametrize("blocks", [(1, None), (3, 2), (2, 40)])  # of queries and of the corpus
+def test_knn_matches_brute_force(spark, vectors, blocks):
     Q, C, qdf, cdf = vectors
-    got = RT.knn(qdf, cdf.repartition(5), "qid", "id", "v", k=4, dim=8, score_digits=9,
-                 max_broadcast_bytes=budget)
+    got = RT.knn(qdf, cdf.repartition(5), "qid", "id", "v", k=4, score_digits=9,
+                 query_blocks=blocks[0], corpus_blocks=blocks[1])
     res = {}
     for r in got.orderBy("qid", "rank").collect():
         res.setdefault(r["qid"], []).append(r["id"])
@@ -47,7 +47,7 @@ def test_knn_matches_brute_force(spark, vectors, budget):
 
 def test_w03_threshold_before_ranking(spark, vectors):
     Q, C, qdf, cdf = vectors
-    got = RT.knn(qdf, cdf, "qid", "id", "v", k=10, dim=8, threshold=0.8, score_digits=9)
+    got = RT.knn(qdf, cdf, "qid", "id", "v", k=10, threshold=0.8, score_digits=9)
     res = {}
     for r in got.orderBy("qid", "rank").collect():
         res.setdefault(r["qid"], []).append(r["id"])
@@ -65,13 +65,15 @@ def test_keyword_and_best_match(spark):
     assert b[12] == (2, 1.0) and b[11] == (1, 0.5)
 
 
-def test_salted_token_join_equals_broadcast(spark):
-    c = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i % 7 + 1))) for i in range(60)], "cid long, text string")
-    q = spark.createDataFrame([(i, f"w{i} w{i + 1}") for i in range(6)], "qid long, text string")
-    ct, qt = RT.distinct_tokens(c, "cid", "text"), RT.distinct_tokens(q, "qid", "text")
-    a = sorted(tuple(r) for r in RT.token_match_counts(ct, qt, "cid", "qid").collect())
-    b = sorted(tuple(r) for r in RT.token_match_counts(ct, qt, "cid", "qid", max_broadcast_rows=0, salts=4).collect())
-    assert a == b and len(a) > 0
+def test_blocks_do_not_change_the_result_and_common_words_make_no_pairs(spark):
+    c = spark.createDataFrame([(i, "all " + " ".join(f"w{j}" for j in range(i % 7 + 1))) for i in range(300)], "cid long, text string")
+    q = spark.createDataFrame([(i, f"all w{i} w{i + 1}") for i in range(20)], "qid long, text string")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    want = rows(RT.keyword_top_k(q, c, "qid", "cid", "text", "text", k=4, corpus_blocks=1))
+    assert want == rows(RT.keyword_top_k(q, c, "qid", "cid", "text", "text", k=4, query_blocks=3, corpus_blocks=5))
+    assert len(want) == 80
+    plan = RT.keyword_top_k(q, c, "qid", "cid", "text", "text", k=4)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan  # a word in every text gives each task's k rows a query, not 6,000 joined pairs
 
 
 def test_positions_and_running_sum(spark):
