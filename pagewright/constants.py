@@ -96,7 +96,6 @@ BARE_QUERY_WORDS_OVER = 5
 BARE_QUERY_YES, BARE_QUERY_NO = 0.7, 0.9
 BARE_UNCERTAIN_PHRASES = ("I don't know", "unclear", "not sure", "maybe")
 UNCERTAIN_YES, UNCERTAIN_NO = 0.4, 0.8
-CONFIDENCE_ON_FAILURE = 0.5
 CONFIDENCE_WHEN_OFF = 0.8
 GEMINI_CONFIDENCE = 0.85
 

@@ -191,6 +191,12 @@ def grounded_prompt(context, query) -> Column:
     return F.format_string(K.USER_PROMPT_TEMPLATE, F.coalesce(_c(context), F.lit("")), _c(query))
 
 
+def grounded_messages(context, query) -> Column:
+    """The whole grounded prompt as (role, content) turns: system, then user."""
+    return F.array(F.struct(F.lit("system").alias("role"), F.lit(K.SYSTEM_PROMPT).alias("content")),
+                   F.struct(F.lit("user").alias("role"), grounded_prompt(context, query).alias("content")))
+
+
 # P07 -------------------------------------------------------------------------
 def role_transcript(query, system_prompt=None) -> Column:
     """Three fixed turns when a system prompt is given, else the bare query."""

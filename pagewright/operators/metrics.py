@@ -91,16 +91,16 @@ def budget_crossings(costs: DataFrame, monthly_budget: float, ts: str = "ts", co
 
     The month-to-date spend is the global running sum minus the spend of all
     earlier months (one row per month, tiny window), so no month is ever a
-    single window group.
+    single window group.  Sums are decimal: they stay exact over a long history.
     """
     month = F.date_trunc("month", F.col(ts))
-    base = costs.select(F.col(ts).alias("ts"), F.col(tiebreak).alias("id"), F.col(cost).alias("cost"),
+    base = costs.select(F.col(ts).alias("ts"), F.col(tiebreak).alias("id"), F.col(cost).cast("decimal(28,10)").alias("cost"),
                         month.alias("month"))
     rs = running_sum(base, ["ts", "id"], "cost", "_global")
     per_month = base.groupBy("month").agg(F.sum("cost").alias("_m"))
     w = Window.orderBy("month").rowsBetween(Window.unboundedPreceding, -1)
-    before = per_month.select("month", F.coalesce(F.sum("_m").over(w), F.lit(0.0)).alias("_before"))
-    mtd = rs.join(F.broadcast(before), "month").withColumn("month_to_date", F.col("_global") - F.col("_before"))
+    before = per_month.select("month", F.coalesce(F.sum("_m").over(w), F.lit(0)).alias("_before"))
+    mtd = rs.join(F.broadcast(before), "month").withColumn("month_to_date", (F.col("_global") - F.col("_before")).cast("double"))
     next_month = F.add_months(F.col("month"), 1)
     month_secs = F.unix_timestamp(next_month) - F.unix_timestamp(F.col("month"))
     elapsed = (F.unix_micros(F.col("ts")) - F.unix_micros(F.col("month"))).cast("double") / F.lit(1e6)

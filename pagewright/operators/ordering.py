@@ -30,11 +30,17 @@ def _part():
 
 
 def with_position(df: DataFrame, order_cols, name: str = "pos", start: int = 0,
-                  checkpoint: bool = True) -> DataFrame:
+                  checkpoint: bool = True, keys_only: bool = False) -> DataFrame:
     """Dense global positions (0-based unless ``start``) in ``order_cols`` order.
 
-    ``order_cols`` must be unique: positions are part of the result.
+    ``order_cols`` must be unique: positions are part of the result.  With
+    ``keys_only`` only these (non-null) columns are sorted and checkpointed and
+    the other columns are joined back, so no text is moved to number rows.
     """
+    if keys_only:
+        keys = list(order_cols)
+        numbered = with_position(df.select(*keys), keys, name, start, checkpoint)
+        return df.join(numbered, keys).select(*df.columns, name)
     s = _sorted_numbered(df, order_cols, checkpoint)
     counts = s.groupBy(_part().alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
@@ -56,7 +62,7 @@ def running_sum(df: DataFrame, order_cols, value: str, name: str = "running",
     s = _sorted_numbered(df, order_cols, checkpoint).withColumn("_p", _part())
     totals = s.groupBy("_p").agg(F.sum(value).alias("_t"))
     w = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(F.col("_p").alias("_q"), F.coalesce(F.sum("_t").over(w), F.lit(0.0)).alias("_off"))
+    offsets = totals.select(F.col("_p").alias("_q"), F.coalesce(F.sum("_t").over(w), F.lit(0)).alias("_off"))
     inner = Window.partitionBy("_p").orderBy("_mid").rowsBetween(Window.unboundedPreceding, 0)
     local = s.withColumn("_local", F.sum(value).over(inner))
     out = local.join(F.broadcast(offsets), F.col("_p") == F.col("_q"))

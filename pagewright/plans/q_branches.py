@@ -141,3 +141,20 @@ def q_latency_percentiles(spark, sf_dir):
     s = M.percentile_series(V.calls(Tables(spark, sf_dir)), "cost", by=("service_name",), window="1 day")
     return s.select("window_start", "service_name", "requests", *[F.round(c, 6).alias(c) for c in ("p50", "p95", "p99")])
 
+
+
+RULES_SQL = """
+WITH e AS (SELECT event_id, ts + to_months(CAST(user_id % 3 AS INTEGER)) AS ts, value::DECIMAL(28, 10) AS cost FROM events),
+r AS (SELECT *, date_trunc('month', ts) AS month, sum(cost) OVER (PARTITION BY date_trunc('month', ts) ORDER BY ts, event_id) AS mtd FROM e),
+x AS (SELECT r.*, t.thr FROM r, (VALUES (0.8::DOUBLE), (0.9::DOUBLE), (1.0::DOUBLE)) t(thr) WHERE mtd::DOUBLE > thr * 10000)
+SELECT month::TIMESTAMP AS month, thr AS threshold, arg_min(event_id, {'t': ts, 'e': event_id}) AS event_id, round(arg_min(mtd, {'t': ts, 'e': event_id})::DOUBLE, 4) AS month_to_date
+FROM x GROUP BY month, thr
+"""
+
+
+@register("budget_alert_rules", RULES_SQL, "W06 (80/90/100 %, several months)")
+def q_budget_alert_rules(spark, sf_dir):
+    e = Tables(spark, sf_dir).events.select("event_id", "ts", F.col("value").alias("cost"), "user_id")
+    moved = F.col("ts").cast("timestamp") + F.make_interval(months=(F.col("user_id") % 3).cast("int"))
+    b = M.budget_crossings(e.select("event_id", moved.alias("ts"), "cost"), 10000.0, actual=(0.8, 0.9, 1.0), forecast=())
+    return b.select("month", "threshold", "event_id", F.round("month_to_date", 4).alias("month_to_date"))

@@ -340,8 +340,8 @@ def report_phases(t: Tables) -> dict:
         return D.processing_summary(docs, "seconds")
 
     def evaluation():
-        truth = E.with_position(t.benchmark.select("item_id", F.col("text").alias("truth")), ["item_id"])
-        return E.evaluation_summary(E.with_position(calls(), ["conv_id", "turn"]), truth)
+        truth = E.with_position(t.benchmark.select("item_id", F.col("text").alias("truth")), ["item_id"], keys_only=True)
+        return E.evaluation_summary(E.with_position(calls(), ["conv_id", "turn"], keys_only=True), truth)
 
     def advice():
         bd = R.cost_breakdown(_costs(t)).where(F.col("provider") == R.TOTAL_LABEL).select("total_cost_inr")

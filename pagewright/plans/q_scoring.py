@@ -173,7 +173,8 @@ PROMPT_SQL = f"""
 SELECT conv_id, turn,
        printf('{K.USER_PROMPT_TEMPLATE}', coalesce(context, ''), query) AS prompt,
        CASE WHEN conv_id % 2 = 0 AND coalesce(response, '') <> '' THEN 'user: ' || response || chr(10) || 'model: {K.TRANSCRIPT_ACK.replace("'", "''")}' || chr(10) || 'user: ' || query
-            ELSE query END AS transcript
+            ELSE query END AS transcript,
+       CAST(2 AS BIGINT) AS n_messages, '{K.SYSTEM_PROMPT.replace("'", "''")}' AS system_part
 FROM v_interactions
 """
 
@@ -182,8 +183,10 @@ FROM v_interactions
 def q_grounded_prompts(spark, sf_dir):
     i = V.interactions(Tables(spark, sf_dir))
     sys_prompt = F.when(F.col("conv_id") % 2 == 0, F.col("response"))
-    return i.select("conv_id", "turn", S.grounded_prompt(F.col("context"), F.col("query")).alias("prompt"),
-                    S.role_transcript(F.col("query"), sys_prompt).alias("transcript"))
+    m = i.select("conv_id", "turn", "query", S.grounded_messages(F.col("context"), F.col("query")).alias("m"),
+                 S.role_transcript(F.col("query"), sys_prompt).alias("transcript"))
+    return m.select("conv_id", "turn", F.col("m")[1]["content"].alias("prompt"), "transcript", F.size("m").cast("bigint").alias("n_messages"),
+                    F.col("m")[0]["content"].alias("system_part"))
 
 
 TRANSCRIPT_SQL = """
@@ -202,8 +205,8 @@ def q_conversation_transcripts(spark, sf_dir):
 
 
 def _positions(t: Tables):
-    res = E.with_position(_inferences(t), ["conv_id", "turn"])
-    truth = E.with_position(t.benchmark.select("item_id", F.col("text").alias("truth")), ["item_id"])
+    res = E.with_position(_inferences(t), ["conv_id", "turn"], keys_only=True)
+    truth = E.with_position(t.benchmark.select("item_id", F.col("text").alias("truth")), ["item_id"], keys_only=True)
     return res, truth
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 
@@ -77,6 +78,7 @@ def ship_package(spark: SparkSession) -> None:
                     full = os.path.join(root, f)
                     z.write(full, os.path.relpath(full, base))
     sc.addPyFile(path)
+    atexit.register(os.remove, path)  # executors may fetch it until the end
     sc._pagewright_shipped = True
 
 

@@ -121,7 +121,8 @@ def start(df: DataFrame, name: str | None = None, mode: str = "complete", sink:
     """Start a query with a checkpoint in the shared folder.
 
     ``available_now``: process everything present, then stop (back-fills,
-    tests).  ``processing_time`` (e.g. '1 second'): paced micro-batches (T06).
+    tests).  ``processing_time`` (e.g. '1 second'): paced micro-batches (T06); a
+    query that does not stop by itself has the usual pause between batches.
     """
     name = name or f"pw_{uuid.uuid4().hex[:8]}"
     ckpt = checkpoint or f"{checkpoint_dir(df.sparkSession).rstrip('/')}/streams/{name}"
@@ -132,6 +133,8 @@ def start(df: DataFrame, name: str | None = None, mode: str = "complete", sink:
         w = w.format(sink)
         if path:
             w = w.option("path", path)
+    if not processing_time and not available_now:
+        processing_time = f"{round(K.BATCH_PAUSE_SECONDS * 1000)} milliseconds"
     if processing_time:
         w = w.trigger(processingTime=processing_time)
     elif available_now:

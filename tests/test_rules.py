@@ -159,3 +159,15 @@ def test_a07_breakdown_total(spark):
     c = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", 3.0)], "provider string, cost double")
     out = {r["provider"]: r["total_cost_inr"] for r in R.cost_breakdown(c).collect()}
     assert out == {"a": 3.0, "b": 3.0, "infrastructure": 2.5, "TOTAL": 8.5}
+
+
+def test_budget_crossings_over_months_stay_exact(spark):
+    from pagewright.operators import metrics as M
+
+    rows = [(i, f"2023-{1 + i // 1000:02d}-{1 + i % 28:02d} 10:00:00", 1e9 if i < 1000 else 0.1) for i in range(3000)]
+    df = spark.createDataFrame(rows, "event_id long, ts string, value double").selectExpr("event_id", "cast(ts as timestamp) as ts", "value as cost")
+    got = M.budget_crossings(df, 100.0, actual=(0.8, 0.9, 1.0), forecast=()).collect()
+    # 1,000 events of 0.1 make exactly 100.0 in the later months: over 80 and 90, never over 100
+    later = sorted((r.month.month, r.threshold) for r in got if r.month.month > 1)
+    assert later == [(2, 0.8), (2, 0.9), (3, 0.8), (3, 0.9)]
+    assert {r.threshold for r in got if r.month.month == 1} == {0.8, 0.9, 1.0}

@@ -86,3 +86,18 @@ def test_s08_document_arrivals(spark, tmp_path):
     s = ST.document_arrivals(spark, str(d), files_per_trigger=1).select("path", "length")
     out = ST.run_to_table(s, mode="append")
     assert out.count() == 3
+
+
+def test_t06_paced_batches_pause(spark, tmp_path):
+    import time
+
+    src = str(tmp_path / "in")
+    for i in range(3):
+        spark.range(5).selectExpr(f"id + {i * 5} as id").coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(src)
+    t0 = time.time()
+    q = ST.start(stream, name="paced", mode="append", available_now=False)
+    while spark.table("paced").count() < 15 and time.time() - t0 < 60:
+        time.sleep(0.2)
+    q.stop()
+    assert spark.table("paced").count() == 15 and time.time() - t0 >= 2  # three batches, a second apart
