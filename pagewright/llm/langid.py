@@ -24,6 +24,7 @@ rows.
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -302,8 +303,15 @@ def fit(docs: DataFrame) -> Model:
         return train([])
     # at most TRAIN_LANGS * TRAIN_PER_LANG ids: small enough to broadcast
     texts = (docs.filter(~is_held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id", "left_semi")
-             .dropDuplicates(["doc_id"]).select("text", "lang").orderBy("lang", "text").collect())
-    return train([(r.text, r.lang) for r in texts])
+             .dropDuplicates(["doc_id"]).select("text", "lang"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((t, lang) for batch in batches for t, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(rows))], pa.binary())], ["model"])
+
+    # the bounded sample is fitted in one task; the driver gets the weights only
+    fitted = texts.repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(fitted.model) if fitted else train([])
 
 
 def identify(docs: DataFrame, model: Model, lang_name: str = "lang_pred", score_name: str = "score") -> DataFrame:
