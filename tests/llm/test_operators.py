@@ -176,6 +176,17 @@ def test_fuzzy_passage_with_gaps_and_a_far_second_one(spark):
     assert len(covered) <= len(edited) + 70 + 12
 
 
+def test_equal_passage_whose_seeds_smaller_fragments_own(spark):
+    rng = np.random.default_rng(3)
+    fill = lambda n: [f"w{rng.integers(1 << 40)}" for _ in range(n)]
+    a, b = fill(55), fill(50)
+    rows = [(5, fill(9) + a[:45] + fill(20)), (6, fill(30) + b[:30] + fill(9)), (7, fill(3) + b[25:] + fill(30)), (100, fill(20) + a + fill(40) + b),
+            (200, a + fill(70) + b + fill(5)), (300, fill(4) + a[8:] + fill(60))]
+    got = substring.passages(spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")).collect()
+    spans = {(r.doc_id, r.start_word, r.end_word, r.owner_id, r.owner_start) for r in got}
+    assert spans == {(200, 0, 55, 100, 20), (200, 125, 175, 100, 115)}
+
+
 def test_chains_are_optimal_on_small_inputs():
     rng = np.random.default_rng(2)
     for _ in range(200):
