@@ -2,31 +2,37 @@
 
 Texts become template tokens: words without outer punctuation, in small
 letters, where numbers (a digit, or a number word) become NUM, units UNIT and
-words inside a sentence with a capital first and small letters after it NAME.  Every window of ``TOKENS`` tokens
-with at least ``LITERALS`` literal words is hashed.  Documents are hash-joined
-with the windows of the benchmark: each document's windows are made and looked
-up where its text is read, so only hits are shuffled.
-
-Hits of a (document, item) on one diagonal belong together.  Each carries the
-values behind its placeholders; the pairs (item's value, document's value) must
-be a one-to-one map.  Equal values make an ``exact`` copy, other values a
-``reparameterised`` one: the same question with other numbers, names or units.
-A document is contaminated when the windows cover ``SHARE`` percent of the item
-and at least ``COVER`` tokens (or the whole item, if it is shorter).
+words inside a sentence with a capital first and small letters after it NAME.
+Neighbouring NAME words, and neighbouring numbers, with blanks only between them
+are one token.  Every window of ``TOKENS`` tokens with at least ``LITERALS``
+literal words is hashed.  Beside them stand the plain windows: of ``TOKENS``
+words in small letters as they are, whatever they are.  Documents are
+hash-joined with the windows of the benchmark: each document's windows are made
+and looked up where its text is read, so only hits are shuffled.
+
+Hits of a (document, item) on one diagonal are a piece; pieces that follow one
+another in both texts, at most the item's length apart, belong together.  Each
+carries the values behind its placeholders; the pairs (item's value,
+document's value) must be a one-to-one map.  Equal values make an ``exact`` copy, other values a ``reparameterised``
+one: the same question with other numbers, names or units.  A document is
+contaminated when the template windows cover ``SHARE`` percent of the item, or
+the plain ones ``PLAIN_SHARE`` percent, and at least ``COVER`` tokens (or the
+whole item, if it is shorter).  ``start_token`` counts words.
 
 The hashes of the benchmark's windows are sent to the tasks while they are at
 most ``MOST_SENT``, which is checked; beyond that all windows are shuffled and
 joined, with the same result.
 
 Defined cases: null texts and items have no windows; items with fewer than
-``LITERALS`` literal words name nothing; items shorter than a window are looked
-for as one window of their own length; repeated rows give one finding per
+``LITERALS`` literal words are looked for by plain windows only; items shorter
+than a window are looked for as one window of their own length; repeated rows give one finding per
 (doc_id, item_id); null ids are left out; extra columns are ignored; empty
 tables give no rows.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,12 +41,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .jobs import cut, without
+from .jobs import cut, groups_of, without
 
 TOKENS = 8
 LITERALS = 5
 SHARE = 50
 COVER = 12
+PLAIN_SHARE = 80
 MOST_SENT = 4_000_000
 
 NUMBERS = ("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
@@ -101,8 +108,24 @@ class Templates:
             closing = _CLOSE[w.data[w.ends[solid[:-1]] - 1]]
             opening[1:] = closing | (feeds[self.starts[1:]] > feeds[self.ends[:-1]]) | (self.of[1:] != self.of[:-1])
         is_name = capital & ~opening & ~is_num & ~is_unit
-        self.slot = is_num | is_unit | is_name
-        self.tokens = np.where(is_num, _NUM, np.where(is_unit, _UNIT, np.where(is_name, _NAME, hashes)))
+        self.plain, self.plain_of, self.plain_bounds = hashes, self.of, self.bounds
+        blanks = np.concatenate([[0], np.cumsum(W._BLANK[w.data])])
+        first = np.ones(len(solid), bool)  # of a run of names or of numbers
+        if len(solid) > 1:
+            near = (blanks[self.starts[1:]] - blanks[self.ends[:-1]] == self.starts[1:] - self.ends[:-1]) & (self.of[1:] == self.of[:-1])
+            first[1:] = ~(near & ((is_num[1:] & is_num[:-1]) | (is_name[1:] & is_name[:-1])))
+        self.word = np.flatnonzero(first)  # the plain token of each token
+        self.starts, self.ends, self.of = self.starts[self.word], self.ends[np.append(self.word[1:], len(solid))[:len(self.word)] - 1], self.of[self.word]
+        self.bounds = np.searchsorted(self.of, np.arange(w.n_texts + 1))
+        self.slot = (is_num | is_unit | is_name)[self.word]
+        self.tokens = np.where(is_num, _NUM, np.where(is_unit, _UNIT, np.where(is_name, _NAME, hashes)))[self.word]
+
+    def plain_windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(first plain token, hash) of the windows of words inside one text."""
+        found = W.window_hashes(self.plain, size)
+        at = np.arange(len(found))
+        ok = self.plain_of[at] == self.plain_of[at + size - 1]
+        return at[ok], found[ok] ^ W.mix(np.array([size], np.uint64))[0]
 
     def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """(first token, hash) of the windows inside one text with enough literals."""
@@ -113,14 +136,17 @@ class Templates:
         return at[ok], found[ok] + np.uint64(size)
 
     def values(self, at: int, size: int) -> list[str]:
-        return [self.data[self.starts[i]:self.ends[i]].tobytes().decode("utf-8", "replace").lower() for i in range(at, at + size) if self.slot[i]]
+        """The slots' values behind their place in the window and a colon."""
+        return [f"{i - at}:" + " ".join(self.data[self.starts[i]:self.ends[i]].tobytes().decode("utf-8", "replace").lower().split())
+                for i in range(at, at + size) if self.slot[i]]
 
 
-_WINDOW = "id long, pos long, size int, h long, slots array<string>"
+_WINDOW = "id long, pos long, word long, plain boolean, size int, h long, slots array<string>"
+_NAMES = ["id", "pos", "word", "plain", "size", "h", "slots"]
 
 
-def _window_rows(rows: DataFrame, sizes: list[int], known=None) -> DataFrame:
-    """(id, pos, size, h, slots): windows of (id, text) rows, of the known hashes only if given."""
+def _window_rows(rows: DataFrame, sizes: list[tuple[int, bool]], known=None) -> DataFrame:
+    """(id, pos, word, plain, size, h, slots): windows of (id, text) rows, of the known hashes only if given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = known.value if known is not None else None
@@ -131,23 +157,26 @@ def _window_rows(rows: DataFrame, sizes: list[int], known=None) -> DataFrame:
             ids = batch.column("id")
             for w in W.words_of(batch.column("text"), lower=False):
                 t = Templates(w)
-                for size in sizes:
-                    at, h = t.windows(size)
+                for size, plain in sizes:
+                    at, h = t.plain_windows(size) if plain else t.windows(size)
                     if wanted is not None:
                         some = seen[(h & np.uint64(len(seen) - 1)).astype(np.int64)]
                         at, h = at[some], h[some]
                         hit = _among(h, wanted)
                         at, h = at[hit], h[hit]
+                    of = (t.plain_of if plain else t.of)[at]
+                    word = (at if plain else t.word[at]) - t.plain_bounds[of]
                     yield pa.RecordBatch.from_arrays(
-                        [ids.take(pa.array(t.of[at] + w.first)).cast(pa.int64()), pa.array(at - t.bounds[t.of[at]]), pa.array(np.full(len(at), size, np.int32)),
-                         pa.array(h.view(np.int64)), pa.array([t.values(i, size) for i in at.tolist()], pa.list_(pa.string()))], ["id", "pos", "size", "h", "slots"])
+                        [ids.take(pa.array(of + w.first)).cast(pa.int64()), pa.array(word if plain else at - t.bounds[of]), pa.array(word), pa.array(np.full(len(at), plain)),
+                         pa.array(np.full(len(at), size, np.int32)), pa.array(h.view(np.int64)),
+                         pa.array([[] if plain else t.values(i, size) for i in at.tolist()], pa.list_(pa.string()))], _NAMES)
 
     return rows.filter("id is not null").mapInArrow(run, _WINDOW)
 
 
 def _item_rows(items: DataFrame) -> DataFrame:
-    """(id, pos, size, h, slots, tokens): windows of the items; an item shorter
-    than a window is one window."""
+    """(id, pos, word, plain, size, h, slots, tokens): windows of the items; an
+    item shorter than a window is one window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,46 +184,105 @@ def _item_rows(items: DataFrame) -> DataFrame:
             out = []
             for w in W.words_of(batch.column("text"), lower=False):
                 t = Templates(w)
-                lengths = np.diff(t.bounds)
-                for size in sorted({min(TOKENS, int(n)) for n in lengths if n >= LITERALS}):
-                    for i, h in zip(*(x.tolist() for x in t.windows(size)), strict=True):
-                        k = int(t.of[i])
-                        if min(TOKENS, int(lengths[k])) == size:
-                            out.append((ids[w.first + k], i - int(t.bounds[k]), size, np.uint64(h).astype(np.int64).item(), t.values(i, size), int(lengths[k])))
-            columns = list(zip(*out, strict=True)) if out else [[]] * 6
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["id", "pos", "size", "h", "slots", "tokens"])
+                for plain in (False,):
+                    of, bounds = (t.plain_of, t.plain_bounds) if plain else (t.of, t.bounds)
+                    lengths = np.diff(bounds)
+                    for size in sorted({min(TOKENS, int(n)) for n in lengths if n >= (1 if plain else LITERALS)}):
+                        for i, h in zip(*(x.tolist() for x in (t.plain_windows if plain else t.windows)(size)), strict=True):
+                            k = int(of[i])
+                            if min(TOKENS, int(lengths[k])) == size:
+                                word = (i if plain else int(t.word[i])) - int(t.plain_bounds[k])
+                                out.append((ids[w.first + k], i - int(bounds[k]), word, plain, size, np.uint64(h).astype(np.int64).item(),
+                                            [] if plain else t.values(i, size), int(lengths[k])))
+            columns = list(zip(*out, strict=True)) if out else [[]] * 8
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [*_NAMES, "tokens"])
 
     return items.filter("id is not null").mapInArrow(run, _WINDOW + ", tokens long")
 
 
+def _pieces(hits: list[dict]) -> list[tuple[int, int, int, list[dict]]]:
+    """(first document token, first item token, item tokens, hits) of the runs
+    of overlapping windows on one diagonal, by place in the document."""
+    out, last = [], None
+    for r in sorted(hits, key=lambda r: (r["at"] - r["pos"], r["at"])):
+        if last and r["at"] - r["pos"] == last["at"] - last["pos"] and r["pos"] <= last["pos"] + last["size"]:
+            at, pos, _, own = out[-1]
+            out[-1] = at, pos, r["pos"] + r["size"] - pos, [*own, r] if r["pos"] != last["pos"] else own
+        else:
+            out.append((r["at"], r["pos"], r["size"], [r]))
+        last = r
+    return sorted(out, key=lambda p: p[:3])
+
+
+def _judged(hits: list[dict]) -> tuple | None:
+    """(covered, -changed slots, n_slots, -first word, tokens) of the best copy
+    that the hits of a document, an item and a kind of windows make."""
+    tokens, share, found = hits[0]["tokens"], PLAIN_SHARE if hits[0]["plain"] else SHARE, None
+    pieces = _pieces(hits)
+    covered, before = [p[2] for p in pieces], [-1] * len(pieces)
+    for j, (at, pos, size, _) in enumerate(pieces):
+        for i in range(j - 1, -1, -1):  # a piece has at most the item's length, so farther ones are out of reach
+            x, y, n, _ = pieces[i]
+            if at - x > 2 * tokens:
+                break
+            new = pos + size - max(pos, y + n)
+            if x < at <= x + n + tokens and y < pos and new > 0 and covered[i] + new > covered[j]:
+                covered[j], before[j] = covered[i] + new, i
+    for j in range(len(pieces)):
+        if covered[j] * 100 < tokens * share or covered[j] < min(tokens, COVER):
+            continue
+        path, i = [], j
+        while i >= 0:
+            path.append(i)
+            i = before[i]
+        slots = {}
+        for i in path:
+            for r in pieces[i][3]:
+                for ours, theirs in zip(r["ours"], r["theirs"], strict=True):
+                    k, _, value = ours.partition(":")
+                    slots.setdefault(r["pos"] + int(k), (value, theirs.partition(":")[2]))
+        values = set(slots.values())
+        if len({v for v, _ in values}) < len(values) or len({v for _, v in values}) < len(values):
+            continue
+        changed = sum(ours != theirs for ours, theirs in slots.values())
+        entry = covered[j], -changed, len(slots), -pieces[path[-1]][3][0]["word"], tokens
+        found = max(found, entry) if found else entry
+    return found
+
+
 def findings(docs: DataFrame, items: DataFrame, most_sent: int = MOST_SENT) -> DataFrame:
     """(doc_id, item_id, start_token, covered, item_tokens, n_slots,
     changed_slots, kind): one row per contaminated document and item."""
     spark = docs.sparkSession
     sides = cut(_item_rows(items.select(F.col("item_id").cast("long").alias("id"), "text")))
-    sizes = sorted(r.size for r in sides.select(F.col("size")).distinct().collect())  # at most TOKENS values
+    sizes = sorted((r["size"], r["plain"]) for r in sides.select("size", "plain").distinct().collect())  # at most TOKENS values, twice
     hashes = sides.select("h").distinct()
     known = None
     if hashes.limit(most_sent + 1).count() <= most_sent:
         known = spark.sparkContext.broadcast(np.sort(np.array([r.h for r in hashes.collect()], np.int64).view(np.uint64)))
     hits = _window_rows(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), sizes, known)
-    pairs = (hits.select(F.col("id").alias("doc_id"), F.col("pos").alias("at"), "h", F.col("slots").alias("theirs"))
-             .join(sides.select(F.col("id").alias("item_id"), "pos", "size", "h", F.col("slots").alias("ours"), "tokens"), "h"))
-    grouped = (pairs.groupBy("doc_id", "item_id", (F.col("at") - F.col("pos")).alias("shift"), "size", "tokens")
-               .agg(F.sort_array(F.collect_set("pos")).alias("places"),  # at most the item's windows
-                    F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("ours", "theirs")))).alias("values")))
-    covered = F.expr("aggregate(places, struct(0L as n, -1L as until), (s, p) -> struct(s.n + p + size - greatest(p, s.until) as n, p + size as until), s -> s.n)")
-    ours, theirs = F.array_distinct(F.col("values.ours")), F.array_distinct(F.col("values.theirs"))
-    judged = (grouped.withColumn("covered", covered).withColumn("n_slots", F.size("values").cast("long"))
-              .withColumn("changed_slots", F.size(F.filter("values", lambda v: v["ours"] != v["theirs"])).cast("long"))
-              .filter((F.size(ours) == F.size("values")) & (F.size(theirs) == F.size("values")))
-              .filter((F.col("covered") * 100 >= F.col("tokens") * SHARE) & (F.col("covered") >= F.least(F.col("tokens"), F.lit(COVER)))))
-    best = judged.groupBy("doc_id", "item_id").agg(F.max(F.struct(
-        "covered", (-F.col("changed_slots")).alias("same"), (-F.col("shift")).alias("first"), F.col("places")[0].alias("place"), "tokens", "n_slots")).alias("b"))
-    return best.select("doc_id", "item_id", (F.col("b.place") - F.col("b.first")).alias("start_token"), F.col("b.covered").alias("covered"),
-                       F.col("b.tokens").alias("item_tokens"), F.col("b.n_slots").alias("n_slots"), (-F.col("b.same")).alias("changed_slots"),
-                       F.when(F.col("b.same") == 0, "exact").otherwise("reparameterised").alias("kind"))
+    pairs = (hits.select(F.col("id").alias("doc_id"), F.col("pos").alias("at"), "word", "plain", "h", F.col("slots").alias("theirs"))
+             .join(sides.select(F.col("id").alias("item_id"), "pos", "plain", "size", "h", F.col("slots").alias("ours"), "tokens"), ["h", "plain"]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in groups_of(batches, ["doc_id", "item_id"]):
+            groups = defaultdict(lambda: ([], []))
+            for r in table.to_pylist():
+                groups[r["doc_id"], r["item_id"]][r["plain"]].append(r)
+            rows = []
+            for (doc, item), kinds in groups.items():
+                found = [b for hits in kinds if hits and (b := _judged(hits))]
+                if found:
+                    covered, same, n_slots, first, tokens = max(found, key=lambda b: (b[0] / b[4], *b[1:]))
+                    rows.append((doc, item, -first, covered, tokens, n_slots, -same, "exact" if same == 0 else "reparameterised"))
+            if rows:
+                columns = list(zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:7]), pa.array(columns[7])],
+                                                 ["doc_id", "item_id", "start_token", "covered", "item_tokens", "n_slots", "changed_slots", "kind"])
+
+    return (pairs.repartition("doc_id", "item_id").sortWithinPartitions("doc_id", "item_id")
+            .mapInArrow(run, "doc_id long, item_id long, start_token long, covered long, item_tokens long, n_slots long, changed_slots long, kind string"))
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -310,6 +310,15 @@ def test_inconsistent_slots_are_no_copy(spark):
     assert got == {1}
 
 
+def test_values_with_another_number_of_words(spark):
+    item = "Every morning at the old market Anna buys 30 apples and sells them to people near the bridge when Peter has 12 pears left"
+    pieces = "we know that blue house stands near the wide river so they often walk along its quiet bank and talk about old days"
+    other = pieces.replace("house", "garden house").replace("walk along", "walk slowly along")
+    docs = [(1, "so " + item.replace("Anna", "Mary Ann").replace("30", "thirty five").replace("Peter", "John Paul Smith")), (2, "so " + other), (3, "so " + " ".join(item.split()[:7]))]
+    found = decontam.findings(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item), (2, pieces)], "item_id long, text string"))
+    assert {(r.doc_id, r.item_id, r.kind) for r in found.collect()} == {(1, 1, "reparameterised"), (2, 2, "exact")}
+
+
 def test_every_benchmark_item_in_a_document_is_found(spark, docs):
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
     plain = lambda t: " ".join(re.findall(r"\w+", (t or "").lower()))
