@@ -12,8 +12,9 @@ and looked up where its text is read, so only hits are shuffled.
 
 Hits of a (document, item) on one diagonal are a piece; pieces that follow one
 another in both texts, at most the item's length apart, belong together.  Each
-carries the values behind its placeholders; the pairs (item's value,
-document's value) must be a one-to-one map.  Equal values make an ``exact`` copy, other values a ``reparameterised``
+carries the values behind its placeholders; ``AGREE`` percent of the slots must
+have the value that is the most frequent one in the document for the item's
+value.  Equal values make an ``exact`` copy, other values a ``reparameterised``
 one: the same question with other numbers, names or units.  A document is
 contaminated when the template windows cover ``SHARE`` percent of the item, or
 the plain ones ``PLAIN_SHARE`` percent, and at least ``COVER`` tokens (or the
@@ -32,7 +33,7 @@ tables give no rows.
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,6 +48,7 @@ TOKENS = 8
 LITERALS = 5
 SHARE = 50
 COVER = 12
+AGREE = 75
 PLAIN_SHARE = 80
 MOST_SENT = 4_000_000
 
@@ -184,7 +186,7 @@ def _item_rows(items: DataFrame) -> DataFrame:
             out = []
             for w in W.words_of(batch.column("text"), lower=False):
                 t = Templates(w)
-                for plain in (False,):
+                for plain in (False, True):
                     of, bounds = (t.plain_of, t.plain_bounds) if plain else (t.of, t.bounds)
                     lengths = np.diff(bounds)
                     for size in sorted({min(TOKENS, int(n)) for n in lengths if n >= (1 if plain else LITERALS)}):
@@ -242,8 +244,10 @@ def _judged(hits: list[dict]) -> tuple | None:
                 for ours, theirs in zip(r["ours"], r["theirs"], strict=True):
                     k, _, value = ours.partition(":")
                     slots.setdefault(r["pos"] + int(k), (value, theirs.partition(":")[2]))
-        values = set(slots.values())
-        if len({v for v, _ in values}) < len(values) or len({v for _, v in values}) < len(values):
+        votes = defaultdict(Counter)
+        for ours, theirs in slots.values():
+            votes[ours][theirs] += 1
+        if 100 * sum(max(v.values()) for v in votes.values()) < AGREE * len(slots):
             continue
         changed = sum(ours != theirs for ours, theirs in slots.values())
         entry = covered[j], -changed, len(slots), -pieces[path[-1]][3][0]["word"], tokens

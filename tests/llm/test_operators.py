@@ -319,6 +319,15 @@ def test_values_with_another_number_of_words(spark):
     assert {(r.doc_id, r.item_id, r.kind) for r in found.collect()} == {(1, 1, "reparameterised"), (2, 2, "exact")}
 
 
+def test_copies_that_templates_miss(spark):
+    items = [(1, "What is 12 times 7 plus 3 minus 4?"), (2, "3 plus 4 is what?"), (3, "Where does our neighbour Anna Miller from Paris meet Peter Brown from London at noon"),
+             (4, "she had 12 apples and 30 dollars before they all went to the big market in town")]
+    docs = [(1, "Tell me. What is 12 times 7 plus 3 minus 4? Well."), (2, "so 3 plus 4 is what, please"), (3, "so " + items[2][1].lower()), (4, items[3][1].replace("12", "7").replace("30", "7")),
+            (5, "What is 12 times 7 plus 3 minus 5?")]
+    found = decontam.findings(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id, r.kind) for r in found.collect()} == {(1, 1, "exact"), (2, 2, "exact"), (3, 3, "exact"), (4, 4, "reparameterised")}
+
+
 def test_every_benchmark_item_in_a_document_is_found(spark, docs):
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
     plain = lambda t: " ".join(re.findall(r"\w+", (t or "").lower()))
