@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, linerules, neardup, packing, pages, quality, sharding, substring
+from . import chat, decontam, infill, langid, linerules, neardup, orchard, packing, pages, quality, sharding, substring, toxicity
 from .jobs import text_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -161,3 +161,61 @@ def op7_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_host_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every row of ``pages``."""
     return pages.extract(text_table(spark, sf_dir, "pages"))
+
+
+def _round_sql(r: int) -> str:
+    """Assignment of every vector to the nearest of the centroids of round ``r``
+    and, from it, the centroids of round ``r + 1``."""
+    return f"""a{r} AS MATERIALIZED (SELECT rid, arg_min(c, struct_pack(d := d, c := c)) AS c, min(d) AS d FROM (
+    SELECT v.rid, k.c, sum((v.x - k.x) * (v.x - k.x))::BIGINT AS d FROM x v JOIN c{r} k ON v.i = k.i GROUP BY v.rid, k.c) GROUP BY rid),
+c{r + 1} AS MATERIALIZED (SELECT k.c, k.i, coalesce(m.x, k.x) AS x FROM c{r} k LEFT JOIN (
+    SELECT a.c, v.i, floor(sum(v.x)::DOUBLE / count(*))::BIGINT AS x FROM a{r} a JOIN x v USING (rid) GROUP BY a.c, v.i) m USING (c, i))"""
+
+
+@query("op11_orchard_clusters", f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda e: floor(256 * e::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64),
+x AS MATERIALIZED (SELECT rid, unnest(q) AS x, unnest(range(1, 65)) AS i FROM v),
+s AS (SELECT rid, row_number() OVER (ORDER BY sha256('2:' || vec_id), q) - 1 AS c FROM v QUALIFY c < {orchard.K}),
+c0 AS MATERIALIZED (SELECT s.c, x.i, x.x FROM s JOIN x USING (rid)),
+{", ".join(_round_sql(r) for r in range(orchard.ROUNDS))},
+{_round_sql(orchard.ROUNDS).split("," + chr(10) + "c")[0]},
+h AS (SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY i)) AS sha FROM c{orchard.ROUNDS} GROUP BY c)
+SELECT v.vec_id, a.c::INTEGER AS cluster, a.d AS distance, (sum(a.d) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia,
+  (sum(a.d) OVER ())::BIGINT AS inertia, h.sha AS centroid_sha256
+FROM a{orchard.ROUNDS} a JOIN v USING (rid) JOIN h ON h.c = a.c
+""")
+def op11_orchard_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of every usable vector of ``embeddings`` after five rounds."""
+    return orchard.cluster(text_table(spark, sf_dir, "embeddings"))[0]
+
+
+_UNITS = "regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]')"
+_GROUP = "('0x' || substr(sha256('1:' || doc_id), {at}, 8))::BIGINT"
+
+
+@query("op12_skip_list_infill", f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, {_UNITS} AS u, {", ".join(f"{_GROUP.format(at=8 * i + 1)} AS h{i + 1}" for i in range(4))} FROM documents),
+c AS (SELECT *, len(u) AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+       WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM t),
+p AS (SELECT doc_id, text, n, form, array_to_string(u[1:a], '') AS prefix, array_to_string(u[a + 1:b], '') AS middle, array_to_string(u[b + 1:], '') AS suffix FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+         ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256
+FROM p
+""")
+def op12_skip_list_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text of ``documents`` cut for infilling, and read back."""
+    out = infill.transform(text_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                      F.sha2(infill.restored(F.col("form"), F.col("output")), 256).alias("restored_sha256"))
+
+
+@query("op13_boosted_toxicity")
+def op13_boosted_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every whole text of ``documents``."""
+    docs = text_table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = text_table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    scores = toxicity.score(docs, toxicity.fit(docs, labels))
+    return scores.select("doc_id", toxicity.is_held_out().alias("held_out"), "score", (F.col("score") >= toxicity.TOXIC_SCORE).cast("int").alias("predicted"))
