@@ -1,8 +1,8 @@
-"""Metric, health and alert operators.
+"""Metric, health and alert operators.
 
 Every aggregate here is a ``groupBy`` with partial (map-side) aggregation, so a
 hot provider, metric or service costs one small partial row per task, not one
-task.  Running sums use :func:`ordering.running_sum` (no single-task window).
+task.  Budget crossings (W06) are in ``budget.py``.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from .ordering import running_sum
+from .budget import budget_crossings  # noqa: F401
 
 
 def metric_summary(metrics: DataFrame, by=("provider", "metric"), value: str = "value",
@@ -82,47 +82,6 @@ def latency_kpis(calls: DataFrame, latency: str = "latency_ms", by=None, under_m
         F.percentile_approx(latency, q).cast("double").alias("p95_ms"))
 
 
-def budget_crossings(costs: DataFrame, monthly_budget: float, ts: str = "ts", cost: str = "cost",
-                     tiebreak: str = "event_id", actual=K.BUDGET_ACTUAL_THRESHOLDS,
-                     forecast=K.BUDGET_FORECAST_THRESHOLDS, strict: bool = True) -> DataFrame:
-    """First row of each month whose running spend passes a share of
-    the monthly budget ('actual'), or whose forecast does ('forecast':
-    spend / elapsed share of the month).  Strict ``>`` by default.
-
-    The month-to-date spend is the global running sum minus the spend of all
-    earlier months (one row per month, tiny window), so no month is ever a
-    single window group.  Sums are decimal: they stay exact over a long history.
-    """
-    month = F.date_trunc("month", F.col(ts))
-    base = costs.select(F.col(ts).alias("ts"), F.col(tiebreak).alias("id"), F.col(cost).cast("decimal(28,10)").alias("cost"),
-                        month.alias("month"))
-    rs = running_sum(base, ["ts", "id"], "cost", "_global")
-    per_month = base.groupBy("month").agg(F.sum("cost").alias("_m"))
-    w = Window.orderBy("month").rowsBetween(Window.unboundedPreceding, -1)
-    before = per_month.select("month", F.coalesce(F.sum("_m").over(w), F.lit(0)).alias("_before"))
-    mtd = rs.join(F.broadcast(before), "month").withColumn("month_to_date", (F.col("_global") - F.col("_before")).cast("double"))
-    next_month = F.add_months(F.col("month"), 1)
-    month_secs = F.unix_timestamp(next_month) - F.unix_timestamp(F.col("month"))
-    elapsed = (F.unix_micros(F.col("ts")) - F.unix_micros(F.col("month"))).cast("double") / F.lit(1e6)
-    share = F.greatest(elapsed / month_secs.cast("double"), F.lit(1e-9))
-    mtd = mtd.withColumn("forecast_spend", F.col("month_to_date") / share)
-    cmp = (lambda a, b: a > b) if strict else (lambda a, b: a >= b)
-    rules = [("actual", t, "month_to_date") for t in actual] + [("forecast", t, "forecast_spend") for t in forecast]
-    # one pass for all rules: per rule a min_by whose ordering is NULL on rows
-    # that do not pass the threshold (min_by skips NULL orderings)
-    row = F.struct("ts", "id", "month_to_date", "forecast_spend")
-    aggs = [F.min_by(row, F.when(cmp(F.col(col), F.lit(float(thr) * float(monthly_budget))), F.struct("ts", "id")))
-            .alias(f"_h{i}") for i, (kind, thr, col) in enumerate(rules)]
-    g = mtd.groupBy("month").agg(*aggs)
-    hits = F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(float(thr)).alias("threshold"),
-                              F.col(f"_h{i}.ts").alias("crossed_at"), F.col(f"_h{i}.id").alias("event_id"),
-                              F.col(f"_h{i}.month_to_date").alias("month_to_date"),
-                              F.col(f"_h{i}.{col}").alias("compared_value"))
-                     for i, (kind, thr, col) in enumerate(rules)])
-    return (g.select("month", F.explode(hits).alias("h")).where(F.col("h.crossed_at").isNotNull())
-            .select("month", "h.*"))
-
-
 def error_rate_windows(logs: DataFrame, ts: str = "ts", by="service_name", window_seconds: int = K.ERROR_RATE_WINDOW_SECONDS,
                        threshold_per_second: float = K.ERROR_RATE_THRESHOLD_PER_SECOND,
                        severities=K.ERROR_SEVERITIES) -> DataFrame:

@@ -30,7 +30,7 @@ def register(name: str, sql: str | None = None, ops: str = ""):
 
 def _load_all() -> None:
     # importing the modules fills the registry
-    from . import q_branches, q_documents, q_forms, q_scoring, q_metrics, q_retrieval, q_data  # noqa: F401
+    from . import q_branches, q_data, q_documents, q_forms, q_metrics, q_retrieval, q_scoring, q_streams  # noqa: F401
 
 
 _load_all()
