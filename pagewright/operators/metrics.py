@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from .budget import budget_crossings  # noqa: F401
+from .quantiles import exact_quantiles
 
 
 def metric_summary(metrics: DataFrame, by=("provider", "metric"), value: str = "value",
@@ -31,18 +32,32 @@ def latest_status(health: DataFrame, by=("provider", "service_name"), order=("ts
         F.max(order[0]).alias("last_seen"))
 
 
-def health_rollup(status: DataFrame, by=("provider",), rule: str = "any") -> DataFrame:
+def health_rollup(status: DataFrame, by=("provider",), rule: str = "any", order=("ts",), failed: str = "raised") -> DataFrame:
     """Overall status from per-service status rows.
 
     ``rule='any'``: any service not healthy -> degraded, else healthy.
     ``rule='decisive'``: only the model service decides (-> unhealthy);
     other failures are recorded but do not change the overall status.
+    ``rule='ordered'``: checks in ``order``; one that is not healthy makes the
+    overall status degraded, one that failed itself (``failed`` is true) makes it
+    unhealthy, and a later one overwrites an earlier one.  Each check is a table
+    from state to state: a healthy one leaves every state, any other sends all
+    states to one.  Composed, the last table that is not the identity decides,
+    so the composition is a ``max_by`` that combines map-side, without a sort.
     """
-    bad = F.col("status") != K.HEALTHY
-    if rule == "decisive":
+    bad = F.coalesce(F.col("status") != K.HEALTHY, F.lit(True))
+    if rule == "ordered":
+        broken = F.coalesce(F.col(failed), F.lit(False))
+        bad = bad | broken
+        goes_to = F.when(broken, F.lit(K.UNHEALTHY)).otherwise(F.lit(K.DEGRADED))
+        last = F.max_by(goes_to, F.when(bad, F.struct(*order)))  # identities have no place in the order
+        overall = F.coalesce(last, F.lit(K.HEALTHY))
+    elif rule == "decisive":
+        bad = F.col("status") != K.HEALTHY
         flag = F.bool_or((F.col("service_name") == K.VERTEX_DECISIVE_SERVICE) & bad)
         overall = F.when(flag, F.lit(K.UNHEALTHY)).otherwise(F.lit(K.HEALTHY))
     else:
+        bad = F.col("status") != K.HEALTHY
         overall = F.when(F.bool_or(bad), F.lit(K.DEGRADED)).otherwise(F.lit(K.HEALTHY))
     return status.groupBy(*by).agg(
         overall.alias("overall_status"),
@@ -60,25 +75,24 @@ def latency_kpis(calls: DataFrame, latency: str = "latency_ms", by=None, under_m
                  q: float = 0.95, exact: bool = True) -> DataFrame:
     """Calls, share under ``under_ms``, p50/p95.
 
-    ``exact=True``: values are pre-counted per distinct value (a map-side
-    combined groupBy), then the exact percentile runs over (value, count)
-    pairs — its state is one entry per distinct latency, not per call.
-    ``exact=False``: ``percentile_approx`` (bounded sketch) for unbounded
-    value domains.
+    ``exact=True``: the percentiles come from ``quantiles.exact_quantiles`` (no
+    buffer of values, whatever the value domain).  ``exact=False``:
+    ``percentile_approx`` (bounded sketch), one pass.
     """
     by = list(by or [])
+    counts = [F.count(F.lit(1)).cast("bigint").alias("calls"),
+              (F.count_if(F.col(latency) < F.lit(float(under_ms))).cast("double") / F.count(F.lit(1))).alias("share_under_1s")]
     if exact:
-        pre = calls.groupBy(*by, latency).agg(F.count(F.lit(1)).alias("_n"))
-        return pre.groupBy(*by).agg(
-            F.sum("_n").cast("bigint").alias("calls"),
-            (F.sum(F.when(F.col(latency) < F.lit(float(under_ms)), F.col("_n")).otherwise(0)).cast("double")
-             / F.sum("_n").cast("double")).alias("share_under_1s"),
-            F.percentile(F.col(latency), F.lit(0.5), F.col("_n")).alias("p50_ms"),
-            F.percentile(F.col(latency), F.lit(q), F.col("_n")).alias("p95_ms"))
+        whole = calls.groupBy(*by).agg(*counts)
+        found = exact_quantiles(calls, by, latency, (0.5, q)).select(*by, F.col("q0").alias("p50_ms"), F.col("q1").alias("p95_ms"))
+        if not by:
+            from .report import combine_rows
+
+            return combine_rows(whole, found.drop("count"))
+        same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in by]
+        return whole.alias("l").join(found.alias("r"), same).select(*[F.col(f"l.{c}").alias(c) for c in by], "calls", "share_under_1s", "p50_ms", "p95_ms")
     return calls.groupBy(*by).agg(
-        F.count(F.lit(1)).cast("bigint").alias("calls"),
-        (F.count_if(F.col(latency) < F.lit(float(under_ms))).cast("double") / F.count(F.lit(1))).alias("share_under_1s"),
-        F.percentile_approx(latency, 0.5).cast("double").alias("p50_ms"),
+        *counts, F.percentile_approx(latency, 0.5).cast("double").alias("p50_ms"),
         F.percentile_approx(latency, q).cast("double").alias("p95_ms"))
 
 

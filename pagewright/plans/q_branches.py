@@ -1,17 +1,21 @@
 """Registered queries over derived rows that reach every branch of a rule:
-S04, S05/W05, F05, F12-F15, F19, F21, F24, A11 (decisive rule), T02 (firing),
-T04 (percentiles).  The oracle texts state their fixed values on their own."""
+S04, S05/W05, F05, F12-F15, F19, F21, F24, A11 (decisive and ordered rule), T02
+(firing), T04 (percentiles), T05 (rewrite).  The oracle texts state their fixed values on their own."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from .. import constants as K
 from ..functions import scoring as S
 from ..functions import text as T
 from ..operators import documents as D
 from ..operators import metrics as M
+from ..operators import retention as RE
 from ..sources import files as SRC
-from ..session import Tables
+from ..session import Tables, checkpoint_dir
 from . import views as V
 from .catalog import register
 
@@ -158,3 +162,44 @@ def q_budget_alert_rules(spark, sf_dir):
     moved = F.col("ts").cast("timestamp") + F.make_interval(months=(F.col("user_id") % 3).cast("int"))
     b = M.budget_crossings(e.select("event_id", moved.alias("ts"), "cost"), 10000.0, actual=(0.8, 0.9, 1.0), forecast=())
     return b.select("month", "threshold", "event_id", F.round("month_to_date", 4).alias("month_to_date"))
+
+
+ORDERED_SQL = """
+WITH c AS (SELECT event_id // 5 AS run, event_id % 5 AS place,
+                  CASE WHEN event_type IN ('error', 'view') THEN 'unhealthy' ELSE 'healthy' END AS status, event_type = 'error' AND user_id % 2 = 0 AS raised FROM events),
+b AS (SELECT *, status <> 'healthy' OR raised AS bad FROM c)
+SELECT run, coalesce(arg_max(CASE WHEN raised THEN 'unhealthy' ELSE 'degraded' END, place) FILTER (WHERE bad), 'healthy') AS overall_status,
+       count(*) AS services, count(*) FILTER (WHERE bad) AS services_not_healthy,
+       coalesce(bool_or(raised), false) AND coalesce(arg_max(NOT raised, place) FILTER (WHERE bad), false) AS overwritten
+FROM b GROUP BY run
+"""
+
+
+@register("ordered_health", ORDERED_SQL, "A11 (order-dependent rule: healthy, degraded, unhealthy, overwritten)")
+def q_ordered_health(spark, sf_dir):
+    e = Tables(spark, sf_dir).events
+    kind = F.col("event_type")
+    checks = e.select((F.col("event_id") / 5).cast("bigint").alias("run"), (F.col("event_id") % 5).alias("place"),
+                      F.when(kind.isin("error", "view"), K.UNHEALTHY).otherwise(K.HEALTHY).alias("status"),
+                      ((kind == "error") & (F.col("user_id") % 2 == 0)).alias("raised"))
+    overall = M.health_rollup(checks, by=("run",), rule="ordered", order=("place",))
+    any_raised = checks.groupBy("run").agg(F.bool_or("raised").alias("any_raised"))
+    return overall.join(any_raised, "run").select("run", "overall_status", "services", "services_not_healthy",
+                                                  (F.col("any_raised") & (F.col("overall_status") == K.DEGRADED)).alias("overwritten"))
+
+
+RETAIN_RULES = {"click": 1, "error": 30, "purchase": 10}
+RETAIN_AS_OF = "2024-01-29 12:30:00"
+
+REWRITE_SQL = f"""
+SELECT event_type, event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts FROM events
+WHERE ts >= CASE event_type {" ".join(f"WHEN '{t}' THEN TIMESTAMP '{RETAIN_AS_OF}' - INTERVAL {d} DAY" for t, d in RETAIN_RULES.items())} ELSE TIMESTAMP '0001-01-01' END
+"""
+
+
+@register("retention_rewrite", REWRITE_SQL, "T05 (rules per class, days dropped by metadata, border days rewritten)")
+def q_retention_rewrite(spark, sf_dir):
+    path = f"{checkpoint_dir(spark).rstrip('/')}/retention-{uuid.uuid4().hex}"
+    RE.write_partitioned(Tables(spark, sf_dir).events.select("event_id", "event_type", "ts"), path, cls="event_type")
+    RE.enforce(spark, path, [RE.Rule(t, d) for t, d in RETAIN_RULES.items()], RETAIN_AS_OF, cls="event_type")
+    return spark.read.parquet(path).select("event_type", "event_id", M.ts_text(F.col("ts")).alias("ts"))

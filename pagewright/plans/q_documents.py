@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import text as T
 from ..operators import documents as D
+from ..operators import stitching as ST
 from ..session import Tables
 from . import sqlexpr as X
 from . import views as V
@@ -70,13 +71,11 @@ FROM d
 
 @register("document_rollup", V.with_views(ROLLUP_SQL, "v_candidates"), "A04 F06 F18 F19 F20 L02 Q14 Q23")
 def q_document_rollup(spark, sf_dir):
-    docs = D.rollup_documents(_fused(Tables(spark, sf_dir)))
+    docs = ST.rollup(_fused(Tables(spark, sf_dir)))
     return docs.select("doc_id", "total_pages",
                        F.round("overall_confidence", 6).alias("overall_confidence"),
                        F.round("cost_estimate", 10).alias("cost_estimate"),
-                       F.length("full_text").cast("bigint").alias("full_text_chars"),
-                       T.word_count(F.col("full_text")).alias("total_words"),
-                       T.first_sentences(F.col("full_text")).alias("summary_head"))
+                       "full_text_chars", "total_words", "summary_head")
 
 
 ENTITIES_SQL = """
@@ -111,9 +110,7 @@ FROM d
 
 @register("extraction_counts", V.with_views(COUNTS_SQL, "v_candidates"), "A09 L01 F18")
 def q_extraction_counts(spark, sf_dir):
-    t = Tables(spark, sf_dir)
-    s = D.summarize_documents(D.rollup_documents(_fused(t)))
-    return D.extraction_counts(s)
+    return ST.extraction_counts(_fused(Tables(spark, sf_dir)))
 
 
 PROCESSING_SQL = """

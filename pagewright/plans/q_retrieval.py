@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..operators import postings as PX
 from ..operators import retrieval as RT
-from ..session import Tables
+from ..operators import vector_index as VX
+from ..session import Tables, checkpoint_dir
 from . import sqlexpr as X
 from .catalog import register
 
@@ -154,3 +158,28 @@ def q_best_truth_match(spark, sf_dir):
     t = Tables(spark, sf_dir)
     b = RT.best_truth_match(t.documents, t.benchmark, "doc_id", "item_id", "text", "text")
     return b.select("doc_id", "item_id", F.round("overlap", 6).alias("overlap"))
+
+
+INDEXED_VECTOR_SQL = """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.e, v.e), 9) AS similarity FROM v q, v WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, round(similarity, 6) AS similarity FROM r WHERE rank <= 10
+"""
+
+
+@register("indexed_vector_search", INDEXED_VECTOR_SQL, "W02 (index: coarse lists, product codes, exact re-ranking)")
+def q_indexed_vector_search(spark, sf_dir):
+    e = Tables(spark, sf_dir).embeddings.select("vec_id", "embedding")
+    index = VX.build(e, "vec_id", "embedding")
+    asked = e.where(F.col("vec_id") % 100 == 0).withColumnRenamed("vec_id", "query_id")
+    found = VX.search(index, asked, e, "query_id", "vec_id", "embedding", k=10, exact=True, score_digits=SCORE_DIGITS)
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", F.round("similarity", 6).alias("similarity"))
+
+
+@register("indexed_keyword_search", KEYWORD_SQL, "J03 (keyword leg on stored postings, stopped by bounds)")
+def q_indexed_keyword_search(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    index = PX.build(t.documents.select("doc_id", "text"), "doc_id", "text", f"{checkpoint_dir(spark).rstrip('/')}/postings-{uuid.uuid4().hex}")
+    found = PX.search(index, t.benchmark, "item_id", "text", k=5)
+    return found.select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
