@@ -3,6 +3,7 @@ grouped iteration over sorted partitions, connected components."""
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -14,7 +15,7 @@ from ..session import configure, read_table, reliable_checkpoint
 BUCKETS = 1 << 18
 _MARK = "__bucket"  # a name that no column of a table has
 
-__all__ = ["parted", "without", "cut", "groups_of", "components", "text_table", "prepare", "partitions"]
+__all__ = ["parted", "without", "cut", "sweep", "groups_of", "components", "text_table", "prepare", "partitions"]
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -22,6 +23,19 @@ def cut(df: DataFrame) -> DataFrame:
     return reliable_checkpoint(df)
 
 
+def sweep(spark: SparkSession, *done: DataFrame) -> None:
+    """Give disk back in the middle of a long job: the checkpoints ``done``,
+    which nothing reads any more, are deleted, and the shuffle files of finished
+    plans go as soon as the driver has collected their handles."""
+    for df in done:
+        path = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+        if path.isDefined():
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path.get())
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

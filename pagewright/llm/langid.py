@@ -9,12 +9,13 @@ text is labelled word by word.  A document's language is the label with the
 largest sum of marginals over its words with letters, its score that sum's
 share.
 
-Training takes at most ``TRAIN_PER_LANG`` documents of each language value, at
-most ``TRAIN_LANGS`` values (the frequent ones) and at most ``TRAIN_WORDS``
-words (documented bounds; the choice is by a hash of doc_id), and joins runs
-of words of several documents into short sequences, so that label changes are
-seen.  The weights (``BUCKETS`` x languages) are broadcast: their size does not
-depend on the data.  Prediction covers every whole text.
+Every language value of the training rows is learned.  Training takes at most
+``TRAIN_PER_LANG`` documents of each (``TRAIN_ROWS`` in all, dealt evenly) and at
+most ``TRAIN_WORDS`` words (documented bounds; the choice is by a hash of
+doc_id), and joins runs of words of several documents into short sequences, so
+that label changes are seen.  The weights (buckets x languages, at most
+``WEIGHTS`` numbers: with very many languages features share buckets) are
+broadcast.  Prediction covers every whole text.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0;
 rows with a null or repeated doc_id are predicted like others; with no training
@@ -31,14 +32,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
 
 BUCKETS = 1 << 18
 TRAIN_PER_LANG = 600
-TRAIN_LANGS = 64
+TRAIN_ROWS = 38_400
+WEIGHTS = 1 << 25   # buckets x languages
+CELLS = 1 << 26     # numbers of the block products that are held at once
 TRAIN_WORDS = 400_000
 SEQUENCE = 48   # words of a training sequence
 BATCH = 256     # sequences of a gradient step
@@ -58,7 +61,12 @@ class Model:
     start: np.ndarray
 
 
-def features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def buckets_for(languages: int) -> int:
+    """Buckets of features, a power of two: BUCKETS, or as many as WEIGHTS allows."""
+    return min(BUCKETS, max(1 << 12, 1 << ((WEIGHTS // max(languages, 1)).bit_length() - 1)))
+
+
+def features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, word) of every feature of the given words."""
     n = len(starts)
     size = ends - starts
@@ -90,12 +98,12 @@ def features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
         whole = np.add.reduceat(marked * powers[step], at)
     found.append(whole)
     of.append(np.arange(n))
-    bucket = (W.mix(np.concatenate(found)) & np.uint64(BUCKETS - 1)).astype(np.int64)
+    bucket = (W.mix(np.concatenate(found)) & np.uint64(buckets - 1)).astype(np.int64)
     return bucket, np.concatenate(of)
 
 
 def emissions(model: Model, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    bucket, owner = features(data, starts, ends)
+    bucket, owner = features(data, starts, ends, len(model.weights))
     return np.stack([np.bincount(owner, model.weights[bucket, j], len(starts)) for j in range(len(model.langs))], 1).astype(np.float32)
 
 
@@ -206,18 +214,20 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Model:
     langs = sorted({lang for _, lang in rows})
     n = len(langs)
     rng = np.random.default_rng(seed)
-    labels = np.array([langs.index(lang) for _, lang in rows], np.int64)
+    number = {lang: i for i, lang in enumerate(langs)}
+    labels = np.array([number[lang] for _, lang in rows], np.int64)
+    buckets = buckets_for(n)
     data, starts, ends, tags = _sequences([t for t, _ in rows], labels, rng)
-    model = Model(langs, np.zeros((BUCKETS, n), np.float32), np.zeros((n, n), np.float32), np.zeros(n, np.float32))
+    model = Model(langs, np.zeros((buckets, n), np.float32), np.zeros((n, n), np.float32), np.zeros(n, np.float32))
     if not n or not len(tags):
         return model
-    seen_w, seen_t = np.full((BUCKETS, n), 1e-6, np.float32), np.full((n, n), 1e-6)
+    seen_w, seen_t = np.full((buckets, n), 1e-6, np.float32), np.full((n, n), 1e-6)
     width = tags.shape[1]
     for _ in range(EPOCHS):
         order = rng.permutation(len(tags))
         for at in range(0, len(order), BATCH):
             pick = order[at:at + BATCH]
-            bucket, owner = features(data, starts[pick].ravel(), ends[pick].ravel())
+            bucket, owner = features(data, starts[pick].ravel(), ends[pick].ravel(), buckets)
             scores = np.stack([np.bincount(owner, model.weights[bucket, j], pick.size * width) for j in range(n)], 1).astype(np.float32)
             expected, counted = np.zeros((n, n)), np.zeros((n, n))
             delta = marginals(scores, np.arange(len(pick) + 1) * width, model.transitions, model.start, expected)
@@ -225,7 +235,7 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Model:
             if width > 1:
                 np.add.at(counted, (tags[pick][:, :-1].ravel(), tags[pick][:, 1:].ravel()), 1)
             delta[np.arange(len(gold)), gold] -= 1
-            grad = np.stack([np.bincount(bucket, delta[owner, j], BUCKETS) for j in range(n)], 1).astype(np.float32) / len(pick)
+            grad = np.stack([np.bincount(bucket, delta[owner, j], buckets) for j in range(n)], 1).astype(np.float32) / len(pick)
             seen_w += grad * grad
             model.weights -= RATE * grad / np.sqrt(seen_w)
             step = (expected - counted) / len(pick)
@@ -259,8 +269,16 @@ class Labeller:
         return self.rows[at][back]
 
     def words(self, w: W.Words) -> np.ndarray:
-        """Marginals of every word of a slice (words x languages)."""
-        return marginals(self._scores(w), w.bounds, self.model.transitions, self.model.start)
+        """Marginals of every word of a slice (words x languages); with many
+        languages some texts at a time, so that the block products stay small."""
+        scores, n = self._scores(w), len(self.model.langs)
+        most, out, lo = max(BLOCK, CELLS // (n * n) * BLOCK), [], 0
+        while lo < w.n_texts:
+            hi = max(lo + 1, int(np.searchsorted(w.bounds, w.bounds[lo] + most, "right")) - 1)
+            part = w.bounds[lo:hi + 1]
+            out.append(marginals(scores[part[0]:part[-1]], part - part[0], self.model.transitions, self.model.start))
+            lo = hi
+        return np.concatenate(out) if out else scores
 
     def predict(self, column: pa.Array) -> tuple[list[str], list[float]]:
         langs, scores = [], []
@@ -294,14 +312,13 @@ def is_held_out(doc_id="doc_id"):
 def fit(docs: DataFrame) -> Model:
     """A model of the rows of ``docs`` that are not held out and have a language."""
     labelled = docs.select("doc_id", "lang").filter(~is_held_out() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    langs = [r.lang for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(TRAIN_LANGS).collect()]
-    chosen = None
-    for lang in langs:
-        some = labelled.filter(F.col("lang") == lang).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_PER_LANG).select("doc_id")
-        chosen = some if chosen is None else chosen.unionByName(some)
-    if chosen is None:
+    languages = labelled.agg(F.count_distinct("lang")).first()[0]
+    if not languages:
         return train([])
-    # at most TRAIN_LANGS * TRAIN_PER_LANG ids: small enough to broadcast
+    each = min(TRAIN_PER_LANG, max(1, TRAIN_ROWS // languages))
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")  # so many rows per language and task go on
+    # at most TRAIN_ROWS ids, or one of each language: small enough to broadcast
+    chosen = labelled.distinct().withColumn("__n", F.row_number().over(first)).filter(F.col("__n") <= each).select("doc_id").distinct()
     texts = (docs.filter(~is_held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id", "left_semi")
              .dropDuplicates(["doc_id"]).select("text", "lang"))
 

@@ -50,7 +50,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .jobs import components, cut, parted, without
+from .jobs import components, cut, parted, sweep, without
 
 RETAINED = 64   # values of a sketch, for the estimate
 INDEXED = 16    # lowest values of it that have inverted lists
@@ -275,11 +275,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         likely = cut(_estimated(pairs, sketched, num, den))
-        return cut(_verified(likely, docs, shingle, num, den))
+        linked = cut(_verified(likely, docs, shingle, num, den))
+        sweep(docs.sparkSession, likely)
+        return linked
 
     links = confirmed(_star_pairs(_entries(lists), num, den))
     labels = components(links)
     prefix = _prefixes(lists, labels, sketched, docs, shingle, num, den)
+    sweep(docs.sparkSession)
     for pairs in (lambda: _central_pairs(prefix, num, den), lambda: _open_pairs(prefix, labels, num, den)):
         more = confirmed(pairs())
         if not more.isEmpty():

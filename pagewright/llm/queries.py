@@ -128,7 +128,7 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  sum(24 + length({_ROLE}) + length({_SAFE.format(x="text")}))::BIGINT AS formatted_chars
+  sum(24 + length({_ROLE}) + length({_SAFE.format(x="text")}))::BIGINT AS formatted_chars, (count(*) FILTER (role = 'assistant'))::BIGINT AS n_examples
 FROM t GROUP BY conv_id
 """)
 def op2_prefix_target_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
+from .jobs import cut
 
 TRAIN_ROWS = 6000     # of each label, at most
 FOLDS = 3
@@ -416,7 +417,9 @@ def fit(docs: DataFrame, labels: DataFrame, lexicon: Lexicon | None = None) -> M
         texts[r.fold, r.y] = r.n
     if not texts[:, 1].sum() or not texts[:, 0].sum():
         return Model(lexicon, share)
-    found = learn_lexicon(word_densities(rows), texts)
+    toxic_texts = sum((F.col(f"n{f}1") for f in range(1, FOLDS)), F.col("n01"))
+    densities = cut(word_densities(rows).filter(toxic_texts >= LEAST_TEXTS))  # read once per lexicon
+    found = learn_lexicon(densities, texts)
     lexicons = [lexicon.with_learned(*f) for f in found]
     shared = docs.sparkSession.sparkContext.broadcast(lexicons)  # at most (FOLDS + 1) * LEXICON keys
     weight = {y: total[y] / texts[:, y].sum() for y in (0, 1)}

@@ -260,3 +260,67 @@ def test_new_queries_equal_their_sql(spark, name):
     want = con.sql(ORACLE[name])
     got = QUERIES[name](spark, SF).select(*want.columns)
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want.fetchall()))
+
+
+# -- op10 and op2: what changed this round ---------------------------------------
+def test_every_labelled_language_is_learned(spark):
+    """70 languages of invented syllables, with fewer rows for the later ones."""
+    from pagewright.llm import langid
+
+    rng = np.random.default_rng(21)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    rows = []
+    for k in range(70):
+        syllables = ["".join(rng.choice(letters, 3)) for _ in range(12)]
+        word = lambda: "".join(rng.choice(syllables, int(rng.integers(1, 4))))  # noqa: B023, E731
+        for _ in range(24 - k // 5):
+            rows.append((len(rows), " ".join(word() for _ in range(40)), f"l{k:02d}"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = langid.fit(df)
+    assert len(model.langs) == 70
+    got = langid.identify(df, model).filter(langid.is_held_out()).collect()
+    assert np.mean([r.lang_pred == r.lang for r in got]) > 0.95 and len({r.lang_pred for r in got}) >= 65
+
+
+def test_buckets_shrink_with_the_languages():
+    from pagewright.llm import langid
+
+    assert langid.buckets_for(4) == langid.buckets_for(70) == langid.BUCKETS
+    for n in (200, 1000, 8000):
+        assert langid.buckets_for(n) * n <= max(langid.WEIGHTS, n << 12) and langid.buckets_for(n) & (langid.buckets_for(n) - 1) == 0
+
+
+def test_parts_of_a_slice_do_not_change_the_labels(spark, monkeypatch):
+    from pagewright.llm import langid
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.fit(docs)
+    w = next(W.words_of(pa.array([r.text for r in docs.limit(60).collect()])))
+    whole = langid.Labeller(model).words(w)
+    monkeypatch.setattr(langid, "CELLS", len(model.langs) ** 2)
+    assert np.allclose(langid.Labeller(model).words(w), whole, atol=1e-5)
+
+
+def test_loss_text_comes_from_the_example_spans(spark):
+    from pagewright.llm import chat
+
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b <| c"), (1, 2, "assistant", "d"), (2, 0, "user", "only")]
+    parts = chat.segments(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = {r.conv_id: r for r in chat.digests(parts).collect()}
+    assert (got[1].n_examples, got[2].n_examples) == (2, 0) and got[2].loss_chars == 0
+    targets = [r.target for r in chat.examples(parts).orderBy("prompt_end").collect()]
+    assert targets == ["b <\\| c", "d"] and got[1].loss_sha256 == hashlib.sha256(b"b <| cd").hexdigest()
+
+
+# -- op9: markup that misled it ---------------------------------------------------
+def test_teasers_are_no_article_and_an_article_keeps_its_header():
+    from pagewright.llm import pages
+
+    teaser = '<p>The real text of the page stands here in the body.</p><article class="related-post"><p>Read also this one</p></article>'
+    assert pages.main_texts([teaser], [0]) == ["The real text of the page stands here in the body."]
+    own = ('<header><p>Site name</p></header><article><header><h1>Title</h1><p>The lead of the article.</p><nav><p>menu</p></nav></header><p>Its body.</p>'
+           '<footer><p>Tags</p></footer></article><header>again</header>')
+    assert pages.main_texts([own], [0]) == ["Title\n\nThe lead of the article.\n\nIts body."]
+    both = '<div class="sidebar"><article><p>teaser text</p></article></div><article class="post"><p>Body text.</p><section class="comments"><article><p>A reader says</p></article></section></article>'
+    assert pages.main_texts([both], [0]) == ["Body text."]
+    assert pages.main_texts(['<article class="post has-sidebar comments-open"><p>Kept.</p></article>'], [0]) == ["Kept."]
