@@ -168,3 +168,9 @@ STREAM_WATERMARK = "10 minutes"
 
 # training data
 TRAIN_FRACTION_PERCENT = 80
+
+# turns of one transcript row (bounds what one task gathers)
+TRANSCRIPT_CHUNK_TURNS = 200
+
+# rows that a report shows of each kind
+REPORT_SAMPLES = {"queries": 2, "documents": 1, "recommendations": 3}

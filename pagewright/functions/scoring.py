@@ -98,9 +98,10 @@ def has_uncertainty(response, phrases=K.GROUNDED_UNCERTAIN_PHRASES, strict: bool
 
 
 # F07 -------------------------------------------------------------------------
-def grounded_confidence(response, context, strict_phrases: bool = False) -> Column:
-    """Mean of context-length, response-length and uncertainty factors."""
-    cl = text_length(context)
+def grounded_confidence(response, context, strict_phrases: bool = False, context_chars=None) -> Column:
+    """Mean of context-length, response-length and uncertainty factors.  Of the
+    context only its length counts: ``context_chars`` may stand for the text."""
+    cl = text_length(context) if context_chars is None else F.coalesce(_c(context_chars), F.lit(0))
     rl = text_length(response)
     f1 = (F.when(cl > K.GROUNDED_CONTEXT_STEPS[0][0], _d(K.GROUNDED_CONTEXT_STEPS[0][1]))
           .when(cl > K.GROUNDED_CONTEXT_STEPS[1][0], _d(K.GROUNDED_CONTEXT_STEPS[1][1]))
@@ -145,11 +146,11 @@ def dispatched_cost_inr(model, query, response) -> Column:
             .otherwise(chat_cost_inr(query, response)))
 
 
-def dispatched_confidence(model, query, response, context) -> Column:
+def dispatched_confidence(model, query, response, context, context_chars=None) -> Column:
     m = _c(model)
     return (F.when(m == "custom", bare_confidence(query, response))
             .when(m == "gemini", gemini_confidence())
-            .otherwise(grounded_confidence(response, context)))
+            .otherwise(grounded_confidence(response, context, context_chars=context_chars)))
 
 
 # F10 / U02 -------------------------------------------------------------------

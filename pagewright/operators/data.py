@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import text as T
+from . import profiles as PR
 
 
 # D01 -------------------------------------------------------------------------
@@ -41,26 +42,16 @@ def prepare_training_data(records: DataFrame, prompt: str = "query", completion:
 # D03 -------------------------------------------------------------------------
 def validate_columns(df: DataFrame, table: str, columns, json_columns=()) -> DataFrame:
     """One row per column -- rows, nulls, empties, length bounds,
-    duplicate values, malformed JSON -- from one aggregation pass."""
-    aggs = []
-    for c in columns:
-        col = F.col(c)
-        mal = (F.count_if(col.isNotNull() & F.try_parse_json(col).isNull()) if c in json_columns
-               else F.lit(0))
-        aggs += [F.count(F.lit(1)).alias(f"{c}__rows"), F.count_if(col.isNull()).alias(f"{c}__nulls"),
-                 F.count_if(col == "").alias(f"{c}__empties"), F.min(F.length(col)).alias(f"{c}__min"),
-                 F.max(F.length(col)).alias(f"{c}__max"),
-                 # distinct over a 256-bit digest: the shuffle carries 32 bytes per
-                 # value instead of whole texts
-                 (F.count(col) - F.count_distinct(F.sha2(col, 256))).alias(f"{c}__dups"), mal.alias(f"{c}__mal")]
-    one = df.agg(*aggs)
-    rows = F.array(*[F.struct(F.lit(c).alias("column_name"),
-                              *[F.col(f"{c}__{s}").cast("bigint").alias(n) for s, n in
-                                (("rows", "rows"), ("nulls", "nulls"), ("empties", "empties"),
-                                 ("min", "min_length"), ("max", "max_length"), ("dups", "duplicates"),
-                                 ("mal", "malformed_json"))])
-                     for c in columns])
-    return one.select(F.lit(table).alias("table_name"), F.explode(rows).alias("r")).select("table_name", "r.*")
+    duplicate values, malformed JSON.  The plain numbers come from one
+    aggregation without a distinct count; duplicates from one grouped pass over
+    (column, digest), which combines map-side and has no row expanded for other
+    aggregates."""
+    plain = F.array(*[F.struct(F.lit(c).alias("column_name"), *[F.col(f"{c}__{n}").alias(n) for n in PR.PLAIN]) for c in columns])
+    one = df.agg(*PR.plain_aggregates(columns, json_columns)).select(F.explode(plain).alias("r")).select("r.*")
+    dups = PR.duplicates(df, columns)
+    return (one.join(dups, "column_name", "left")
+            .select(F.lit(table).alias("table_name"), "column_name", "rows", "nulls", "empties", "min_length", "max_length",
+                    F.coalesce("duplicates", F.lit(0).cast("bigint")).alias("duplicates"), "malformed_json"))
 
 
 # D04 -------------------------------------------------------------------------

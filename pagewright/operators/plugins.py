@@ -4,13 +4,13 @@ These are the only places where Python runs per row, because a model or an
 OCR engine has to be supplied by the user.  Both use ``mapInPandas`` (Arrow
 batches, one Python worker per task) and keep failures as rows:
 
-* X01: the user callable takes a list of query strings and returns a list
-  of responses.  It is called on slices of ``batch_size`` queries; if a
-  slice raises, its queries are retried one at a time and a query that
-  still fails becomes an error row (``Error processing query: ...``, zeros,
-  model ``error``) -- a failing query never fails the task.  Cost and
-  confidence are then computed by JVM column expressions (X02), not in
-  Python.
+* X01: the user callable takes a list of query strings and returns as many
+  answers, each a text or an exception (that query's own error).  Usually each
+  query is sent by itself, once.  With ``whole_slices`` the callable gets
+  ``batch_size`` queries at a time; if such a call itself fails, the slice is
+  halved until the failing queries are alone.  A failed query becomes an error
+  row (``Error processing query: ...``, zeros, model ``error``) and never fails
+  the task.  Cost and confidence are computed by JVM column expressions (X02).
 * X03: the user callable takes one page's bytes and returns a reading
   ``{text, confidence, words, lines, error}``; exceptions become a reading
   with ``error`` set.  P04, P10 and N04 post-process the readings natively.
@@ -55,44 +55,52 @@ def extractive_model(queries: list[str]) -> list[str]:
     return out
 
 
-def batch_inference(df: DataFrame, model_fn: Callable[[list[str]], list[str]] = extractive_model,
+def _answers(model_fn, queries: list, clock) -> list[tuple[str | None, str | None, float]]:
+    """(response, error, milliseconds) of each query of a slice."""
+    t0 = clock()
+    try:
+        got = list(model_fn(list(queries)))
+        if len(got) != len(queries):
+            raise ValueError(f"model returned {len(got)} results for {len(queries)} queries")
+    except Exception as e:  # noqa: BLE001 - an error row, not a failed job
+        if len(queries) == 1:
+            return [(None, str(e), 0.0)]
+        half = len(queries) // 2
+        return _answers(model_fn, queries[:half], clock) + _answers(model_fn, queries[half:], clock)
+    each = (clock() - t0) * 1000.0 / len(queries)
+    return [(None, str(x), 0.0) if isinstance(x, Exception) else (x, None, each) for x in got]
+
+
+def batch_inference(df: DataFrame, model_fn: Callable[[list[str]], list] = extractive_model,
                     query: str = "query", keys=("conv_id", "turn"), model: str = "custom",
-                    batch_size: int = K.BATCH_SIZE) -> DataFrame:
+                    batch_size: int = K.BATCH_SIZE, position: str | None = None, whole_slices: bool = False) -> DataFrame:
     """X01 + X02 + P08 + W04: one result row per input row, order kept.
 
-    Output: keys, query, response, latency_ms (measured per call),
-    batch (position in the task's input div ``batch_size``), is_error,
-    model_used, confidence_score, cost_estimate.
+    Output: keys, query, response, latency_ms (a call's time shared by its
+    queries), batch, is_error, model_used, confidence_score, cost_estimate.
+    ``batch`` is the row's position div ``batch_size``: the global one, if the
+    rows have a ``position`` column (``ordering.with_position``), else its place
+    in the task's input.
     """
     keys = list(keys)
-    src = df.select(*keys, query)
-    fields = [src.schema[k] for k in keys] + [
-        T.StructField(query, T.StringType()), T.StructField("response", T.StringType()),
-        T.StructField("latency_ms", T.DoubleType()), T.StructField("batch", T.LongType()),
-        T.StructField("is_error", T.BooleanType())]
+    place = [position] if position else []
+    src = df.select(*keys, query, *place)
+    fields = [src.schema[k] for k in keys] + [T.StructField(query, T.StringType())] + [src.schema[p] for p in place] + [
+        T.StructField("response", T.StringType()), T.StructField("latency_ms", T.DoubleType()),
+        T.StructField("batch", T.LongType()), T.StructField("is_error", T.BooleanType())]
     schema = T.StructType(fields)
+    step = batch_size if whole_slices else 1
 
     def run(batches):
-        import pandas as pd
-
         seen = 0
         for pdf in batches:
             qs = pdf[query].where(pdf[query].notna(), None).tolist()
-            resp, lat, err = [None] * len(qs), [0.0] * len(qs), [False] * len(qs)
-            for i, q in enumerate(qs):  # each query is sent once: a failing one costs the others nothing
-                t0 = time.perf_counter()
-                try:
-                    got = list(model_fn([q]))
-                    if len(got) != 1:
-                        raise ValueError(f"model returned {len(got)} results for 1 query")
-                    resp[i], lat[i] = got[0], (time.perf_counter() - t0) * 1000.0
-                except Exception as e:  # noqa: BLE001 - an error row, not a failed job
-                    resp[i], err[i] = K.QUERY_ERROR_PREFIX + str(e), True
-            out = pdf[keys + [query]].copy()
-            out["response"] = resp
-            out["latency_ms"] = lat
+            found = [x for lo in range(0, len(qs), step) for x in _answers(model_fn, qs[lo:lo + step], time.perf_counter)]
+            out = pdf[keys + [query] + place].copy()
+            out["response"] = [r if e is None else K.QUERY_ERROR_PREFIX + e for r, e, _ in found]
+            out["latency_ms"] = [ms for _, _, ms in found]
             out["batch"] = [(seen + i) // batch_size for i in range(len(qs))]
-            out["is_error"] = err
+            out["is_error"] = [e is not None for _, e, _ in found]
             seen += len(qs)
             yield out
 
@@ -101,7 +109,7 @@ def batch_inference(df: DataFrame, model_fn: Callable[[list[str]], list[str]] =
     zero = F.lit(0.0)
     return res.select(
         *keys, query, "response", F.when(err, zero).otherwise(F.col("latency_ms")).alias("latency_ms"),
-        "batch", err.alias("is_error"),
+        (F.floor(F.col(position) / F.lit(batch_size)).cast("bigint").alias("batch") if position else F.col("batch")), err.alias("is_error"),
         F.when(err, F.lit("error")).otherwise(F.lit(model)).alias("model_used"),
         F.when(err, zero).otherwise(S.dispatched_confidence(F.lit(model), F.col(query), F.col("response"),
                                                             F.lit(None).cast("string"))).alias("confidence_score"),

@@ -24,21 +24,26 @@ def safety_scores(severities: DataFrame, key: str = "text_id", cols=SEVERITY_COL
         "safety_violation", F.col("safety_score") < F.lit(float(block_below)))
 
 
+CONTEXT_CHARS = "context_chars"  # calls may carry the length of their context instead of its text
+
+
 def score_calls(calls: DataFrame, query: str = "query", response: str = "response",
                 context: str = "context", model: str = "model") -> DataFrame:
-    """Every per-call score and price as columns (no UDF)."""
+    """Every per-call score and price as columns (no UDF).  Calls without a
+    ``context`` column have its length in ``context_chars``."""
+    chars = F.coalesce(F.col(CONTEXT_CHARS), F.lit(0)).cast("bigint") if context not in calls.columns else None
     return calls.select(
         "*",
         S.token_estimate(F.col(query)).alias("input_tokens"),
         S.token_estimate(F.col(response)).alias("output_tokens"),
-        S.text_length(F.col(context)).alias("context_length"),
+        (S.text_length(F.col(context)) if chars is None else chars).alias("context_length"),
         S.chat_cost_inr(F.col(query), F.col(response)).alias("chat_cost_inr"),
         S.custom_model_cost_inr(S.text_length(F.col(query)), S.text_length(F.col(response))).alias("custom_cost_inr"),
         S.gemini_cost_inr(S.text_length(F.col(query)), S.text_length(F.col(response))).alias("gemini_cost_inr"),
-        S.grounded_confidence(F.col(response), F.col(context)).alias("grounded_confidence"),
+        S.grounded_confidence(F.col(response), F.col(context) if chars is None else None, context_chars=chars).alias("grounded_confidence"),
         S.bare_confidence(F.col(query), F.col(response)).alias("bare_confidence"),
         S.dispatched_cost_inr(F.col(model), F.col(query), F.col(response)).alias("cost_estimate"),
-        S.dispatched_confidence(F.col(model), F.col(query), F.col(response), F.col(context)).alias("confidence_score"),
+        S.dispatched_confidence(F.col(model), F.col(query), F.col(response), F.col(context) if chars is None else None, chars).alias("confidence_score"),
         S.preview(F.col(query)).alias("query_preview"),
         S.preview(F.col(response)).alias("response_preview"))
 
@@ -53,8 +58,12 @@ def analyze(calls: DataFrame, safety: DataFrame | None = None, key: str = "conv_
     ``safety``: key + safety_score (from :func:`safety_scores`); missing -> 1.0
     (fail-open).  ``retrieved``: key columns + contexts array (from retrieval);
     used only when RAG is on and no content is given.  A call without an answer
-    carries the apology text, scored and priced like any other.
+    carries the apology text, scored and priced like any other.  Without
+    retrieval the calls may carry ``context_chars`` instead of the context.
     """
+    lengths = "context" not in calls.columns
+    if lengths and retrieved is not None and use_rag:
+        raise ValueError("retrieved contexts need the calls' own context, not its length")
     df = calls.withColumn("response", F.coalesce("response", F.lit(K.GENERATION_APOLOGY)))  # no answer came: the apology is scored and priced
     if include_safety_check and safety is not None:
         df = df.join(safety.select(F.col(safety.columns[0]).alias(key), "safety_score"), key, "left")
@@ -62,7 +71,7 @@ def analyze(calls: DataFrame, safety: DataFrame | None = None, key: str = "conv_
     else:
         df = df.withColumn("safety_score", F.lit(1.0))
     blocked = F.col("safety_score") < F.lit(float(K.SAFETY_BLOCK_BELOW))
-    given = F.coalesce(F.col("context"), F.lit(""))
+    given = F.lit(None) if lengths else F.coalesce(F.col("context"), F.lit(""))
     if retrieved is not None and use_rag:
         keys = [c for c in retrieved.columns if c != "contexts"]
         df = df.join(retrieved.select(*keys, F.col("contexts").alias("_ctx")), keys, "left")
@@ -72,7 +81,8 @@ def analyze(calls: DataFrame, safety: DataFrame | None = None, key: str = "conv_
     else:
         ctx_arr = F.array().cast("array<string>")
     df = df.withColumn("retrieved_contexts", ctx_arr)
-    df = df.withColumn("used_context", S.choose_context(F.col("context"), F.col("retrieved_contexts"), use_rag))
+    if not lengths:
+        df = df.withColumn("used_context", S.choose_context(F.col("context"), F.col("retrieved_contexts"), use_rag))
     scored = score_calls(df, context="used_context")
     zero = F.lit(0.0)
     return scored.select(
@@ -114,3 +124,13 @@ def request_summary(analyses: DataFrame, by=None) -> DataFrame:
     g = tracked.groupBy(*by).agg(*aggs) if by else tracked.agg(*aggs)
     return g.where(F.col("total_requests") > 0).withColumn(
         "average_cost_per_request", F.col("total_cost_inr") / F.col("total_requests").cast("double"))
+
+
+def transcript_chunks(turns_table: DataFrame, turns: int = K.TRANSCRIPT_CHUNK_TURNS, key: str = "conv_id", turn: str = "turn") -> DataFrame:
+    """P07 in bounded pieces: (key, chunk, n_turns, transcript), one row per
+    ``turns`` turn numbers of a conversation.  The chunks of a conversation in
+    their order, joined by line feeds, are its transcript, and no task gathers a
+    whole conversation, however long it is."""
+    t = turns_table.select(key, turn, "role", "text", F.floor(F.col(turn) / F.lit(int(turns))).cast("bigint").alias("chunk"))
+    g = t.groupBy(key, "chunk").agg(F.count(F.lit(1)).cast("bigint").alias("n_turns"), F.collect_list(F.struct(F.col(turn).alias("turn"), "role", "text")).alias("_t"))
+    return g.select(key, "chunk", "n_turns", S.turns_transcript(F.col("_t")).alias("transcript"))

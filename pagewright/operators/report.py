@@ -8,7 +8,7 @@ tables are array literals applied to the single KPI row with ``filter`` +
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -55,6 +55,16 @@ def cost_kpis(breakdown: DataFrame, total_queries: DataFrame, budget: float = K.
                       cost_band(cpq).alias("cost_efficiency"))
 
 
+def kpis_of(breakdown: DataFrame, budget: float = K.BUDGET_INR, infrastructure: bool = True) -> DataFrame:
+    """A08 from the A07 rows alone: the total row counts its items, of which the
+    infrastructure line is none of the queries.  The costs are evaluated once."""
+    one = breakdown.where(F.col("provider") == TOTAL_LABEL).select("total_cost_inr", (F.col("items") - int(infrastructure)).alias("total_queries"))
+    one = one.agg(F.coalesce(F.max("total_cost_inr"), F.lit(0.0)).alias("total_cost_inr"), F.coalesce(F.max("total_queries"), F.lit(0)).cast("bigint").alias("total_queries"))
+    per = F.when(F.col("total_queries") > 0, F.col("total_cost_inr") / F.col("total_queries").cast("double")).otherwise(F.lit(0.0))
+    return one.select("total_cost_inr", "total_queries", per.alias("cost_per_query"),
+                      (F.col("total_cost_inr") / F.lit(float(budget)) * F.lit(100.0)).alias("budget_utilization"), cost_band(per).alias("cost_efficiency"))
+
+
 def _rec(i: int, cat: str, prio: str, text: str, note: str) -> Column:
     return F.struct(F.lit(i).alias("ord"), F.lit(cat).alias("category"), F.lit(prio).alias("priority"),
                     F.lit(text).alias("recommendation"), F.lit(note).alias("note"))
@@ -92,6 +102,16 @@ def section_rows(df: DataFrame, section: str, prefix: str | None = None) -> Data
     return df.select(F.explode(F.array(*items)).alias("r")).select(F.lit(section).alias("section"), "r.*")
 
 
+def samples(df: DataFrame, section: str, order, text: str = "sample", limits: dict = K.REPORT_SAMPLES) -> DataFrame:
+    """(section, place, sample): the first rows of a frame in a stated
+    order, as many as ``limits`` has for the section.  A limit behind an order keeps so many rows per task, then of all."""
+    if section not in limits:
+        raise ValueError(f"no number of samples is stated for {section}")
+    first = df.orderBy(*order).limit(int(limits[section]))
+    place = F.row_number().over(Window.orderBy(*order)).cast("bigint")  # the shown rows only
+    return first.select(F.lit(section).alias("section"), place.alias("place"), F.col(text).alias("sample"))
+
+
 def run_phases(phases: dict, spark) -> DataFrame:
     """Run the phases in order, each on its own.  A phase is a function
     that returns its section rows (a few, by nature: aggregates); a phase that

@@ -3,12 +3,13 @@ search (W03), keyword matching (J03), hybrid retrieval with reciprocal-rank
 fusion (J03), best ground-truth match (J04).
 
 Scale notes
-* Searches are a query set against all rows, in blocks: the corpus is dealt
-  into ``corpus_blocks`` by a hash of its key, every query block meets every
-  corpus block once (a cogroup), and a task keeps only its own top k of each
-  query.  Queries stay a DataFrame: nothing passes through the driver, nothing
-  is broadcast, no job runs while a plan is built, and no query x row pair is
-  made as a row.  Memory of a task is one block of either side.
+* Searches are a query set against all rows, in blocks: both sides are dealt
+  into blocks by a hash of their key, as many as their counted bytes need
+  (``blocks_of``), every query block meets every corpus block once (a cogroup),
+  and a task keeps only its own top k of each query.  Queries stay a DataFrame:
+  nothing passes through the driver, nothing is broadcast, no job runs while a
+  plan is built, and no query x row pair is made as a row.  Memory of a task is
+  one block of either side.
 * Keyword scores come from an inverted index of the block, so a word that is in
   every text costs a numpy count, not joined rows.
 * Top-k per query is ``row_number() <= k`` over ``partitionBy(query)``: Spark
@@ -24,6 +25,7 @@ from pyspark.sql import types as T
 from .. import constants as K
 
 RRF_K = 60
+BLOCK_BYTES = 64 << 20  # of texts or vectors of one side in a task
 
 
 # ---------------------------------------------------------------------------
@@ -34,17 +36,32 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), K.BLANKS), lambda x: x != "")
 
 
-def block_cogroup(left: DataFrame, right: DataFrame, lkey: str, rkey: str, fn, schema, left_blocks: int = 1, right_blocks: int | None = None) -> DataFrame:
+def blocks_of(df: DataFrame, bytes_of: Column, least: int = 1) -> Column:
+    """How many blocks of about ``BLOCK_BYTES`` the rows make: a scalar subquery,
+    so the number is counted when the plan runs, not while it is built."""
+    total = df.agg(F.coalesce(F.sum(bytes_of.cast("bigint")), F.lit(0)).alias("_bytes")).scalar()
+    return F.greatest(F.lit(int(least)), F.ceil(total / F.lit(BLOCK_BYTES))).cast("int")
+
+
+def block_cogroup(left: DataFrame, right: DataFrame, lkey: str, rkey: str, fn, schema, left_blocks: int | Column = 1, right_blocks: int | Column | None = None) -> DataFrame:
     """Every block of ``left`` with every block of ``right``: ``fn(left_pdf,
     right_pdf)`` per pair of blocks.  Left rows are sent to each right block and
-    the other way round; ``right_blocks`` defaults to the shuffle partitions."""
-    n = right_blocks or int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    l = left.withColumn("_lb", F.pmod(F.xxhash64(lkey), F.lit(left_blocks)).cast("int")).withColumn("_rb", each(n))  # noqa: E741
-    r = right.withColumn("_rb", F.pmod(F.xxhash64(rkey), F.lit(n)).cast("int")).withColumn("_lb", each(left_blocks))
+    the other way round; ``right_blocks`` defaults to the shuffle partitions.
+    Both numbers may be columns (:func:`blocks_of`), so that neither side of a
+    task grows with its table."""
+    number = lambda n: F.lit(n) if isinstance(n, int) else n
+    nl, nr = number(left_blocks), number(_partitions(left) if right_blocks is None else right_blocks)
+    place = lambda key, n: F.pmod(F.xxhash64(key), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    l = left.withColumn("_lb", place(lkey, nl)).withColumn("_rb", each(nr))  # noqa: E741
+    r = right.withColumn("_rb", place(rkey, nr)).withColumn("_lb", each(nl))
     return l.groupBy("_lb", "_rb").cogroup(r.groupBy("_lb", "_rb")).applyInPandas(fn, schema)
 
 
+def _partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _shared_counts(queries, rows):
     """(queries x rows) numbers of shared distinct tokens, query by query, from
     an inverted index of the rows' token lists."""
@@ -109,7 +126,7 @@ def _top_k(scored: DataFrame, qkey: str, ckey: str, score: str, k: int, rank: st
 
 def knn(queries: DataFrame, corpus: DataFrame, qkey: str, ckey: str, vec: str, k: int = K.RETRIEVAL_TOP_K,
         threshold: float | None = None, exclude_self: bool = False, score_digits: int | None = None,
-        query_blocks: int = 1, corpus_blocks: int | None = None) -> DataFrame:
+        query_blocks: int | None = None, corpus_blocks: int | None = None) -> DataFrame:
     """Exact k nearest corpus vectors per query by cosine similarity.
 
     Each pair of blocks is one matrix product; a task emits its own top k per
@@ -154,7 +171,9 @@ def knn(queries: DataFrame, corpus: DataFrame, qkey: str, ckey: str, vec: str, k
                 out["similarity"] += score[at].tolist()
         return pd.DataFrame({c: pd.Series(v, dtype=object) for c, v in out.items()})
 
-    scored = block_cogroup(queries.select(qkey, F.col(vec).alias("_q")), corpus.select(ckey, F.col(vec).alias("_c")), qkey, ckey, run, schema, query_blocks, corpus_blocks)
+    size = F.size(vec) * 8
+    scored = block_cogroup(queries.select(qkey, F.col(vec).alias("_q")), corpus.select(ckey, F.col(vec).alias("_c")), qkey, ckey, run, schema,
+                           query_blocks or blocks_of(queries, size), corpus_blocks or blocks_of(corpus, size, _partitions(corpus)))
     return _top_k(scored, qkey, ckey, "similarity", k)
 
 
@@ -168,7 +187,7 @@ def similarity_search(queries, corpus, qkey, ckey, vec, top_k: int = K.SEARCH_TO
 # keyword leg, hybrid fusion, best match
 # ---------------------------------------------------------------------------
 def keyword_top_k(queries: DataFrame, corpus: DataFrame, qkey: str, ckey: str, qtext: str, ctext: str,
-                  k: int = K.RETRIEVAL_TOP_K, query_blocks: int = 1, corpus_blocks: int | None = None) -> DataFrame:
+                  k: int = K.RETRIEVAL_TOP_K, query_blocks: int | None = None, corpus_blocks: int | None = None) -> DataFrame:
     """Keyword leg: corpus texts ranked by the number of distinct query
     tokens they contain (ties by corpus key)."""
     schema = T.StructType([queries.schema[qkey], corpus.schema[ckey], T.StructField("score", T.DoubleType())])
@@ -189,7 +208,8 @@ def keyword_top_k(queries: DataFrame, corpus: DataFrame, qkey: str, ckey: str, q
                 out["score"] += counts[at].astype(float).tolist()
         return pd.DataFrame({c: pd.Series(v, dtype=object) for c, v in out.items()})
 
-    scored = block_cogroup(_tokened(queries, qkey, qtext, "_q"), _tokened(corpus, ckey, ctext, "_c"), qkey, ckey, run, schema, query_blocks, corpus_blocks)
+    scored = block_cogroup(_tokened(queries, qkey, qtext, "_q"), _tokened(corpus, ckey, ctext, "_c"), qkey, ckey, run, schema,
+                           query_blocks or blocks_of(queries, F.octet_length(qtext)), corpus_blocks or blocks_of(corpus, F.octet_length(ctext), _partitions(corpus)))
     return _top_k(scored, qkey, ckey, "score", k)
 
 
@@ -219,7 +239,7 @@ def contexts_for(hits: DataFrame, corpus: DataFrame, qkey, ckey: str, ctext: str
 
 
 def best_truth_match(responses: DataFrame, truths: DataFrame, rkey: str, tkey: str, rtext: str, ttext: str,
-                     truth_blocks: int = 1, response_blocks: int | None = None) -> DataFrame:
+                     truth_blocks: int | None = None, response_blocks: int | None = None) -> DataFrame:
     """For each response, the ground truth with the highest word overlap
     |R ∩ T| / |T| (ties: smallest truth key).  Responses sharing no token
     with any truth have no row."""
@@ -240,6 +260,7 @@ def best_truth_match(responses: DataFrame, truths: DataFrame, rkey: str, tkey: s
         some = which >= 0
         return pd.DataFrame({rkey: right[rkey].to_numpy()[some], tkey: left[tkey].to_numpy()[which[some]], "overlap": best[some]})
 
-    found = block_cogroup(_tokened(truths, tkey, ttext, "_t"), _tokened(responses, rkey, rtext, "_r"), tkey, rkey, run, schema, truth_blocks, response_blocks)
+    found = block_cogroup(_tokened(truths, tkey, ttext, "_t"), _tokened(responses, rkey, rtext, "_r"), tkey, rkey, run, schema,
+                          truth_blocks or blocks_of(truths, F.octet_length(ttext)), response_blocks or blocks_of(responses, F.octet_length(rtext), _partitions(responses)))
     best = found.groupBy(rkey).agg(F.max_by(F.struct("overlap", tkey), F.struct(F.col("overlap"), -F.col(tkey))).alias("b"))
     return best.select(rkey, F.col("b." + tkey).alias(tkey), F.col("b.overlap").alias("overlap"))

@@ -115,10 +115,10 @@ def q_extraction_counts(spark, sf_dir):
 
 PROCESSING_SQL = """
 WITH f AS (""" + FUSION_SQL.strip().replace("\n", "\n  ") + """),
-d AS (SELECT doc_id, count(*) AS total_pages, coalesce(avg(confidence_score), 0.0) AS overall_confidence
+d AS (SELECT doc_id, count(*) AS total_pages, coalesce(avg(confidence_score), 0.0) AS overall_confidence, sum((doc_id + page_number) % 9 * 1.5) AS seconds
       FROM f GROUP BY doc_id)
 SELECT CAST(count(*) AS BIGINT) AS documents_processed,
-       CAST(sum(total_pages) AS BIGINT) AS pages_processed,
+       CAST(sum(total_pages) AS BIGINT) AS pages_processed, round(avg(seconds), 6) AS average_processing_time,
        round(sum(total_pages::DOUBLE / 1000 * 0.83 + total_pages::DOUBLE * 0.004), 8) AS total_cost_inr,
        round(avg(overall_confidence), 6) AS average_confidence,
        round(sum(total_pages)::DOUBLE / count(*), 6) AS pages_per_document
@@ -128,9 +128,9 @@ FROM d HAVING count(*) > 0
 
 @register("processing_summary", V.with_views(PROCESSING_SQL, "v_candidates"), "A03")
 def q_processing_summary(spark, sf_dir):
-    docs = D.rollup_documents(_fused(Tables(spark, sf_dir)), with_text=False)
-    s = D.processing_summary(docs)
-    return s.select("documents_processed", "pages_processed",
+    read = _fused(Tables(spark, sf_dir)).withColumn("seconds", (F.col("doc_id") + F.col("page_number")) % 9 * F.lit(1.5))  # reading time of a page
+    s = D.processing_summary(D.rollup_documents(read, with_text=False, sums=("seconds",)), "seconds")
+    return s.select("documents_processed", "pages_processed", F.round("average_processing_time", 6).alias("average_processing_time"),
                     F.round("total_cost_inr", 8).alias("total_cost_inr"),
                     F.round("average_confidence", 6).alias("average_confidence"),
                     F.round("pages_per_document", 6).alias("pages_per_document"))

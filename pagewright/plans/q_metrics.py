@@ -10,7 +10,7 @@ from ..operators import documents as D
 from ..operators import metrics as M
 from ..operators import qa as Q
 from ..operators import report as R
-from ..session import Tables
+from ..session import Tables, reliable_checkpoint
 from . import sqlexpr as X
 from . import views as V
 from .catalog import register
@@ -235,10 +235,7 @@ FROM k
 
 
 def _kpis(t: Tables):
-    costs = _costs(t)
-    bd = R.cost_breakdown(costs)
-    n = costs.agg(F.count(F.lit(1)).cast("bigint").alias("total_queries"))
-    return R.cost_kpis(bd, n)
+    return R.kpis_of(R.cost_breakdown(_costs(t)))
 
 
 @register("cost_kpis", V.with_views(KPI_SQL, "v_interactions", "v_candidates"), "A08")
@@ -265,19 +262,24 @@ WITH {_COSTS_SQL.strip()},
 k AS (SELECT (SELECT total_cost_inr FROM bd WHERE provider = 'TOTAL') AS total_cost_inr,
              (SELECT avg(CASE WHEN is_error THEN 0.0::DOUBLE ELSE {X.grounded_conf('response', 'context')} END)
               FROM v_interactions WHERE model = 'chat') AS avg_conf,
-             CAST(NULL AS DOUBLE) AS avg_time)
+             (SELECT avg(s) FROM (SELECT sum((doc_id + page_number) % 9 * 1.5) AS s FROM f GROUP BY doc_id)) AS avg_time)
 {_rec_sql()}
 """
 
 
+def _page_seconds():
+    """Reading time of a page."""
+    return (F.col("doc_id") + F.col("page_number")) % 9 * F.lit(1.5)
+
+
 @register("recommendations", V.with_views(REC_SQL, "v_interactions", "v_candidates"), "X04 A10 Q16")
 def q_recommendations(spark, sf_dir):
     t = Tables(spark, sf_dir)
     bd = R.cost_breakdown(_costs(t)).where(F.col("provider") == R.TOTAL_LABEL).select("total_cost_inr")
-    chat = Q.inference_records(V.interactions(t)).where(F.col("model") == "chat") \
+    chat = Q.inference_records(V.interactions(t, "length")).where(F.col("model") == "chat") \
         .agg(F.avg("confidence_score").alias("avg_chat_confidence"))
-    kp = R.combine_rows(bd, chat).withColumn("avg_processing_time", F.lit(None).cast("double"))
-    return R.recommendations(kp)
+    docs = D.rollup_documents(D.fuse_readings(V.candidates(t)).withColumn("seconds", _page_seconds()), with_text=False, sums=("seconds",))
+    return R.recommendations(R.combine_rows(bd, chat, docs.agg(F.avg("seconds").alias("avg_processing_time"))))
 
 
 def _report_sql() -> str:
@@ -327,26 +329,39 @@ SELECT section, metric, round(value_num, 6) AS value_num, value_text FROM r
 """
 
 
+def _once(make):
+    """A frame that several phases read: made and checkpointed by the first."""
+    held = []
+
+    def get():
+        if not held:
+            held.append(reliable_checkpoint(make()))
+        return held[0]
+    return get
+
+
 def report_phases(t: Tables) -> dict:
-    """The six phases of the platform report, in their order."""
+    """The six phases of the platform report, in their order.  Scored calls and
+    rolled-up documents are evaluated once."""
     from ..operators import evaluate as E
 
-    calls = lambda: Q.inference_records(V.interactions(t))
-    pages = lambda: D.fuse_readings(V.candidates(t))
+    calls = _once(lambda: Q.inference_records(V.interactions(t, "length")).select(
+        "conv_id", "turn", "provider", "model", "response", "confidence_score", "latency_ms", "cost_estimate", "is_error"))
+    docs = _once(lambda: D.rollup_documents(D.fuse_readings(V.candidates(t)).withColumn("seconds", _page_seconds()), with_text=False, sums=("seconds",)))
+    summary = lambda: D.processing_summary(docs(), "seconds")
 
-    def documents():
-        read = pages().withColumn("seconds", (F.col("doc_id") + F.col("page_number")) % 9 * F.lit(1.5))  # reading time of a page
-        docs = D.rollup_documents(read, with_text=False, sums=("seconds",))
-        return D.processing_summary(docs, "seconds")
+    def breakdown():
+        costs = calls().select("provider", F.col("cost_estimate").alias("cost")).unionByName(docs().select(F.lit("multimodal_ai").alias("provider"), F.col("cost_estimate").alias("cost")))
+        return R.cost_breakdown(costs)
 
     def evaluation():
         truth = E.with_position(t.benchmark.select("item_id", F.col("text").alias("truth")), ["item_id"], keys_only=True)
         return E.evaluation_summary(E.with_position(calls(), ["conv_id", "turn"], keys_only=True), truth)
 
     def advice():
-        bd = R.cost_breakdown(_costs(t)).where(F.col("provider") == R.TOTAL_LABEL).select("total_cost_inr")
+        bd = breakdown().where(F.col("provider") == R.TOTAL_LABEL).select("total_cost_inr")
         chat = calls().where(F.col("model") == "chat").agg(F.avg("confidence_score").alias("avg_chat_confidence"))
-        time = documents().select(F.col("average_processing_time").alias("avg_processing_time"))
+        time = summary().select(F.col("average_processing_time").alias("avg_processing_time"))
         return R.recommendations(R.combine_rows(bd, chat, time))
 
     health = lambda: M.health_rollup(M.latest_status(V.calls(t)))
@@ -355,8 +370,8 @@ def report_phases(t: Tables) -> dict:
         "health": lambda: R.section_rows(health(), "health", "provider"),
         "chat": lambda: R.section_rows(chat(), "chat"),
         "evaluation": lambda: R.section_rows(evaluation(), "evaluation"),
-        "documents": lambda: R.section_rows(documents(), "documents"),
-        "cost": lambda: R.section_rows(_kpis(t), "cost"),
+        "documents": lambda: R.section_rows(summary(), "documents"),
+        "cost": lambda: R.section_rows(R.kpis_of(breakdown()), "cost"),
         "recommendations": lambda: advice().select(F.lit("recommendations").alias("section"), F.col("category").alias("metric"),
                                                    F.lit(None).cast("double").alias("value_num"), F.col("recommendation").alias("value_text")),
     }
@@ -366,3 +381,28 @@ def report_phases(t: Tables) -> dict:
 def q_platform_report(spark, sf_dir):
     r = R.run_phases(report_phases(Tables(spark, sf_dir)), spark)
     return r.select("section", "metric", F.round("value_num", 6).alias("value_num"), "value_text")
+
+
+SAMPLES_SQL = f"""
+WITH {_COSTS_SQL.strip()},
+i AS (SELECT conv_id, turn, query, row_number() OVER (ORDER BY conv_id, turn) AS n FROM v_interactions),
+d AS (SELECT doc_id, n, row_number() OVER (ORDER BY doc_id) AS r FROM dd),
+k AS (SELECT (SELECT total_cost_inr FROM bd WHERE provider = 'TOTAL') AS total_cost_inr,
+             (SELECT avg(CASE WHEN is_error THEN 0.0 ELSE {X.grounded_conf('response', 'context')} END) FROM v_interactions WHERE model = 'chat') AS avg_conf,
+             (SELECT avg(s) FROM (SELECT sum((doc_id + page_number) % 9 * 1.5) AS s FROM f GROUP BY doc_id)) AS avg_time),
+rec AS ({_rec_sql()})
+SELECT 'queries' AS section, n::BIGINT AS place, query AS sample FROM i WHERE n <= 2
+UNION ALL SELECT 'documents', r::BIGINT, doc_id || ': ' || n || ' pages' FROM d WHERE r <= 1
+UNION ALL SELECT 'recommendations', row_number() OVER (ORDER BY ord), recommendation FROM rec QUALIFY row_number() OVER (ORDER BY ord) <= 3
+"""
+
+
+@register("report_samples", V.with_views(SAMPLES_SQL, "v_interactions", "v_candidates"), "L03 (two queries, one document, three recommendations)")
+def q_report_samples(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    asked = V.interactions(t, with_context=False).select("conv_id", "turn", F.col("query").alias("sample"))
+    pages = D.fuse_readings(V.candidates(t)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    docs = pages.select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(": "), F.col("n").cast("string"), F.lit(" pages")).alias("sample"))
+    advice = q_recommendations(spark, sf_dir).select("ord", F.col("recommendation").alias("sample"))
+    parts = [R.samples(df, name, order) for df, name, order in ((asked, "queries", ("conv_id", "turn")), (docs, "documents", ("doc_id",)), (advice, "recommendations", ("ord",)))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

@@ -37,7 +37,7 @@ FROM v_interactions
 @register("interaction_scores", V.with_views(SCORES_SQL, "v_interactions"),
           "F01 F02 F03 F04 F07 F08 F09 F12 F25 X02 P05 Q1 Q2 Q22")
 def q_interaction_scores(spark, sf_dir):
-    s = Q.score_calls(V.interactions(Tables(spark, sf_dir)))
+    s = Q.score_calls(V.interactions(Tables(spark, sf_dir), "length"))
     r = lambda c, n: F.round(c, n).alias(c)
     return s.select("conv_id", "turn", "provider", "model", "input_tokens", "output_tokens", "context_length",
                     r("chat_cost_inr", R10), r("custom_cost_inr", R10), r("gemini_cost_inr", R10),
@@ -77,7 +77,7 @@ FROM b
 
 
 def _analyses(t: Tables):
-    return Q.analyze(V.interactions(t), Q.safety_scores(V.severity(t)), key="conv_id", use_rag=False)
+    return Q.analyze(V.interactions(t, "length"), Q.safety_scores(V.severity(t)), key="conv_id", use_rag=False)
 
 
 @register("qa_analyses", V.with_views(ANALYSES_SQL, "v_interactions", "v_severity"), "P01 P02 F02 F07 F11 F21 F25 Q8")
@@ -158,7 +158,7 @@ FROM v_interactions
 
 
 def _inferences(t: Tables):
-    return Q.inference_records(V.interactions(t))
+    return Q.inference_records(V.interactions(t, "length"))
 
 
 @register("inference_records", V.with_views(INFER_SQL, "v_interactions"), "X02 P08 U01 A06")
@@ -204,6 +204,18 @@ def q_conversation_transcripts(spark, sf_dir):
     return g.select("conv_id", "n_turns", S.turns_transcript(F.col("turns")).alias("transcript"))
 
 
+CHUNK_SQL = """
+WITH c AS (SELECT *, turn // 3 AS chunk FROM conversations)
+SELECT conv_id, chunk, CAST(count(*) AS BIGINT) AS n_turns, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS transcript
+FROM c GROUP BY conv_id, chunk
+"""
+
+
+@register("transcript_chunks", CHUNK_SQL, "P07 (transcript in chunks of a stated number of turns)")
+def q_transcript_chunks(spark, sf_dir):
+    return Q.transcript_chunks(Tables(spark, sf_dir).conversations, turns=3)
+
+
 def _positions(t: Tables):
     res = E.with_position(_inferences(t), ["conv_id", "turn"], keys_only=True)
     truth = E.with_position(t.benchmark.select("item_id", F.col("text").alias("truth")), ["item_id"], keys_only=True)

@@ -40,8 +40,10 @@ def _model(conv_id: Column) -> Column:
     return F.when(m == 0, "chat").when(m == 1, "custom").otherwise("gemini")
 
 
-def interactions(t: Tables, with_context: bool = True) -> DataFrame:
-    """``with_context=False`` leaves out the document join (and its shuffle of
+def interactions(t: Tables, with_context: bool | str = True) -> DataFrame:
+    """``with_context="length"`` joins the number of characters of the context
+    (``context_chars``) instead of its text, for jobs that need no more.
+    ``with_context=False`` leaves out the document join (and its shuffle of
     the full document text) for jobs that never read the context; Catalyst
     cannot drop a left join by itself unless the right side is provably
     unique."""
@@ -50,13 +52,18 @@ def interactions(t: Tables, with_context: bool = True) -> DataFrame:
     a = c.where(F.col("role") == "assistant").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("response"))
     j = u.join(a, ["conv_id", "turn"], "left")  # a turn without an answer stays, as a failed call
-    if with_context:
+    context = "context"
+    if with_context == "length":
+        context = "context_chars"
+        d = t.documents.select(F.col("doc_id").alias("conv_id"), F.length("text").alias(context))
+        j = j.join(d, "conv_id", "left")
+    elif with_context:
         d = t.documents.select(F.col("doc_id").alias("conv_id"), F.col("text").alias("context"))
         j = j.join(d, "conv_id", "left")
     else:
         j = j.withColumn("context", F.lit(None).cast("string"))
     return (j
-            .select("conv_id", "turn", "query", "response", "context",
+            .select("conv_id", "turn", "query", "response", context,
                     _provider(F.col("conv_id")).alias("provider"),
                     _model(F.col("conv_id")).alias("model"),
                     ((F.col("conv_id") * 37 + F.col("turn") * 101) % 3000).cast("double").alias("latency_ms"),
