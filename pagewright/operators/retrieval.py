@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import constants as K
+from ..session import reliable_checkpoint
 
 RRF_K = 60
 BLOCK_BYTES = 64 << 20  # of texts or vectors of one side in a task
@@ -264,3 +265,37 @@ def best_truth_match(responses: DataFrame, truths: DataFrame, rkey: str, tkey: s
                           truth_blocks or blocks_of(truths, F.octet_length(ttext)), response_blocks or blocks_of(responses, F.octet_length(rtext), _partitions(responses)))
     best = found.groupBy(rkey).agg(F.max_by(F.struct("overlap", tkey), F.struct(F.col("overlap"), -F.col(tkey))).alias("b"))
     return best.select(rkey, F.col("b." + tkey).alias(tkey), F.col("b.overlap").alias("overlap"))
+
+
+def containment_match(responses: DataFrame, truths: DataFrame, rkey: str, tkey: str, rtext: str, ttext: str, at_least: float = 0.5, exact: bool = False) -> DataFrame:
+    """J04 as a search: the best ground truth of each response among those of
+    which it contains a share of ``at_least`` or more; all of these are found.
+
+    A response with ``at_least`` of a truth's ``m`` tokens has one of its
+    ``m - ceil(at_least * m) + 1`` rarest (rare by the number of responses).  So
+    only these tokens of a truth are keys of the join, frequent words never are,
+    and pairs that meet at one are verified on their whole token sets.  ``exact``
+    finds the best truth below the bound too, by the block search for the
+    responses that are left.
+    """
+    t = _tokened(truths, tkey, ttext, "_t").where(F.size("_t") > 0)
+    r = _tokened(responses, rkey, rtext, "_r")
+    words = r.select(rkey, F.explode("_r").alias("_w"))
+    asked = t.select(tkey, F.explode("_t").alias("_w"))
+    known = asked.select("_w").distinct()
+    often = words.join(known, "_w").groupBy("_w").agg(F.count(F.lit(1)).alias("_n"))
+    rare = Window.partitionBy(tkey).orderBy(F.coalesce("_n", F.lit(0)), "_w")  # the tokens of one truth
+    m = F.count(F.lit(1)).over(Window.partitionBy(tkey))
+    # a little slack: the share is compared as a double
+    keys = (asked.join(often, "_w", "left").withColumn("_place", F.row_number().over(rare)).withColumn("_m", m)
+            .where(F.col("_place") <= F.col("_m") - F.ceil(F.col("_m") * F.lit(float(at_least) - 1e-9)) + 1).select(tkey, "_w"))
+    pairs = words.join(keys, "_w").select(rkey, tkey).distinct()
+    shared = F.size(F.array_intersect("_t", "_r")) / F.size("_t")
+    scored = pairs.join(t, tkey).join(r, rkey).select(rkey, tkey, F.least(shared, F.lit(1.0)).alias("overlap")).where(F.col("overlap") >= float(at_least))
+    best = scored.groupBy(rkey).agg(F.max_by(F.struct("overlap", tkey), F.struct(F.col("overlap"), -F.col(tkey))).alias("b"))
+    found = best.select(rkey, F.col("b." + tkey).alias(tkey), F.col("b.overlap").alias("overlap"))
+    if not exact:
+        return found
+    found = reliable_checkpoint(found)
+    rest = responses.join(found.select(rkey), rkey, "left_anti")
+    return found.unionByName(best_truth_match(rest, truths, rkey, tkey, rtext, ttext))

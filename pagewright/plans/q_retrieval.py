@@ -183,3 +183,20 @@ def q_indexed_keyword_search(spark, sf_dir):
     index = PX.build(t.documents.select("doc_id", "text"), "doc_id", "text", f"{checkpoint_dir(spark).rstrip('/')}/postings-{uuid.uuid4().hex}")
     found = PX.search(index, t.benchmark, "item_id", "text", k=5)
     return found.select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
+
+
+CONTAINED_SQL = f"""
+WITH {_dtok_sql('documents', 'doc_id', 'text', 'rt')},
+{_dtok_sql('benchmark', 'item_id', 'text', 'tt')},
+m AS (SELECT rt.k AS doc_id, tt.k AS item_id, least(count(*)::DOUBLE / any_value(tt.n)::DOUBLE, 1.0::DOUBLE) AS overlap
+      FROM rt JOIN tt ON tt.t = rt.t GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY overlap DESC, item_id) AS rn FROM m WHERE overlap >= 0.5::DOUBLE)
+SELECT doc_id, item_id, round(overlap, 6) AS overlap FROM r WHERE rn = 1
+"""
+
+
+@register("containment_match", CONTAINED_SQL, "J04 (truths of which a response contains half, found by their rarest tokens)")
+def q_containment_match(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    b = RT.containment_match(t.documents, t.benchmark, "doc_id", "item_id", "text", "text", at_least=0.5)
+    return b.select("doc_id", "item_id", F.round("overlap", 6).alias("overlap"))

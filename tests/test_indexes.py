@@ -106,3 +106,20 @@ def test_postings_of_random_texts_equal_the_scan(spark, tmp_path):
     ask = spark.createDataFrame([(i, " ".join(word() for _ in range(int(rng.integers(1, 25))))) for i in range(40)], "item_id long, text string")
     index = PX.build(docs, "doc_id", "text", str(tmp_path / "px"))
     assert ranked(PX.search(index, ask, "item_id", "text", k=4)) == ranked(RT.keyword_top_k(ask, docs, "item_id", "doc_id", "text", "text", k=4))
+
+
+# -- containment --------------------------------------------------------------
+def best(df):
+    return {r["doc_id"]: (r["item_id"], round(r["overlap"], 9)) for r in df.collect()}
+
+
+@pytest.mark.parametrize("bound", [0.3, 0.5, 0.8, 1.0])
+def test_containment_finds_all_above_the_bound_and_the_rest_exactly(spark, bound):
+    rng = np.random.default_rng(12)
+    word = lambda: f"t{min(int(rng.zipf(1.2)), 300)}"
+    docs = spark.createDataFrame([(i, " ".join(word() for _ in range(int(rng.integers(1, 60))))) for i in range(400)] + [(900, None), (901, "")], "doc_id long, text string")
+    items = spark.createDataFrame([(i, " ".join(word() for _ in range(int(rng.integers(1, 12))))) for i in range(60)] + [(80, None), (81, " ")], "item_id long, text string")
+    whole = best(RT.best_truth_match(docs, items, "doc_id", "item_id", "text", "text"))
+    above = {d: v for d, v in whole.items() if v[1] >= bound}
+    assert best(RT.containment_match(docs, items, "doc_id", "item_id", "text", "text", at_least=bound)) == above and above
+    assert best(RT.containment_match(docs, items, "doc_id", "item_id", "text", "text", at_least=bound, exact=True)) == whole
