@@ -137,6 +137,17 @@ def percentile_series(calls: DataFrame, value: str, by=(), ts: str = "ts", windo
             .select(F.col("w.start").alias("window_start"), *by, "requests", *[F.col("_p")[i].alias(n) for i, n in enumerate(names)]))
 
 
+def resource_series(calls: DataFrame, values=("latency_ms", "memory_mb"), by=("service_name",), ts: str = "ts",
+                    window_seconds: int = K.ERROR_RATE_WINDOW_SECONDS) -> DataFrame:
+    """Per window and label the requests, the error rate, and mean and
+    largest value of each series (latency, memory, ...), in one aggregation."""
+    w = F.window(F.col(ts), f"{window_seconds} seconds")
+    each = [a for v in values for a in (F.avg(v).alias(f"avg_{v}"), F.max(v).alias(f"max_{v}"))]
+    g = calls.groupBy(w.alias("w"), *by).agg(F.count(F.lit(1)).cast("bigint").alias("requests"), F.sum("error_count").cast("bigint").alias("errors"), *each)
+    names = [n for v in values for n in (f"avg_{v}", f"max_{v}")]
+    return g.select(F.col("w.start").alias("window_start"), *by, "requests", (F.col("errors").cast("double") / F.col("requests")).alias("error_rate"), *names)
+
+
 def dashboard_series(calls: DataFrame, ts: str = "ts", window_seconds: int = K.ERROR_RATE_WINDOW_SECONDS,
                      latency: str = "cost", by=None) -> DataFrame:
     """Per tumbling window: request count, errors, error rate, mean and max of a value."""

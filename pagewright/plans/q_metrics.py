@@ -406,3 +406,24 @@ def q_report_samples(spark, sf_dir):
     advice = q_recommendations(spark, sf_dir).select("ord", F.col("recommendation").alias("sample"))
     parts = [R.samples(df, name, order) for df, name, order in ((asked, "queries", ("conv_id", "turn")), (docs, "documents", ("doc_id",)), (advice, "recommendations", ("ord",)))]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+RESOURCE_SQL = f"""
+WITH e AS (SELECT c.*, ((c.event_id * 37 + e.user_id * 101) % 3000)::DOUBLE AS latency_ms, (256 + (c.event_id * 13 + e.user_id * 7) % 768)::DOUBLE AS memory_mb
+           FROM v_calls c JOIN events e USING (event_id))
+SELECT strftime(time_bucket(INTERVAL '3600 seconds', ts), {TS_FMT}) AS window_start, service_name, count(*) AS requests,
+       round(sum(error_count)::DOUBLE / count(*), 6) AS error_rate, round(avg(latency_ms), 6) AS avg_latency_ms, max(latency_ms) AS max_latency_ms,
+       round(avg(memory_mb), 6) AS avg_memory_mb, max(memory_mb) AS max_memory_mb
+FROM e GROUP BY 1, 2
+"""
+
+
+@register("resource_series", V.with_views(RESOURCE_SQL, "v_calls"), "T04 (latency and memory over time)")
+def q_resource_series(spark, sf_dir):
+    calls = V.calls(Tables(spark, sf_dir), "user_id").withColumns({
+        "latency_ms": ((F.col("event_id") * 37 + F.col("user_id") * 101) % 3000).cast("double"),
+        "memory_mb": (256 + (F.col("event_id") * 13 + F.col("user_id") * 7) % 768).cast("double")})
+    s = M.resource_series(calls, window_seconds=3600)
+    r = lambda c: F.round(c, 6).alias(c)
+    return s.select(M.ts_text(F.col("window_start")).alias("window_start"), "service_name", "requests", r("error_rate"), r("avg_latency_ms"), "max_latency_ms",
+                    r("avg_memory_mb"), "max_memory_mb")

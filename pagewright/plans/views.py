@@ -112,11 +112,12 @@ def metrics(t: Tables) -> DataFrame:
                     F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"))
 
 
-def calls(t: Tables) -> DataFrame:
+def calls(t: Tables, *more: str) -> DataFrame:
+    """``more``: columns of events to keep as they are."""
     e = t.events
     svc = F.element_at(F.array(*[F.lit(s) for s in SERVICES]), (F.col("user_id") % 5 + 1).cast("int"))
     err = F.col("event_type") == "error"
-    return e.select(F.col("event_id"), F.col("ts").cast("timestamp").alias("ts"),
+    return e.select(F.col("event_id"), *more, F.col("ts").cast("timestamp").alias("ts"),
                     _event_provider(F.col("user_id")).alias("provider"),
                     svc.alias("service_name"),
                     F.when(err, "ERROR").otherwise("INFO").alias("severity"),
