@@ -21,6 +21,7 @@ from . import views as V
 from .catalog import register
 
 SUSTAINED_WINDOWS = 2
+STATE_PARTITIONS = 4  # a few labels and months, and the windows that are still open
 BUDGET = 10000.0
 RULES = (0.8, 0.9, 1.0)
 
@@ -57,7 +58,7 @@ SELECT service_name, state, strftime(first_window, '%Y-%m-%d %H:%M:%S.%f') AS fi
 def q_alert_transitions(spark, sf_dir):
     out = _folder(spark, "alerts")
     calls = V.calls(_Streamed(_stream(spark, sf_dir)))
-    AL.run_batches(AL.sustained_alerts(calls, SUSTAINED_WINDOWS, threshold_per_second=0.0), AL.batch_folder_sink(f"{out}/changes"), f"{out}/state")
+    AL.run_batches(AL.sustained_alerts(calls, SUSTAINED_WINDOWS, threshold_per_second=0.0), AL.batch_folder_sink(f"{out}/changes"), f"{out}/state", state_partitions=STATE_PARTITIONS)
     changes = spark.read.schema(AL.TRANSITIONS).parquet(f"{out}/changes")
     return changes.select("service_name", "state", M.ts_text(F.col("first_window")).alias("first_window"), M.ts_text(F.col("last_window")).alias("last_window"), "windows")
 
@@ -83,6 +84,6 @@ def q_budget_crossing_events(spark, sf_dir):
         return events.select("event_id", moved.alias("ts"), F.col("value").alias("cost"))
 
     sink = AL.crossing_sink(f"{out}/crossings", lambda: costs(Tables(spark, sf_dir).events), rules)
-    AL.run_batches(AL.hours_to_open(costs(_stream(spark, sf_dir)), rules), sink, f"{out}/state")
+    AL.run_batches(AL.hours_to_open(costs(_stream(spark, sf_dir)), rules), sink, f"{out}/state", state_partitions=STATE_PARTITIONS)
     found = AL.crossings(spark, f"{out}/crossings")
     return found.select("month", "threshold", "event_id", M.ts_text(F.col("crossed_at")).alias("crossed_at"), F.round("month_to_date", 4).alias("month_to_date"))

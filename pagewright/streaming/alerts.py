@@ -227,9 +227,18 @@ def batch_folder_sink(path: str) -> Callable[[DataFrame, int], None]:
     return lambda rows, batch_id: rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
 
-def run_batches(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, timeout_s: int = 3600) -> None:
-    """Run a stream over everything present, then stop; resumes from ``checkpoint``."""
-    q = df.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(sink).trigger(availableNow=True).start()
+def run_batches(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, timeout_s: int = 3600, state_partitions: int | None = None) -> None:
+    """Run a stream over everything present, then stop; resumes from ``checkpoint``.
+    ``state_partitions``: of the state, fixed by the first run; sums reach it
+    combined, one row per task, window and label, so it need not grow with the rows."""
+    conf, name = df.sparkSession.conf, "spark.sql.shuffle.partitions"
+    usual = conf.get(name)
+    try:
+        if state_partitions:
+            conf.set(name, str(state_partitions))
+        q = df.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(sink).trigger(availableNow=True).start()
+    finally:
+        conf.set(name, usual)
     q.awaitTermination(timeout_s)
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
