@@ -98,8 +98,8 @@ def test_stages_on_odd_and_empty_tables(spark):
 
 def test_registered_queries():
     names = [n for n in queries() if re.match(r"op\d+_", n)]
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 11)) and "pipeline" in queries()
-    assert {"op2_prefix_target_chat", "op4_minhash_near_dedup", "op6_line_first_rules"} <= set(oracle_sql())
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 14)) and "pipeline" in queries()
+    assert {"op2_prefix_target_chat", "op4_minhash_near_dedup", "op6_line_first_rules", "op11_orchard_clusters", "op12_skip_list_infill"} <= set(oracle_sql())
 
 
 @pytest.mark.parametrize("name", ["op2_prefix_target_chat", "op4_minhash_near_dedup", "op6_line_first_rules"])
