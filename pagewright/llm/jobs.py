@@ -4,6 +4,7 @@ grouped iteration over sorted partitions, connected components."""
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from ..session import configure, read_table, reliable_checkpoint
 
 BUCKETS = 1 << 18
+PAUSE = 1.0  # seconds that the events of a finished plan take at most, usually
 _MARK = "__bucket"  # a name that no column of a table has
 
 __all__ = ["parted", "without", "cut", "sweep", "groups_of", "components", "text_table", "prepare", "partitions"]
@@ -26,13 +28,16 @@ def cut(df: DataFrame) -> DataFrame:
 def sweep(spark: SparkSession, *done: DataFrame) -> None:
     """Give disk back in the middle of a long job: the checkpoints ``done``,
     which nothing reads any more, are deleted, and the shuffle files of finished
-    plans go as soon as the driver has collected their handles."""
+    plans go as soon as the driver has collected their handles.  A plan is still
+    held by the events of its end for a moment, hence the pause: collected too
+    early it would only grow old and stay."""
     for df in done:
         path = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
         if path.isDefined():
             folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path.get())
             folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
     gc.collect()
+    time.sleep(PAUSE)
     spark.sparkContext._jvm.System.gc()
 
 
