@@ -23,9 +23,9 @@
    words agree, over small insertions and deletions; between seeds by the
    longest common subsequence of the gap.  A passage has ``MIN_WORDS`` words,
    ``SIMILARITY`` of which agree; a chain below that is cut at its worst gap.
-5. With at most four documents of equal left side a seed meets all of them.
-   Where all seeds of a place have more, and some word of it is in no passage
-   yet, every window of ``MIN_WORDS`` words is hashed, there and at all other
+5. With at most four documents of equal left side, each of which has it once,
+   a seed meets all of them.  Where all seeds of a place have more, and some
+   word of it is in no passage yet, every window of ``MIN_WORDS`` words is hashed, there and at all other
    places of these seeds.  Each window has its own owner; windows that follow
    one another on one diagonal are one passage.  So every run of ``MIN_WORDS``
    equal words is reported.
@@ -119,9 +119,10 @@ _BITS = np.array([bin(i).count("1") for i in range(1 << SIDE)], np.int8)
 
 def _ranked(key: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, ...]:
     """(order, group's first document row, document's first row, rank of the
-    document in its group, documents of the group) of the rows in that order."""
+    document in its group, documents of the group, whether one of them has
+    several places in it, whether its first one has) of the rows in that order."""
     order = np.lexsort((pos, doc, key))
-    k, d = key[order], doc[order]
+    k, d, p = key[order], doc[order], pos[order]
     new_group = np.concatenate([[True], k[1:] != k[:-1]])
     new_doc = new_group | np.concatenate([[True], d[1:] != d[:-1]])
     group = np.cumsum(new_group) - 1
@@ -129,7 +130,10 @@ def _ranked(key: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarr
     first_of_doc = np.flatnonzero(new_doc)
     first_doc = document[np.flatnonzero(new_group)]  # number of each group's first document
     docs_in = np.diff(np.append(first_doc, len(first_of_doc)))
-    return order, first_doc[group], first_of_doc, document - first_doc[group], docs_in[group]
+    again = np.concatenate([[False], p[1:] != p[:-1]]) & ~new_doc
+    rank = document - first_doc[group]
+    several, first_several = (np.bincount(group[x], minlength=len(docs_in)) > 0 for x in (again, again & (rank == 0)))
+    return order, first_doc[group], first_of_doc, rank, docs_in[group], several[group], first_several[group]
 
 
 def _groupings(h: np.ndarray, sides: np.ndarray) -> list[np.ndarray]:
@@ -153,18 +157,24 @@ _MATCH = ["g", "doc_id", "pos", "owner", "owner_pos", "lead"]
 
 def _matched(h: np.ndarray, sides: np.ndarray, doc: np.ndarray, pos: np.ndarray, local: bool) -> tuple[list[np.ndarray], np.ndarray]:
     """(columns of _MATCH, mask of rows to send on).  ``local``: rows of the first
-    SENT documents of a group are sent on instead of matched."""
+    SENT documents of a group are sent on instead of matched.  An occurrence is
+    matched with a partner's first place in the group; of a group in which a
+    document has several places all occurrences are leads, those of its first
+    document too (as rows whose owner is the document itself)."""
     at = pos & ~_MORE
     send, ranked = np.zeros(len(h), bool), []
     for n, key in enumerate(_groupings(h, sides)):
         ranked.append(_ranked(key, doc, at))
-        order, _, _, rank, many = ranked[-1]
+        order, _, _, rank, many, _, _ = ranked[-1]
         if local:
             send[order[rank < SENT]] = True
             if n == 0:  # the mark tells the others that the group is larger than what is sent
                 pos[order[(rank == SENT - 1) & (many > SENT)]] |= _MORE
     found = []
-    for n, (order, first_doc, first_of_doc, rank, many) in enumerate(ranked):
+    for n, (order, first_doc, first_of_doc, rank, many, several, first_several) in enumerate(ranked):
+        if n == 0 and not local:
+            itself = order[(rank == 0) & (many > 1) & first_several]
+            found.append((itself, itself, np.ones(len(itself), bool)))
         own = np.flatnonzero(rank > 0)
         if local:
             own = own[~send[order[own]]]
@@ -175,7 +185,7 @@ def _matched(h: np.ndarray, sides: np.ndarray, doc: np.ndarray, pos: np.ndarray,
             marked = np.flatnonzero(pos[order] & _MORE)
             more = np.zeros(int(first_doc.max()) + 1, bool)
             more[first_doc[marked]] = True
-            big = (many > SENT + 1) | more[first_doc] | local
+            big = (many > SENT + 1) | several | more[first_doc] | local
         document = first_doc[own] + rank[own]
         for step, partner in enumerate((first_doc[own], first_doc[own] + np.minimum(1, rank[own] - 1), document - 1)):
             new = np.ones(len(own), bool) if step == 0 else rank[own] >= (2 if step == 1 else 3)
@@ -187,10 +197,10 @@ def _matched(h: np.ndarray, sides: np.ndarray, doc: np.ndarray, pos: np.ndarray,
         none = np.zeros(0, np.int64)
         return [none, none, none, none, none, np.zeros(0, bool)], send
     a, b, lead = (np.concatenate(x) for x in zip(*found, strict=True))
-    by = np.lexsort((~lead, doc[b], at[a], doc[a]))
+    by = np.lexsort((~lead, at[b], doc[b], at[a], doc[a]))
     a, b, lead = a[by], b[by], lead[by]
-    new = np.ones(len(a), bool)  # the same partner by several groupings: once
-    new[1:] = (doc[a][1:] != doc[a][:-1]) | (at[a][1:] != at[a][:-1]) | (doc[b][1:] != doc[b][:-1])
+    new = np.ones(len(a), bool)  # the same place of a partner by several groupings: once
+    new[1:] = (doc[a][1:] != doc[a][:-1]) | (at[a][1:] != at[a][:-1]) | (doc[b][1:] != doc[b][:-1]) | (at[b][1:] != at[b][:-1])
     a, b, lead = a[new], b[new], lead[new]
     g = _groupings(h[a], sides[a])[0].view(np.int64)
     return [g, doc[a], at[a], doc[b], at[b], lead], send
@@ -203,7 +213,8 @@ def _arrays(table: pa.Table, names) -> list[np.ndarray]:
 def matches(docs: DataFrame) -> DataFrame:
     """(g, doc_id, pos, owner, owner_pos, lead): seeds of documents and where a
     smaller doc_id has the same.  ``lead`` marks one row of each occurrence in a
-    group ``g`` (k-mer and left side) of which not all documents were met."""
+    group ``g`` (k-mer and left side) of which not all places were met; of the
+    group's first document it has the owner doc_id itself."""
     sent = "h long, sides int, doc_id long, pos int, owner long, owner_pos int, lead boolean"
     names = ["h", "sides", "doc_id", "pos", "owner", "owner_pos", "lead"]
 
@@ -425,7 +436,7 @@ def _beside_words(rows: DataFrame, key: str, arrays: DataFrame, fn, schema: str)
                 yield from fn(beside, batch.filter(pa.array(kind == 1)))
 
     both = mine.unionByName(texts)
-    return both.repartition("__key", "__part").sortWithinPartitions("__key", "__part", "__kind", F.length("__words")).mapInArrow(run, schema)
+    return both.repartition("__key", "__part").sortWithinPartitions("__key", "__part", "__kind", F.length("__words"), "doc_id", "owner").mapInArrow(run, schema)
 
 
 def _common(x: np.ndarray, y: np.ndarray) -> int:
@@ -524,7 +535,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def _chain_passages(docs: DataFrame, found: DataFrame) -> DataFrame:
     """The passages of the chains, as ``passages`` has them."""
-    found = cut(chained(found.select("doc_id", "owner", "pos", "owner_pos")))
+    found = cut(chained(found.filter("doc_id <> owner").select("doc_id", "owner", "pos", "owner_pos")))
     ids = found.select("doc_id").unionByName(found.select(F.col("owner").alias("doc_id")))
     arrays = _word_arrays(docs, ids)
 
@@ -542,8 +553,8 @@ def _chain_passages(docs: DataFrame, found: DataFrame) -> DataFrame:
             y_at = max(lo - REACH, 0)
             for a, a2, b, b2, agree in passages_of(np.frombuffer(x, np.uint16), at, w[y_at:hi + REACH], y_at, cells):
                 rows.append((d, a, a2, o, b, b2, round(agree / max(a2 - a, b2 - b), 6)))
-        if rows:
-            yield _batch(rows)
+        if rows:  # far seeds of one pair lead to the same passage
+            yield _outermost(_batch(rows), ["doc_id", "owner_id"])
 
     spans = _beside_words(found, "doc_id", arrays, mine, "doc_id long, owner long, pos int, owner_pos int, owner_stop int, anchors array<int>, x_at int, x binary")
     return _beside_words(spans, "owner", arrays, theirs, _PASSAGE)
@@ -663,21 +674,26 @@ def _equal_runs(docs: DataFrame, shared: DataFrame, done: DataFrame) -> DataFram
     return rows.repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(run, _PASSAGE)
 
 
+def _outermost(table, by: list[str]):
+    """The rows without passages that stand inside another one of equal ``by``."""
+    start, end = _arrays(table, ["start_word", "end_word"])
+    similarity, owner = _arrays(table, ["similarity", "owner_id"])
+    keys = _arrays(table, by)
+    order = np.lexsort((owner, -similarity, -end, start, *keys[::-1]))
+    e = end[order]
+    new = np.concatenate([[True], np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)])
+    # the largest end before each row of its group: ends lifted per group
+    lifted = e + (np.cumsum(new) - 1) * (int(e.max()) + 1)
+    before = np.concatenate([[-1], np.maximum.accumulate(lifted)[:-1]])
+    return table.take(pa.array(np.sort(order[new | (lifted > before)])))
+
+
 def _widest(found: DataFrame) -> DataFrame:
     """Without passages that stand inside another one of their document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups_of(batches, ["doc_id"]):
-            doc, start, end = _arrays(table, ["doc_id", "start_word", "end_word"])
-            similarity, owner = _arrays(table, ["similarity", "owner_id"])
-            by = np.lexsort((owner, -similarity, -end, start, doc))
-            d, e = doc[by], end[by]
-            new = np.concatenate([[True], d[1:] != d[:-1]])
-            # the largest end before each row of its document: ends lifted per document
-            lifted = e + (np.cumsum(new) - 1) * (int(e.max()) + 1)
-            before = np.concatenate([[-1], np.maximum.accumulate(lifted)[:-1]])
-            keep = new | (lifted > before)
-            yield from table.take(pa.array(np.sort(by[keep]))).to_batches()
+            yield from _outermost(table, ["doc_id"]).to_batches()
 
     return found.repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(run, _PASSAGE)
 

@@ -170,3 +170,38 @@ def test_very_long_and_odd_texts(spark):
     got = {(r.doc_id, r.owner_id): (r.start_word, r.end_word, r.owner_start) for r in substring.passages(df).collect()}
     assert got[5, 1] == (0, 20000, 0) and set(got) <= {(5, 1), (2, 1)}
     assert substring.passages(df.filter("doc_id = 4")).count() == 0
+
+
+def test_an_equal_run_at_a_later_place_of_its_owner_is_found(spark):
+    """The owner has 45 words of a passage of 50, and further on all of it:
+    seeds of equal left side meet its first place only."""
+    rng = np.random.default_rng(31)
+    rows, wanted = [], []
+    for case in range(40):
+        p = fill(rng, 50)
+        rows += [(2 * case, fill(rng, 20) + p[:45] + fill(rng, 30) + p + fill(rng, 20)), (2 * case + 1, fill(rng, 25) + p + fill(rng, 25))]
+        wanted.append(2 * case + 1)
+    found = covered(spark, rows)
+    missed = [d for d in wanted if not set(range(25, 75)) <= found.get(d, set())]
+    assert not missed
+
+
+def test_an_equal_run_at_a_late_place_among_several_is_found(spark):
+    """Five fragments of a passage stand in the owner before all of it."""
+    rng = np.random.default_rng(32)
+    rows, wanted = [], []
+    for case in range(20):
+        p = fill(rng, 54)
+        parts = [w for lo, hi in ((0, 45), (9, 54), (4, 50), (5, 49), (2, 47)) for w in p[lo:hi] + fill(rng, 20)]
+        rows += [(2 * case, parts + p + fill(rng, 20)), (2 * case + 1, fill(rng, 25) + p + fill(rng, 25))]
+        wanted.append(2 * case + 1)
+    found = covered(spark, rows)
+    missed = [d for d in wanted if not set(range(25, 79)) <= found.get(d, set())]
+    assert not missed
+
+
+def test_passages_of_one_pair_inside_another_leave_once(spark):
+    """Rows of the same pair inside another one go before they travel; those of other pairs stay."""
+    rows = [(7, 0, 100, 1, 0, 100, 0.9), (7, 10, 90, 1, 10, 90, 1.0), (7, 10, 90, 2, 10, 90, 1.0), (8, 10, 90, 1, 10, 90, 1.0), (7, 0, 100, 1, 0, 100, 0.9)]
+    got = substring._outermost(substring._batch(rows), ["doc_id", "owner_id"]).to_pylist()
+    assert [(r["doc_id"], r["owner_id"], r["start_word"], r["end_word"]) for r in got] == [(7, 1, 0, 100), (7, 2, 10, 90), (8, 1, 10, 90)]
