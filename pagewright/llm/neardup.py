@@ -214,8 +214,11 @@ def _prefixes(lists: DataFrame, labels: DataFrame, sketched: DataFrame, docs: Da
     marked = (_entries(lists).join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left")
               .withColumn("component", F.coalesce("component", "rep")))
     mixed = marked.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("v")
-    members = cut(_may_link(marked.join(mixed, "v").select("rep", "component").distinct(), sketched, num, den)).withColumnRenamed("rep", "doc_id")
+    able = cut(_may_link(marked.join(mixed, "v").select("rep", "component").distinct(), sketched, num, den))
+    members = able.withColumnRenamed("rep", "doc_id")
     texts = cut(parted(docs.select("doc_id", "text"), members.select("doc_id"), "doc_id")[0].join(members.select("doc_id", "component"), "doc_id"))
+    del marked, mixed
+    sweep(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,9 +237,12 @@ def _prefixes(lists: DataFrame, labels: DataFrame, sketched: DataFrame, docs: Da
     ordered = (full.select("rep", "v").join(counting, "v").groupBy("rep")
                .agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("values"))  # at most the doc's own shingles
                .join(members.withColumnRenamed("doc_id", "rep"), "rep").filter(F.size("values") >= need))
-    return cut(ordered.select("rep", "component", "n", F.size("values").cast("long").alias("c"),
+    found = cut(ordered.select("rep", "component", "n", F.size("values").cast("long").alias("c"),
                               F.posexplode(F.expr(f"slice(values, 1, size(values) - cast(ceil(n * {num} / {den}) as int) + 1)")).alias("p", "s"))
                .select("rep", "component", "n", "c", (F.col("c") - F.col("p")).alias("left"), F.col("s.v").alias("v")))
+    del full, counting, ordered
+    sweep(docs.sparkSession, able, texts)
+    return found
 
 
 def _suffice(x: str, y: str, num: int, den: int):
@@ -272,6 +278,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
             .select(F.col("doc_id").alias("rep"), "n", "low", "sketch").dropDuplicates(["rep", "n"]))
     lists = cut(_lists(reps, num, den))
     sketched = cut(reps.select("rep", "n", "sketch").join(lists.select("rep").distinct(), "rep", "left_semi"))
+    sweep(docs.sparkSession)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         likely = cut(_estimated(pairs, sketched, num, den))
@@ -281,13 +288,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
 
     links = confirmed(_star_pairs(_entries(lists), num, den))
     labels = components(links)
-    prefix = _prefixes(lists, labels, sketched, docs, shingle, num, den)
     sweep(docs.sparkSession)
+    prefix = _prefixes(lists, labels, sketched, docs, shingle, num, den)
     for pairs in (lambda: _central_pairs(prefix, num, den), lambda: _open_pairs(prefix, labels, num, den)):
         more = confirmed(pairs())
         if not more.isEmpty():
             links = links.unionByName(more)
             labels = components(links)
+            sweep(docs.sparkSession)
     labels = labels.select(F.col("id").alias("rep"), "component")
     named = classes.join(labels, "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
     return (sig.select("doc_id", F.col("n").alias("n_shingles"), "d1", "d2").join(named, ["d1", "d2"], "left")

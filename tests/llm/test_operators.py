@@ -531,3 +531,16 @@ def test_pages_cases(spark):
     got = sorted((r.page_id, r.text, r.n_chars) for r in pages.extract(df).collect())
     assert got == [(1, "", 0), (2, "x", 1), (2, "x", 1), (3, "", 0)]
     assert pages.extract(df.filter("page_id < 0")).count() == 0
+
+
+def test_near_dedup_gives_the_full_sets_back_before_the_pairs(spark, monkeypatch):
+    """The texts and members of the prefix filter are deleted where it ends, and
+    the sketches' shuffles are swept before the first pairs."""
+    from pagewright.llm import neardup
+
+    jobs.prepare(spark)
+    swept = []
+    monkeypatch.setattr(neardup, "sweep", lambda spark, *done: swept.append(len(done)))
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(60) if j != i)) for i in range(6)], "doc_id long, text string")
+    assert {r.component_id for r in neardup.near_duplicates(docs, 3, 85, 100).collect()} == {0}
+    assert swept[0] == 0 and 2 in swept
