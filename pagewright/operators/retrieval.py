@@ -90,18 +90,16 @@ def hashed_embeddings(df: DataFrame, key: str, text: str, dim: int = 64) -> Data
     """Signed hashed bag of words, L2-normalised, as ``array<double>``.
 
     bucket = first 32 bits of md5(token) mod dim; sign from the next hex
-    digit.  Counted per (key, token) first, then per (key, bucket): both
-    aggregations combine map-side, so a huge text costs at most ``dim`` rows
-    per key after the second step; the last step gathers those ``dim``
-    values (never the text) into one vector.
+    digit.  Counted per (key, bucket) straight from the tokens: the aggregation
+    combines map-side, so a text of any size costs at most ``dim`` small rows in
+    the only shuffle; the last step gathers those ``dim`` values (never the
+    text) into one vector.
     """
-    t = df.select(key, text).select(F.col(key).alias("_k"), F.explode(tokens(F.col(text))).alias("_t"))
-    c = (t.groupBy("_k", "_t").agg(F.count(F.lit(1)).alias("_n"))
-         .select("_k", "_n", F.md5(F.col("_t")).alias("_h")))  # one digest per (text, token)
+    t = df.select(F.col(key).alias("_k"), F.explode(tokens(F.col(text))).alias("_t")).select("_k", F.md5(F.col("_t")).alias("_h"))
     h = F.col("_h")
     bucket = (F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint") % F.lit(dim)).cast("int")
     sign = F.when(F.substring(h, 9, 1) < F.lit("8"), F.lit(1)).otherwise(F.lit(-1))
-    bk = c.groupBy("_k", bucket.alias("_b")).agg(F.sum(sign * F.col("_n")).cast("double").alias("_v"))
+    bk = t.groupBy("_k", bucket.alias("_b")).agg(F.sum(sign).cast("double").alias("_v"))
     m = bk.groupBy("_k").agg(F.map_from_entries(F.collect_list(F.struct("_b", "_v"))).alias("_m"),
                              F.sqrt(F.sum(F.col("_v") * F.col("_v"))).alias("_norm"))
     vec = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),

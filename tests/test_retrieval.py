@@ -82,3 +82,17 @@ def test_positions_and_running_sum(spark):
     assert pos == {k: k for k in range(1000)}
     rs = {r["k"]: r["running"] for r in running_sum(df, ["k"], "v").collect()}
     assert rs[0] == 1.5 and rs[999] == pytest.approx(1500.0)
+
+
+def test_hashed_embeddings_shuffle_no_tokens(spark):
+    """Tokens are counted into their buckets where they are: one exchange, of (key, bucket)."""
+    import re
+
+    from pagewright.operators import retrieval as RT
+
+    docs = spark.createDataFrame([(1, "a b a c"), (1, "c d"), (2, ""), (3, None)], "id long, text string")
+    made = RT.hashed_embeddings(docs, "id", "text", 8)
+    plan = made._jdf.queryExecution().sparkPlan().toString() + made._jdf.queryExecution().executedPlan().toString()
+    assert "_t" not in " ".join(re.findall(r"hashpartitioning\(([^)]*)\)", plan))
+    (row,) = made.collect()
+    assert row.id == 1 and abs(sum(x * x for x in row.embedding) - 1) < 1e-9
