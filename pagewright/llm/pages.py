@@ -6,8 +6,16 @@ by a hash, so a host with a third of all pages is many small groups.  In a
 chunk the token streams of all pages (a mark per block, then its words) are
 concatenated and their suffixes sorted by prefix doubling; neighbours in that
 order give the longest repeated runs.  Runs of ``RUN`` tokens or more that
-occur on enough distinct pages are template text, and blocks they cover by
-``COVERED`` percent are boilerplate.
+occur on enough distinct pages of the host are template text, and blocks they
+cover by ``COVERED`` percent are boilerplate.
+
+A host of several chunks is counted as a whole in three passes over its chunks:
+1. each chunk names the runs that half of ``FEW`` percent of its pages have; a
+   run that could reach ``FEW`` percent of the host's pages, were it just under
+   that bound in all other chunks, is a candidate, so none is lost, and a host
+   has no more of them than some 20 of its pages have runs;
+2. each chunk counts the pages of every candidate, and the sums are exact;
+3. the blocks are covered by the runs that are frequent on the host.
 
 What is kept, in page order:
 * blocks outside markup that says it is no article (nav, header, footer, aside,
@@ -15,9 +23,9 @@ What is kept, in page order:
   article stays if it has a heading, and an article element named as a teaser or
   a comment is no article);
 * if the page has an article or main element, only blocks inside it, except
-  those covered by runs that ``MOST`` percent of a chunk of ``SURE`` pages have
+  those covered by runs that ``MOST`` percent of a host of ``SURE`` pages have
   (an article that was copied to some pages is no template);
-* else blocks that are not covered by runs of ``FEW`` percent of the chunk's
+* else blocks that are not covered by runs of ``FEW`` percent of the host's
   pages, two pages at least.
 
 Defined cases: null html gives an empty text; truncated pages and unclosed
@@ -30,6 +38,10 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections.abc import Iterator
+from functools import lru_cache
+from hashlib import blake2b
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -185,6 +197,12 @@ def suffix_array(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, common
 
 
+def _distinct(of: np.ndarray, page: np.ndarray, n: int) -> np.ndarray:
+    """Distinct pages of each of the groups 0 .. n-1."""
+    pages = int(page.max(initial=0)) + 1
+    return np.bincount(np.unique(of * np.int64(pages) + page) // pages, minlength=n)
+
+
 def repeated(tokens: np.ndarray, page: np.ndarray) -> np.ndarray:
     """For every token, on how many distinct pages the most common repeated run
     that covers it occurs (0: no run of RUN tokens is on two pages)."""
@@ -198,9 +216,7 @@ def repeated(tokens: np.ndarray, page: np.ndarray) -> np.ndarray:
     near = np.flatnonzero((np.bincount(group) > 1)[group])  # places in groups of two suffixes or more
     if not len(near):
         return out
-    pages = int(page.max()) + 1
-    pairs = np.unique(group[near] * np.int64(pages) + page[order[near]])
-    distinct = np.bincount(pairs // pages, minlength=int(group[-1]) + 1)[group[near]]
+    distinct = _distinct(group[near], page[order[near]], int(group[-1]) + 1)[group[near]]
     hit = distinct > 1
     at, on = order[near[hit]], distinct[hit]
     for j in range(RUN):  # longer runs are covered by the runs that start inside them
@@ -208,39 +224,196 @@ def repeated(tokens: np.ndarray, page: np.ndarray) -> np.ndarray:
     return out
 
 
+@lru_cache(1 << 14)
+def _mark_hash(mark: str) -> int:
+    return int.from_bytes(blake2b(mark.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+
+
+def packed(page: str | None) -> tuple[str, list[int], bytes, bool]:
+    """(texts of the blocks by line, hashes of their marks, 1 for away plus 2
+    for in main by block, whether the page has a main element)."""
+    found, has_main = blocks(page or "")
+    return ("\n".join(text for _, text, _, _ in found), [_mark_hash(mark) for mark, _, _, _ in found],
+            bytes(away + 2 * in_main for _, _, away, in_main in found), has_main)
+
+
+class Stream:
+    """The tokens of the pages of a chunk one after the other: of each block the
+    hash of its mark and those of its words, and an end of its own per page.
+    ``same_page`` numbers equal pages alike."""
+
+    def __init__(self, texts: list[str], marks: list[list[int]], same_page: list[int]):
+        self.lines = [text.split("\n") if own else [] for text, own in zip(texts, marks, strict=True)]
+        words = np.concatenate([np.zeros(0, np.uint64), *(w.hashes for w in W.words_of(pa.array(texts, pa.large_string()), lower=False))])
+        size = np.array([text.count(" ") + 1 for own in self.lines for text in own], np.int64)  # words of each block
+        held = np.array([len(own) for own in marks], np.int64)  # blocks of each page
+        of_page = np.repeat(np.arange(len(held)), held)
+        before = np.cumsum(size) - size
+        self.start = before + np.arange(len(size)) + of_page
+        self.stop = self.start + size + 1
+        tokens = np.bincount(of_page, size + 1, len(held)).astype(np.int64) + 1
+        end = np.cumsum(tokens) - 1
+        self.tokens = np.empty(int(tokens.sum()), np.int64)
+        self.tokens[self.start] = np.fromiter(chain.from_iterable(marks), np.int64, len(size))
+        self.tokens[np.repeat(self.start + 1 - before, size) + np.arange(len(words))] = words.view(np.int64)
+        self.tokens[end] = -1 - np.arange(len(held))
+        self.page = np.repeat(np.array(same_page, np.int64), tokens)
+        self.distinct = len(set(same_page))
+        ends = np.zeros(len(self.tokens) + 1, np.int64)
+        ends[end + 1] = 1
+        ends = np.cumsum(ends)
+        self.whole = np.flatnonzero(ends[RUN:] == ends[:-RUN])  # where a run of RUN tokens is inside its page
+
+    def runs(self) -> np.ndarray:
+        """Hashes of the runs of RUN tokens at ``whole``; they are the same in every chunk."""
+        return W.window_hashes(W.mix(self.tokens.view(np.uint64)), RUN)[self.whole].view(np.int64) if len(self.whole) else np.zeros(0, np.int64)
+
+    def common_runs(self) -> tuple[np.ndarray, np.ndarray]:
+        """(run, its distinct pages) of the runs of ``_least`` pages, by the order of the suffixes."""
+        if not len(self.whole):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        order, common = suffix_array(self.tokens)
+        start = common < RUN
+        group = np.cumsum(start) - 1
+        on = _distinct(group, self.page[order], int(group[-1]) + 1)
+        of = np.full(len(self.tokens), -1)  # the place of a run in ``runs``
+        of[self.whole] = np.arange(len(self.whole))
+        place = of[order[start]]
+        named = (place >= 0) & (on >= _least(self.distinct))
+        return self.runs()[place[named]], on[named]
+
+    def counts(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(run, its distinct pages here) of those ``wanted`` that are here."""
+        wanted = np.unique(wanted)
+        at, hit = _found(self.runs(), wanted)
+        on = _distinct(at[hit], self.page[self.whole[hit]], len(wanted))
+        return wanted[on > 0], on[on > 0]
+
+    def covered(self, run: np.ndarray, on: np.ndarray) -> np.ndarray:
+        """For every token, the largest ``on`` of the runs that cover it (0: none)."""
+        by = np.argsort(run)
+        at, hit = _found(self.runs(), run[by])
+        out, here = np.zeros(len(self.tokens), np.int64), np.zeros(len(self.tokens), np.int64)
+        here[self.whole[hit]] = on[by][at[hit]]
+        for j in range(min(RUN, len(out))):
+            np.maximum(out[j:], here[:len(out) - j], out=out[j:])
+        return out
+
+    def main_texts(self, on_pages: np.ndarray, kinds: list[bytes], has_main: list[bool], distinct: int) -> list[str]:
+        """Main texts of the pages, on a host with ``distinct`` pages."""
+        few, most = max(2, -(-distinct * FEW // 100)), max(2, -(-distinct * MOST // 100))
+        sums = {level: np.concatenate([[0], np.cumsum(on_pages >= level)]) for level in (few, most)}
+        covered = {level: (100 * (x[self.stop] - x[self.start]) >= COVERED * (self.stop - self.start)).tolist() for level, x in sums.items()}
+        out, b = [], 0
+        for lines, kind, main in zip(self.lines, kinds, has_main, strict=True):
+            kept = []
+            level = most if main else few
+            checked = distinct >= SURE if main else True
+            for text, k in zip(lines, kind, strict=True):
+                if not (k & 1 or (main and not k & 2) or (checked and covered[level][b])):
+                    kept.append(text)
+                b += 1
+            out.append("\n\n".join(kept))
+        return out
+
+
+def _found(runs: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of each run in the sorted ``known``, whether it is there)."""
+    if not len(known):
+        return np.zeros(len(runs), np.int64), np.zeros(len(runs), bool)
+    at = np.minimum(np.searchsorted(known, runs), len(known) - 1)
+    return at, known[at] == runs
+
+
+def _least(distinct: int) -> int:
+    """Pages of a chunk of ``distinct`` pages that a run must have to be named."""
+    return max(1, distinct * FEW // 200)
+
+
+def _same_pages(table: pa.Table) -> list[int]:
+    number: dict[tuple, int] = {}
+    return [number.setdefault(key, len(number)) for key in zip(table.column("page_id").to_pylist(), table.column("url").to_pylist(), strict=True)]
+
+
 def main_texts(pages: list[str | None], same_page: list[int]) -> list[str]:
-    """Main texts of the pages of a chunk; ``same_page`` numbers equal pages alike."""
-    parsed = [blocks(p or "") for p in pages]
-    stream: list[int] = []  # hashes of this process: they are compared in this chunk only
-    owner, edges = [], []
-    for i, (found, _) in enumerate(parsed):
-        spans, before = [], len(stream)
-        for mark, text, _, _ in found:
-            a = len(stream)
-            stream.append(hash(mark))
-            stream.extend(map(hash, text.split(" ")))
-            spans.append((a, len(stream)))
-        stream.append(-1 - i)
-        owner.append((same_page[i], len(stream) - before))
-        edges.append(spans)
-    page, size = np.array(owner, np.int64).reshape(-1, 2).T
-    on_pages = repeated(np.array(stream, np.int64), np.repeat(page, size))
-    distinct = len(set(same_page))
-    few, most = max(2, -(-distinct * FEW // 100)), max(2, -(-distinct * MOST // 100))
-    sums = {level: np.concatenate([[0], np.cumsum(on_pages >= level)]).tolist() for level in (few, most)}
-    out = []
-    for (found, has_main), spans in zip(parsed, edges, strict=True):
-        kept = []
-        level = most if has_main else few
-        checked = distinct >= SURE if has_main else True
-        for (_, text, away, in_main), (a, b) in zip(found, spans, strict=True):
-            if away or (has_main and not in_main):
-                continue
-            if checked and 100 * (sums[level][b] - sums[level][a]) >= COVERED * (b - a):
-                continue
-            kept.append(text)
-        out.append("\n\n".join(kept))
-    return out
+    """Main texts of the pages of a host; ``same_page`` numbers equal pages alike."""
+    texts, marks, kinds, has_main = (list(x) for x in zip(*map(packed, pages), strict=True))
+    stream = Stream(texts, marks, same_page)
+    return stream.main_texts(repeated(stream.tokens, stream.page), kinds, has_main, stream.distinct)
+
+
+_OUT = "page_id long, url string, text string, n_chars long"
+
+
+def _rows(table: pa.Table, texts: list[str]) -> pa.Table:
+    return pa.table({"page_id": table.column("page_id").cast(pa.int64()), "url": table.column("url").cast(pa.string()), "text": pa.array(texts, pa.string()),
+                     "n_chars": pa.array([len(t) for t in texts], pa.int64())})
+
+
+def _of_small_hosts(dealt: DataFrame, tasks: int) -> DataFrame:
+    """Hosts of one chunk."""
+
+    def run(table: pa.Table) -> pa.Table:
+        return _rows(table, main_texts(table.column("html").to_pylist(), _same_pages(table)))
+
+    return dealt.select("host", "chunk", "page_id", "url", "html").repartition(tasks, "host", "chunk").groupBy("host", "chunk").applyInArrow(run, _OUT)
+
+
+def _of_large_hosts(dealt: DataFrame, tasks: int) -> DataFrame:
+    """Hosts of several chunks, with the host's ``chunks`` and distinct ``pages``
+    and ``slack``, the pages that a run may have in its chunks without being named."""
+    level = F.greatest(F.lit(2), F.ceil(F.col("pages") * FEW / 100)).cast("long")
+    dealt = dealt.select("host", "chunk", "page_id", "url", "chunks", "pages", level.alias("level"), "slack", "html")
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, marks, kinds, has_main = (list(x) for x in zip(*map(packed, batch.column("html").to_pylist()), strict=True)) if batch.num_rows else ([], [], [], [])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string()), pa.array(marks, pa.list_(pa.int64())), pa.array(kinds, pa.binary()),
+                                              pa.array(has_main, pa.bool_())], [*batch.schema.names[:-1], "texts", "marks", "kinds", "has_main"])
+
+    def stream(table: pa.Table) -> Stream:
+        return Stream(table.column("texts").to_pylist(), table.column("marks").to_pylist(), _same_pages(table))
+
+    def counted(table: pa.Table, run: np.ndarray, n: np.ndarray) -> pa.Table:
+        of_host = {c: pa.array([table.column(c)[0].as_py()] * len(run), t) for c, t in (("host", pa.string()), ("chunks", pa.int64()), ("level", pa.int64()), ("slack", pa.int64()))}
+        return pa.table(of_host | {"run": pa.array(run, pa.int64()), "n": pa.array(n, pa.int64())})
+
+    def name(table: pa.Table) -> pa.Table:
+        chunk = stream(table)
+        run, on = chunk.common_runs()
+        return counted(table, run, on - (_least(chunk.distinct) - 1))
+
+    def count(table: pa.Table, wanted: pa.Table) -> pa.Table:
+        if not table.num_rows or not wanted.num_rows:
+            return counted(wanted, *[np.zeros(0, np.int64)] * 2) if wanted.num_rows else counted(table, *[np.zeros(0, np.int64)] * 2)
+        return counted(table, *stream(table).counts(_flat(wanted, "runs")))
+
+    def texts(table: pa.Table, frequent: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return _rows(table, [])
+        chunk = stream(table)
+        on_pages = chunk.covered(_flat(frequent, "runs"), _flat(frequent, "ns"))
+        return _rows(table, chunk.main_texts(on_pages, table.column("kinds").to_pylist(), table.column("has_main").to_pylist(), table.column("pages")[0].as_py()))
+
+    def to_chunks(counts: DataFrame, enough) -> DataFrame:
+        """The runs of a host beside each of its chunks."""
+        rows = counts.groupBy("host", "chunks", "level", "slack", "run").agg(F.sum("n").alias("n")).filter(enough)
+        of_host = rows.groupBy("host", "chunks", "level", "slack").agg(F.collect_list(F.struct("run", "n")).alias("r"))  # of some 20 pages of a host at most
+        return of_host.select("host", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), "chunks", "level", "slack",
+                              F.col("r.run").alias("runs"), F.col("r.n").alias("ns"))
+
+    # one shuffle of the parsed pages, which all three passes read
+    parsed = dealt.mapInArrow(parse, "host string, chunk long, page_id {}, url string, chunks long, pages long, level long, slack long, texts string, marks array<long>, kinds binary, "
+                              "has_main boolean".format(dealt.schema["page_id"].dataType.simpleString())).repartition(tasks, "host", "chunk")
+    chunks = parsed.groupBy("host", "chunk")
+    run_counts = "host string, chunks long, level long, slack long, run long, n long"
+    named = to_chunks(chunks.applyInArrow(name, run_counts), F.col("n") + F.col("slack") >= F.col("level"))
+    frequent = to_chunks(chunks.cogroup(named.groupBy("host", "chunk")).applyInArrow(count, run_counts), F.col("n") >= F.col("level"))
+    return chunks.cogroup(frequent.groupBy("host", "chunk")).applyInArrow(texts, _OUT)
+
+
+def _flat(table: pa.Table, name: str) -> np.ndarray:
+    return np.array([v for row in table.column(name).to_pylist() for v in row], np.int64)
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -249,22 +422,18 @@ def extract(pages: DataFrame) -> DataFrame:
     rows = pages.select("page_id", "url", "html", host.alias("host"))
     sizes = rows.groupBy("host").agg(F.sum(F.coalesce(F.octet_length("html"), F.lit(0)).cast("long")).alias("bytes"))
     # pages are not shuffled to find their host's size while the hosts are few enough to send, which is checked
-    sizes = cut(sizes)
+    sizes = cut(sizes.withColumn("chunks", F.ceil((F.col("bytes") + 1) / F.lit(CHUNK_BYTES)).cast("long")))
     total = sizes.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     tasks = max(partitions(pages.sparkSession), -(-int(total) // TASK_BYTES))  # grows with the pages
-    sizes = F.broadcast(sizes) if sizes.limit(MOST_HOSTS + 1).count() <= MOST_HOSTS else sizes
-    dealt = (rows.join(sizes, "host")
-             .withColumn("chunk", F.pmod(F.xxhash64("page_id", "url"), F.ceil((F.col("bytes") + 1) / F.lit(CHUNK_BYTES)).cast("long"))))
-
-    def run(table: pa.Table) -> pa.Table:
-        html = table.column("html").to_pylist()
-        urls = table.column("url").to_pylist()
-        ids = table.column("page_id").to_pylist()
-        number: dict[tuple, int] = {}
-        same = [number.setdefault((ids[i], urls[i]), len(number)) for i in range(len(html))]
-        texts = main_texts(html, same)
-        return pa.table({"page_id": table.column("page_id").cast(pa.int64()), "url": table.column("url").cast(pa.string()), "text": pa.array(texts, pa.string()),
-                         "n_chars": pa.array([len(t) for t in texts], pa.int64())})
-
+    sent = F.broadcast if sizes.limit(MOST_HOSTS + 1).count() <= MOST_HOSTS else (lambda df: df)
+    chunk = F.pmod(F.xxhash64("page_id", "url"), "chunks")
     # dealt by both on purpose: a join by host would otherwise leave all chunks of a host in one task
-    return dealt.select("host", "chunk", "page_id", "url", "html").repartition(tasks, "host", "chunk").groupBy("host", "chunk").applyInArrow(run, "page_id long, url string, text string, n_chars long")
+    small = _of_small_hosts(rows.join(sent(sizes.filter("chunks = 1")), "host").withColumn("chunk", chunk), tasks)
+    large = sizes.filter("chunks > 1").drop("bytes")
+    if large.isEmpty():
+        return small
+    in_chunk = (rows.drop("html").join(sent(large), "host").withColumn("chunk", chunk).distinct()
+                .groupBy("host", "chunks", "chunk").agg(F.count(F.lit(1)).alias("n")))
+    least = F.greatest(F.lit(1), F.floor(F.col("n") * FEW / 200))  # _least
+    large = cut(in_chunk.groupBy("host", "chunks").agg(F.sum("n").alias("pages"), F.sum(least - 1).cast("long").alias("slack")))
+    return small.unionByName(_of_large_hosts(rows.join(sent(large), "host").withColumn("chunk", chunk), tasks))

@@ -497,6 +497,29 @@ def test_pages_without_an_article_lose_what_their_host_repeats():
     assert got[:9] == [f"Own text {i} with the words a{i} b{i} c{i} d{i} e{i} & f{i}" for i in range(9)] and got[9:] == ["", ""]
 
 
+def test_pages_of_a_host_of_several_chunks_are_counted_as_a_whole(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    said = [" ".join(f"n{k}w{j}" for j in range(12)) for k in range(6)]
+    rows = []
+    for i in range(90):
+        notices = [said[k] for k, share in enumerate((0.5, 0.3, 0.15, 0.11, 0.07, 0.02)) if rng.random() < share]
+        own = " ".join(f"o{i}w{j}" for j in range(int(rng.integers(8, 60))))
+        kind = "<article>{}</article>" if i % 3 == 0 else "<body>{}</body>"
+        always = "<p>a sentence that every page of this host repeats word by word</p>" if i % 10 else ""
+        rows.append((i, f"https://big.example.org/{i}", kind.format(f"<p>{own}</p>" + "".join(f"<div>{x}</div>" for x in notices) + always)))
+    rows += [rows[1], rows[2], (1, rows[1][1], f"<p>{said[5]}</p>"), (None, rows[3][1], rows[3][2]), (91, "https://big.example.org/empty", None), (92, "http://small.example.org/", rows[4][2])]
+    df = spark.createDataFrame(rows, "page_id int, url string, html string")
+
+    def texts():
+        return sorted(((r.page_id is None, r.page_id or 0, r.url, r.text, r.n_chars) for r in pages.extract(df).collect()))
+
+    whole = texts()
+    assert any(said[0] not in r[3] and said[5] in r[3] for r in whole) and not any("every page" in r[3] for r in whole if r[1] < 91)
+    for size in (6000, 1500, 300):  # chunks of many pages, some and about one
+        monkeypatch.setattr(pages, "CHUNK_BYTES", size)
+        assert texts() == whole
+
+
 def test_pages_markup_that_is_no_article():
     page = ("<article><header>h</header><h1>Title</h1><p>One<br>two &lt;b&gt;&nbsp;x<p>Three <script>var t='</p>';</script>four<div class='comments'>c</div>"
             "<div class=\"share-bar\">s</div><aside>a</aside><ul><li>i<li>j</ul><form>f</form></article><footer>z</footer><p>cut <a href='")
