@@ -69,6 +69,7 @@ CHUNK = 1 << 19      # seeds that a task matches by itself at a time
 HELD = 1 << 20
 SENT = 3             # documents of a group that a task sends on
 DEALT = 20000        # chains of one document that one task aligns
+BESIDE = 4096        # words of a document whose chains with one owner are aligned in one task
 _NEAR = 32           # words between seeds of one segment
 _MORE = 1 << 30      # mark in a position: the task had more documents of equal left side
 
@@ -414,7 +415,8 @@ def _beside_words(rows: DataFrame, key: str, arrays: DataFrame, fn, schema: str)
     many = (rows.groupBy(F.col(key).alias("doc_id")).agg(F.floor(F.count("*") / DEALT).cast("int").alias("__more")).filter("__more > 0"))  # at most 1 / DEALT of the rows
     many = F.broadcast(cut(many))
     kinds = [(f.name, f.dataType.simpleString()) for f in rows.schema]
-    spread = F.pmod(F.xxhash64("doc_id", "owner", "pos", "owner_pos"), F.coalesce("__more", F.lit(0)) + 1).cast("int")
+    near = F.floor(F.col("pos") / BESIDE)  # near chains of a pair stay together
+    spread = F.pmod(F.xxhash64("doc_id", "owner", near), F.coalesce("__more", F.lit(0)) + 1).cast("int")
     mine = (rows.withColumn("__key", F.col(key)).join(many.withColumnRenamed("doc_id", "__key"), "__key", "left")
             .select("__key", spread.alias("__part"), F.lit(1).alias("__kind"), F.lit(None).cast("binary").alias("__words"), *rows.columns))
     texts = (arrays.withColumnRenamed("doc_id", "__key").join(many.withColumnRenamed("doc_id", "__key"), "__key", "left")
@@ -554,7 +556,7 @@ def _chain_passages(docs: DataFrame, found: DataFrame) -> DataFrame:
             for a, a2, b, b2, agree in passages_of(np.frombuffer(x, np.uint16), at, w[y_at:hi + REACH], y_at, cells):
                 rows.append((d, a, a2, o, b, b2, round(agree / max(a2 - a, b2 - b), 6)))
         if rows:  # far seeds of one pair lead to the same passage
-            yield _outermost(_batch(rows), ["doc_id", "owner_id"])
+            yield _needed(_outermost(_batch(rows), ["doc_id", "owner_id"]))
 
     spans = _beside_words(found, "doc_id", arrays, mine, "doc_id long, owner long, pos int, owner_pos int, owner_stop int, anchors array<int>, x_at int, x binary")
     return _beside_words(spans, "owner", arrays, theirs, _PASSAGE)
@@ -688,6 +690,25 @@ def _outermost(table, by: list[str]):
     return table.take(pa.array(np.sort(order[new | (lifted > before)])))
 
 
+def _needed(table: pa.RecordBatch) -> pa.RecordBatch:
+    """The passages without those all of whose words, and all of whose owner's
+    words, are in passages of the same pair that stay: text of a short period
+    agrees with itself at every shift.  No word of either text loses its pair."""
+    columns = _arrays(table, ["doc_id", "owner_id", "start_word", "end_word", "owner_start", "owner_end"])
+    order = np.lexsort((columns[2], columns[1], columns[0]))
+    doc, owner, start, end, lo, hi = (c[order].tolist() for c in columns)
+    keep, p = np.ones(len(doc), bool), 0  # p: the one before that stays; what it and the next one cover stays covered
+    for i in range(1, len(doc) - 1):
+        n = i + 1
+        if (doc[p] == doc[n] and owner[p] == owner[n] and end[p] >= start[n] and end[i] <= max(end[p], end[n])
+                and min(lo[p], lo[n]) <= lo[i] and hi[i] <= max(hi[p], hi[n])
+                and (max(lo[p], lo[n]) <= min(hi[p], hi[n]) or lo[p] <= lo[i] and hi[i] <= hi[p] or lo[n] <= lo[i] and hi[i] <= hi[n])):
+            keep[order[i]] = False
+        else:
+            p = i
+    return table.filter(pa.array(keep))
+
+
 def _widest(found: DataFrame) -> DataFrame:
     """Without passages that stand inside another one of their document."""
 

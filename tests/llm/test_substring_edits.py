@@ -205,3 +205,29 @@ def test_passages_of_one_pair_inside_another_leave_once(spark):
     rows = [(7, 0, 100, 1, 0, 100, 0.9), (7, 10, 90, 1, 10, 90, 1.0), (7, 10, 90, 2, 10, 90, 1.0), (8, 10, 90, 1, 10, 90, 1.0), (7, 0, 100, 1, 0, 100, 0.9)]
     got = substring._outermost(substring._batch(rows), ["doc_id", "owner_id"]).to_pylist()
     assert [(r["doc_id"], r["owner_id"], r["start_word"], r["end_word"]) for r in got] == [(7, 1, 0, 100), (7, 2, 10, 90), (8, 1, 10, 90)]
+
+
+def test_text_of_a_short_period_gives_few_passages_of_all_its_words(spark):
+    rng = np.random.default_rng(21)
+    line = ["go", "on."] * 300
+    rows = [(1, fill(rng, 40) + line + fill(rng, 40)), (2, fill(rng, 61) + line + fill(rng, 40)), (3, fill(rng, 90) + line[:150])]
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")
+    found = substring._chain_passages(docs, substring.matches(docs)).collect()
+    for doc, owner, lo, hi in ((2, 1, 61, 661), (3, 1, 90, 240)):
+        mine = [r for r in found if (r.doc_id, r.owner_id) == (doc, owner)]
+        assert set(range(lo, hi)) <= {w for r in mine for w in range(r.start_word, r.end_word)}
+        assert len(mine) <= 2 * (hi - lo) // 50, len(mine)
+
+
+def test_needed_passages_keep_every_word_of_both_texts():
+    rng = np.random.default_rng(22)
+    rows = []
+    for _ in range(400):
+        a, b, n = (int(rng.integers(x, y)) for x, y in ((0, 300), (0, 60), (50, 130)))
+        rows.append((int(rng.integers(0, 9)), a, a + n, int(rng.integers(0, 3)), b, b + n, 1.0 - int(rng.integers(0, 3)) / 10))
+    whole = substring._batch(rows)
+    kept = substring._needed(whole).to_pylist()
+    words = lambda rs: {(side, r["doc_id"], r["owner_id"], w) for r in rs for side, lo, hi in ((0, "start_word", "end_word"), (1, "owner_start", "owner_end")) for w in range(r[lo], r[hi])}
+    assert words(kept) == words(whole.to_pylist()) and len(kept) < 350
+    apart = substring._batch([(1, 0, 100, 0, 0, 100, 1.0), (1, 50, 150, 0, 200, 300, 1.0), (1, 100, 200, 0, 400, 500, 1.0)])
+    assert substring._needed(apart).num_rows == 3  # its own words of the owner
