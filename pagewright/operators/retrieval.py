@@ -18,15 +18,18 @@ Scale notes
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import constants as K
-from ..session import reliable_checkpoint
+from ..session import checkpoint_dir, reliable_checkpoint
 
 RRF_K = 60
 BLOCK_BYTES = 64 << 20  # of texts or vectors of one side in a task
+SHARED_KEYS = 3         # rare tokens of a truth that a response must have before the pair is verified
 
 
 # ---------------------------------------------------------------------------
@@ -265,31 +268,52 @@ def best_truth_match(responses: DataFrame, truths: DataFrame, rkey: str, tkey: s
     return best.select(rkey, F.col("b." + tkey).alias(tkey), F.col("b.overlap").alias("overlap"))
 
 
+def _stored(df: DataFrame, folder: str, name: str) -> DataFrame:
+    """Written once to the shared folder and read back: what several steps read is
+    made once, and joins are planned by its real size."""
+    df.write.parquet(f"{folder}/{name}")
+    return df.sparkSession.read.parquet(f"{folder}/{name}")
+
+
+def _known_ids(df: DataFrame, key: str, text: str, known: DataFrame, row: str, out: str) -> DataFrame:
+    """(row, key, ids of the text's distinct tokens that ``known`` has).  Rows stay
+    apart where keys repeat; rows without a key or a known token are left out."""
+    own = _tokened(df.where(F.col(key).isNotNull()), key, text, "_tokens").select(F.monotonically_increasing_id().alias(row), key, "_tokens")
+    return own.select(row, key, F.explode("_tokens").alias("_w")).join(known, "_w").groupBy(row, key).agg(F.collect_list("_id").alias(out))
+
+
 def containment_match(responses: DataFrame, truths: DataFrame, rkey: str, tkey: str, rtext: str, ttext: str, at_least: float = 0.5, exact: bool = False) -> DataFrame:
     """J04 as a search: the best ground truth of each response among those of
     which it contains a share of ``at_least`` or more; all of these are found.
 
-    A response with ``at_least`` of a truth's ``m`` tokens has one of its
-    ``m - ceil(at_least * m) + 1`` rarest (rare by the number of responses).  So
-    only these tokens of a truth are keys of the join, frequent words never are,
-    and pairs that meet at one are verified on their whole token sets.  ``exact``
-    finds the best truth below the bound too, by the block search for the
-    responses that are left.
+    A response with ``h = ceil(at_least * m)`` of a truth's ``m`` tokens lacks at
+    most ``m - h``, so it has ``l`` of the ``m - h + l`` rarest (rare by the number
+    of responses; ``l`` is ``SHARED_KEYS``, or ``h`` if that is less).  So only
+    these tokens of a truth are keys of the join, its most frequent words never
+    are, and pairs that meet at ``l`` of them are verified on their whole token
+    sets.  Texts are read once: a response goes on as the ids of those of its
+    tokens that some truth has, which are all that any truth can share with it.
+    ``exact`` finds the best truth below the bound too, by the block search for
+    the responses that are left.
     """
-    t = _tokened(truths, tkey, ttext, "_t").where(F.size("_t") > 0)
-    r = _tokened(responses, rkey, rtext, "_r")
-    words = r.select(rkey, F.explode("_r").alias("_w"))
-    asked = t.select(tkey, F.explode("_t").alias("_w"))
-    known = asked.select("_w").distinct()
-    often = words.join(known, "_w").groupBy("_w").agg(F.count(F.lit(1)).alias("_n"))
-    rare = Window.partitionBy(tkey).orderBy(F.coalesce("_n", F.lit(0)), "_w")  # the tokens of one truth
-    m = F.count(F.lit(1)).over(Window.partitionBy(tkey))
-    # a little slack: the share is compared as a double
-    keys = (asked.join(often, "_w", "left").withColumn("_place", F.row_number().over(rare)).withColumn("_m", m)
-            .where(F.col("_place") <= F.col("_m") - F.ceil(F.col("_m") * F.lit(float(at_least) - 1e-9)) + 1).select(tkey, "_w"))
-    pairs = words.join(keys, "_w").select(rkey, tkey).distinct()
-    shared = F.size(F.array_intersect("_t", "_r")) / F.size("_t")
-    scored = pairs.join(t, tkey).join(r, rkey).select(rkey, tkey, F.least(shared, F.lit(1.0)).alias("overlap")).where(F.col("overlap") >= float(at_least))
+    folder = f"{checkpoint_dir(responses.sparkSession).rstrip('/')}/containment-{uuid.uuid4().hex}"
+    known = _stored(_tokened(truths, tkey, ttext, "_t").select(F.explode("_t").alias("_w")).distinct()
+                    .withColumn("_id", F.monotonically_increasing_id()), folder, "known")
+    t = _stored(_known_ids(truths, tkey, ttext, known, "_truth", "_t"), folder, "truths")
+    r = _stored(_known_ids(responses, rkey, rtext, known, "_row", "_r"), folder, "responses")
+    words = r.select("_row", F.explode("_r").alias("_id"))
+    often = words.groupBy("_id").agg(F.count(F.lit(1)).alias("_n"))
+    least = F.ceil(F.size("_t") * F.lit(float(at_least) - 1e-9))  # a little slack: the share is compared as a double
+    needed = F.greatest(F.lit(1), F.least(F.lit(SHARED_KEYS), least))
+    asked = t.select("_truth", needed.alias("_needed"), (F.size("_t") - least + needed).alias("_places"), F.explode("_t").alias("_id"))
+    rare = Window.partitionBy("_truth").orderBy(F.coalesce("_n", F.lit(0)), "_id")  # the tokens of one truth
+    keys = _stored(asked.join(often, "_id", "left").withColumn("_place", F.row_number().over(rare))
+                   .where(F.col("_place") <= F.col("_places")).select("_truth", "_needed", "_id"), folder, "keys")
+    pairs = (words.join(keys, "_id").repartition("_row").groupBy("_row", "_truth").agg(F.count(F.lit(1)).alias("_n"), F.first("_needed").alias("_needed"))
+             .where(F.col("_n") >= F.col("_needed")).select("_row", "_truth"))
+    shared = F.size(F.array_intersect("_r", "_t")) / F.size("_t")
+    # merge: responses are never broadcast, however well their files pack
+    scored = pairs.join(t, "_truth").join(r.hint("merge"), "_row").select(rkey, tkey, F.least(shared, F.lit(1.0)).alias("overlap")).where(F.col("overlap") >= float(at_least))
     best = scored.groupBy(rkey).agg(F.max_by(F.struct("overlap", tkey), F.struct(F.col("overlap"), -F.col(tkey))).alias("b"))
     found = best.select(rkey, F.col("b." + tkey).alias(tkey), F.col("b.overlap").alias("overlap"))
     if not exact:

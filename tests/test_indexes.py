@@ -123,3 +123,25 @@ def test_containment_finds_all_above_the_bound_and_the_rest_exactly(spark, bound
     above = {d: v for d, v in whole.items() if v[1] >= bound}
     assert best(RT.containment_match(docs, items, "doc_id", "item_id", "text", "text", at_least=bound)) == above and above
     assert best(RT.containment_match(docs, items, "doc_id", "item_id", "text", "text", at_least=bound, exact=True)) == whole
+
+
+def test_containment_reads_texts_once_and_carries_only_words_that_truths_have(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(f"own{i}x{j}" for j in range(50)) + " a b c d") for i in range(20)] + [(None, "a b c d"), (30, "own a")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "a b c d e"), (2, "x y z"), (None, "a b c d")], "item_id long, text string")
+    kept, stored = {}, RT._stored
+    monkeypatch.setattr(RT, "_stored", lambda df, folder, name: kept.setdefault(name, stored(df, folder, name)))
+    got = RT.containment_match(docs, items, "doc_id", "item_id", "text", "text", at_least=0.5)
+    assert best(got) == {i: (1, 0.8) for i in range(20)}
+    assert kept["responses"].agg(F.max(F.size("_r")), F.count(F.lit(1))).first() == (4, 21)
+    assert "split(" not in got._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("shared", [1, 2, 3, 50])
+def test_containment_keeps_rows_with_equal_keys_apart(spark, monkeypatch, shared):
+    monkeypatch.setattr(RT, "SHARED_KEYS", shared)
+    # half of truth 7's second text is in document 1, but no word of its first one; two halves of document 2 make no whole
+    items = spark.createDataFrame([(7, "r1 r2 r3 r4 r5 r6 r7 r8"), (7, "f1 f2 f3 f4 f5 f6"), (8, "p q r s"), (8, "p q r s"), (9, "one")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "f4 f5 f6 u"), (2, "p u"), (2, "q u"), (3, "p q"), (3, "p q r s"), (3, "p q r s"), (4, "ONE p")]
+                                 + [(i, "f1 f2") for i in range(10, 30)], "doc_id long, text string")
+    got = RT.containment_match(docs, items, "doc_id", "item_id", "text", "text", at_least=0.5)
+    assert best(got) == {1: (7, 0.5), 3: (8, 1.0), 4: (9, 1.0)} and got.count() == 3
