@@ -23,6 +23,7 @@ per query, so a restarted query resumes where it stopped.
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -135,6 +136,8 @@ def start(df: DataFrame, name: str | None = None, mode: str = "complete", sink:
             w = w.option("path", path)
     if not processing_time and not available_now:
         processing_time = f"{round(K.BATCH_PAUSE_SECONDS * 1000)} milliseconds"
+        # Spark's ticks are whole multiples of the pause: started between two, the second batch would come after less than one
+        time.sleep(K.BATCH_PAUSE_SECONDS - time.time() % K.BATCH_PAUSE_SECONDS)
     if processing_time:
         w = w.trigger(processingTime=processing_time)
     elif available_now:

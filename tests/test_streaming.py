@@ -101,3 +101,16 @@ def test_t06_paced_batches_pause(spark, tmp_path):
         time.sleep(0.2)
     q.stop()
     assert spark.table("paced").count() == 15 and time.time() - t0 >= 2  # three batches, a second apart
+
+
+def test_t06_the_first_pause_is_a_whole_one(spark, tmp_path, monkeypatch):
+    from types import SimpleNamespace
+
+    slept = []
+    monkeypatch.setattr(ST, "time", SimpleNamespace(time=lambda: 100.4, sleep=slept.append))
+    spark.range(5).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id long").parquet(str(tmp_path / "in"))
+    ST.start(stream, name="first_pause", mode="append", available_now=False).stop()
+    assert slept == [pytest.approx(0.6)]  # to the next tick of the trigger
+    ST.start(stream, name="own_pace", mode="append", processing_time="1 hour").stop()
+    assert len(slept) == 1
